@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("filtering",)
+_MODULES = ("filtering", "aggregating", "storing")
 
 
 def load_all():
