@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("filtering", "aggregating", "storing")
+_MODULES = ("filtering", "aggregating", "storing", "graphs")
 
 
 def load_all():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -112,6 +111,3 @@ def to_json_lines(df: DataFrame, schema: StructType) -> DataFrame:
     """Rows as JSON text, the form the archives hold."""
     return df.select(F.to_json(F.struct(*[F.col(f.name) for f in schema.fields])).alias("value"))
 
-
-def dump_line(row: dict) -> str:
-    return json.dumps(row)
