@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("filtering", "aggregating", "storing", "graphs")
+_MODULES = ("filtering", "aggregating", "storing", "graphs", "topical")
 
 
 def load_all():
