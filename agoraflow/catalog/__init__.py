@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("filtering", "aggregating", "storing", "graphs", "topical")
+_MODULES = ("filtering", "aggregating", "storing", "graphs", "topical", "spatial")
 
 
 def load_all():
