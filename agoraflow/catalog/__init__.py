@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("filtering", "aggregating", "storing", "graphs", "topical", "spatial")
+_MODULES = ("filtering", "aggregating", "storing", "graphs", "topical", "spatial", "streams")
 
 
 def load_all():
