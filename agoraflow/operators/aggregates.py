@@ -129,15 +129,15 @@ def cluster_diversity(df: DataFrame, exclude_noise: bool = True) -> DataFrame:
 def cluster_community_matrix(df: DataFrame, clusters: DataFrame, communities: DataFrame) -> DataFrame:
     """Counts of every selected cluster with every selected community, zeros kept.
 
-    The selections are top-n lists. The communities become one small array that is
-    exploded next to each selected cluster, so the grid has exactly
-    clusters x communities rows and the documents are only counted, never paired.
+    The selections are top-n lists. Both are put into one row of two arrays and
+    exploded, so the grid has exactly clusters x communities rows and the
+    documents are only counted, never paired.
     """
-    listed = communities.agg(F.sort_array(F.collect_list("subreddit")).alias("_listed")).withColumn("_one", F.lit(1))
-    grid = (
-        clusters.select("cluster_id", F.lit(1).alias("_one"))
-        .join(F.broadcast(listed), "_one")
-        .select("cluster_id", F.explode("_listed").alias("subreddit"))
+    listed = clusters.select("cluster_id").unionByName(
+        communities.select("subreddit"), allowMissingColumns=True
+    ).agg(F.collect_list("cluster_id").alias("_clusters"), F.collect_list("subreddit").alias("_communities"))
+    grid = listed.select(F.explode("_clusters").alias("cluster_id"), "_communities").select(
+        "cluster_id", F.explode("_communities").alias("subreddit")
     )
     return grid.join(cluster_community_counts(df), ["cluster_id", "subreddit"], "left").select(
         "cluster_id", "subreddit", F.coalesce("n", F.lit(0)).alias("n")
@@ -187,6 +187,19 @@ def topics_per_model(topics: DataFrame, scope: Sequence[str] = ("scope_type", "s
     )
 
 
+SUMMARY_COLUMNS = (
+    "total_documents",
+    "unique_clusters",
+    "unique_subreddits",
+    "clusters_modeled",
+    "subreddits_modeled",
+    "topics_from_clusters",
+    "topics_from_subreddits",
+    "total_topics",
+    "noise_points",
+)
+
+
 def summary_statistics(docs: DataFrame, topics: DataFrame) -> DataFrame:
     """Nine metrics in one row: one pass over documents and one over topics."""
     of_docs = docs.agg(
@@ -194,7 +207,7 @@ def summary_statistics(docs: DataFrame, topics: DataFrame) -> DataFrame:
         F.countDistinct(F.when(F.col("cluster_id") != NOISE, F.col("cluster_id"))).alias("unique_clusters"),
         F.countDistinct("subreddit").alias("unique_subreddits"),
         F.count_if(F.col("cluster_id") == NOISE).alias("noise_points"),
-    ).withColumn("_one", F.lit(1))
+    )
     per_model = topics_per_model(topics)
     is_cluster = F.col("scope_type") == "cluster"
     of_topics = per_model.agg(
@@ -203,18 +216,9 @@ def summary_statistics(docs: DataFrame, topics: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_cluster, F.col("n_topics"))), F.lit(0)).alias("topics_from_clusters"),
         F.coalesce(F.sum(F.when(~is_cluster, F.col("n_topics"))), F.lit(0)).alias("topics_from_subreddits"),
         F.coalesce(F.sum("n_topics"), F.lit(0)).alias("total_topics"),
-    ).withColumn("_one", F.lit(1))
-    return of_docs.join(of_topics, "_one").select(
-        "total_documents",
-        "unique_clusters",
-        "unique_subreddits",
-        "clusters_modeled",
-        "subreddits_modeled",
-        "topics_from_clusters",
-        "topics_from_subreddits",
-        "total_topics",
-        "noise_points",
     )
+    both = of_docs.unionByName(of_topics, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in SUMMARY_COLUMNS])
 
 
 def dominant_topics(details: DataFrame) -> DataFrame:

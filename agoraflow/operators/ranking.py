@@ -58,12 +58,9 @@ def frame_reveal(ranks: DataFrame, frames: int, peak: int = MAX_VISIBLE) -> Data
     A frame that shows more communities than exist shows all of them.
     """
     reveal = cumulative_reveal(ranks, peak)
-    last = reveal.agg(F.max("sub_rank").alias("_last"), F.lit(1).alias("_one"))
-    schedule = (
-        ramp_schedule(ranks.sparkSession, frames, peak)
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(last), "_one")
-        .withColumn("sub_rank", F.least(F.col("n_shown").cast("long"), F.col("_last")))
+    last = reveal.agg(F.max("sub_rank")).first()[0]
+    schedule = ramp_schedule(ranks.sparkSession, frames, peak).withColumn(
+        "sub_rank", F.least(F.col("n_shown").cast("long"), F.lit(last))
     )
     return schedule.join(reveal, "sub_rank").select("frame", "n_shown", "visible")
 
