@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.functions.scale import materialize
+from agoraflow.functions.scale import materialize, spread
 from agoraflow.operators.aggregates import topic_centroids
 from agoraflow.operators.sampling import top_per_group
 from agoraflow.operators.similarity import cosine_edges
@@ -40,7 +40,7 @@ class Tables:
 
     @cached_property
     def posts(self) -> DataFrame:
-        d = self.raw("documents")
+        d = spread(self.raw("documents"), "doc_id")
         return d.select(
             F.concat(F.lit("p"), F.col("doc_id")).alias("id"),
             F.lit("post").alias("type"),
@@ -55,7 +55,7 @@ class Tables:
 
     @cached_property
     def comments(self) -> DataFrame:
-        c = self.raw("conversations")
+        c = spread(self.raw("conversations"), "conv_id")
         return c.select(
             F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), F.col("turn")).alias("id"),
             F.lit("comment").alias("type"),

@@ -45,6 +45,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over all cores when the scan gives fewer partitions than cores.
+
+    For heavy work per row on a table that lies in a few unsplittable files. A
+    scan with enough partitions, the normal case, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after measuring that ``df`` has at most ``max_rows`` rows.
 

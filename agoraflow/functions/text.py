@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed value: the characters that count as white space when text is stripped
-_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # fixed value: a word character is an ASCII letter, digit or underscore
 WORD_CHARS = "0-9A-Za-z_"
@@ -16,7 +16,7 @@ WORD_CHARS = "0-9A-Za-z_"
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of every kind, not only blanks."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 # fixed values: the characters that get a backslash when a term is escaped

@@ -36,8 +36,16 @@ def contains_any(terms: Sequence[str], columns: Sequence[str], max_terms: int |
     Terms are literal text. ``max_terms=None`` uses all of them.
     """
     used = sorted(set(terms))[:max_terms]
-    tests = [F.contains(F.lower(c), F.lit(t)) for t in used for c in columns]
-    return F.coalesce(reduce(or_, tests, F.lit(False)), F.lit(False))
+    if not used:
+        return F.lit(False)
+
+    def hit(column: str) -> Column:
+        # one element, so the lambda sees a text that is lower-cased once for all terms
+        return F.exists(
+            F.array(F.lower(column)), lambda text: reduce(or_, [F.contains(text, F.lit(t)) for t in used])
+        )
+
+    return reduce(or_, [F.coalesce(hit(c), F.lit(False)) for c in columns])
 
 
 def matches_any_term(terms: Sequence[str], columns: Sequence[str]) -> Column:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agoraflow.catalog.fixtures import TERMS, WINDOW, Tables
+from agoraflow.functions import scale
 from agoraflow.operators import aggregates, combine, density, filters, graph, ranking, sampling, similarity, tokens, topics
 from agoraflow.sources import stores
 
@@ -35,11 +36,19 @@ def test_time_range_reaches_the_scan(spark, t, tmp_path):
     assert "ReadSchema: struct<id:string,created_utc:bigint>" in text
 
 
-def test_keyword_filter_is_one_scan_without_shuffle(t):
-    text = no_loops(filters.keyword_filter(t.posts, TERMS, "posts"))
+def test_keyword_filter_is_one_scan_without_shuffle(spark, t, tmp_path):
+    path = str(tmp_path / "posts")
+    t.posts.write.parquet(path)
+    text = no_loops(filters.keyword_filter(spark.read.parquet(path), TERMS, "posts"))
     assert "Exchange" not in text and text.count("FileScan") == 1
     assert text.index("Contains(") < text.index("RLIKE")
-    assert "BatchEvalPython" not in text
+    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+
+
+def test_spread_only_where_a_scan_is_too_narrow(spark, t):
+    assert scale.spread(t.raw("documents"), "doc_id").rdd.getNumPartitions() == 8
+    wide = spark.range(0, 100, 1, 16)
+    assert scale.spread(wide, "id") is wide
 
 
 def test_whitelist_is_broadcast(t):
