@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import NGram, StopWordsRemover, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.window import Window
 
 from agoraflow.functions.scale import broadcast_checked, global_row_number, materialize
 from agoraflow.functions.vectors import l2_normalise
@@ -25,9 +29,11 @@ MAX_TOKENS = 512
 VOCABULARY_BROADCAST = 1_000_000
 
 
-def words_of(text: Column, pattern: str = r"[^\p{L}\p{N}]+", min_length: int = 1) -> Column:
-    """Lower-cased words of a text."""
-    return F.filter(F.split(F.lower(text), pattern), lambda w: F.length(w) >= min_length)
+def words_of(text: Column, word_chars: str = r"\p{L}\p{N}", min_length: int = 1) -> Column:
+    """Lower-cased words of a text: the longest runs of ``word_chars`` of sufficient length."""
+    if min_length <= 1:
+        return F.array_remove(F.split(F.lower(text), f"[^{word_chars}]+"), "")
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{word_chars}]{{{min_length},}}"), F.lit(0))
 
 
 def build_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1) -> DataFrame:
@@ -51,20 +57,56 @@ def tokenize(
 ) -> DataFrame:
     """keys + ``tokens``: begin id, word ids, end id, at most ``max_len`` ids, no padding.
 
-    A word gives one id, so the words past the limit are left out before they are
-    exploded and the regrouped array has a fixed upper size.
+    A vocabulary of at most ``VOCABULARY_BROADCAST`` words goes to all tasks and
+    the texts are encoded where they are, without a shuffle. A larger one is
+    joined to the exploded words. A word gives one id, so the words past the
+    limit are left out first.
     """
     keys = list(keys)
     kept = F.slice(words_of(F.col(text_col)), 1, max_len - 2)
-    exploded = df.select(*keys, F.posexplode_outer(kept).alias("pos", "word"))
-    ids = broadcast_checked(vocabulary.select("word", "token"), VOCABULARY_BROADCAST)
+    texts = df.select(*keys, F.coalesce(kept, F.array().cast("array<string>")).alias("_words"))
+    known = vocabulary.select("word", "token")
+    if known.limit(VOCABULARY_BROADCAST + 1).count() > VOCABULARY_BROADCAST:
+        return _tokenize_by_join(texts, known, keys)
+    table = known.toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(
+        (table.column("word").combine_chunks(), table.column("token").combine_chunks())
+    )
+    schema = StructType([f for f in texts.schema.fields if f.name != "_words"]).add("tokens", ArrayType(IntegerType()))
+    return texts.mapInArrow(_encode(shared, keys), schema)
+
+
+def _encode(shared, keys: list[str]):
+    """Word arrays to framed id arrays, one hash lookup per batch."""
+
+    def run(batches):
+        words, ids = shared.value
+        for batch in batches:
+            lists = batch.column("_words")
+            found = pc.fill_null(ids.take(pc.index_in(lists.flatten(), value_set=words)), UNKNOWN_ID)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes + 2)
+            out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+            inside = np.ones(len(out), dtype=bool)
+            inside[ends - 1] = inside[ends - sizes - 2] = False
+            out[ends - 1], out[ends - sizes - 2] = END_ID, BEGIN_ID
+            out[inside] = found.to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+            tokens = pa.ListArray.from_arrays(offsets, pa.array(out))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), tokens], names=[*keys, "tokens"])
+
+    return run
+
+
+def _tokenize_by_join(texts: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    exploded = texts.select(*keys, F.posexplode_outer("_words").alias("pos", "word"))
     word_ids = F.array_sort(
         F.collect_list(
             F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(UNKNOWN_ID)).alias("token")))
         )
     )
     return (
-        exploded.join(ids, "word", "left")
+        exploded.join(vocabulary, "word", "left")
         .groupBy(*keys)
         .agg(F.transform(word_ids, lambda s: s["token"]).alias("_ids"))
         .select(*keys, F.concat(F.array(F.lit(BEGIN_ID)), "_ids", F.array(F.lit(END_ID))).alias("tokens"))
@@ -141,7 +183,7 @@ def ngram_counts(
     max_n: int = 3,
     stop_words: Sequence[str] | None = None,
     min_df: int = 2,
-    pattern: str = r"[^\p{L}\p{N}_]+",
+    word_chars: str = r"\p{L}\p{N}_",
     min_length: int = 2,
 ) -> DataFrame:
     """Occurrences of each 1..``max_n`` word term per topic: by..., term, n, total.
@@ -152,7 +194,7 @@ def ngram_counts(
     """
     by = list(by)
     stops = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
-    words = df.select(*by, words_of(F.col(text_col), pattern, min_length).alias("_words"))
+    words = df.select(*by, words_of(F.col(text_col), word_chars, min_length).alias("_words"))
     words = StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=stops).transform(words)
     for n in range(2, max_n + 1):
         words = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(words)
@@ -162,10 +204,10 @@ def ngram_counts(
         .groupBy(*by, "term")
         .agg(F.count("*").alias("n"))
     )
-    per_term = (
-        counts.groupBy(*by[:-1], "term")
-        .agg(F.count("*").alias("_df"), F.sum("n").alias("total"))
+    # one row per topic of the scope, so this window group is small for any term
+    across = Window.partitionBy(*by[:-1], "term")
+    return (
+        counts.withColumns({"_df": F.count("*").over(across), "total": F.sum("n").over(across)})
         .filter(F.col("_df") >= min_df)
-        .drop("_df")
+        .select(*by, "term", "n", "total")
     )
-    return counts.join(per_term, [*by[:-1], "term"]).select(*by, "term", "n", "total")

@@ -100,5 +100,5 @@ def test_vector_mean_combines_before_the_shuffle(t):
 
 
 def test_topic_weights_have_no_window_over_a_topic(t):
-    counts = tokens.ngram_counts(t.topic_texts, stop_words=["the"])
+    counts = scale.materialize(tokens.ngram_counts(t.topic_texts, stop_words=["the"]))
     assert "Window" not in plan(topics.class_tfidf(counts))

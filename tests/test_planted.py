@@ -314,7 +314,10 @@ def test_overlap_score_above_one(spark):
 # ---- tokens and topic words ----
 
 
-def test_tokens_are_cut_and_framed(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 1])
+def test_tokens_are_cut_and_framed(spark, monkeypatch, limit):
+    # a limit of one word forces the join
+    monkeypatch.setattr(tokens, "VOCABULARY_BROADCAST", limit)
     vocabulary = frame(spark, [("a", 3), ("b", 4)], "word string, token int")
     df = frame(spark, [("post", "1", "B a x a"), ("post", "2", "..."), ("post", "3", None)], "type string, id string, text string")
     rows = {r["id"]: r["tokens"] for r in tokens.tokenize(df, vocabulary, max_len=5).collect()}
