@@ -392,3 +392,35 @@ def _(t: Tables):
         display.scope_label(F.col("scope_type"), F.col("scope_value")).alias("label"),
         display.thousands(n).alias("docs"),
     )
+
+
+@query(
+    "scalar_number_functions",
+    """SELECT doc_id, round(log2(n_chars), 6) AS bits, round_even(n_chars / 7::DOUBLE, 1) AS tenth,
+      round(greatest(least(ln(1 + n_chars) * 2 + 3, 15), 3), 6) AS size, n_chars * 0.5::DOUBLE + 5 AS width,
+      doc_id % 20 AS colour, CAST(n_chars AS VARCHAR) AS as_text, len(string_split(text, ' ')) AS n_words,
+      greatest(least(n_chars, 500), 1) AS capped FROM documents""",
+)
+def _(t: Tables):
+    n = F.col("n_chars")
+    return t.raw("documents").select(
+        "doc_id",
+        F.round(F.log2(n), 6).alias("bits"),
+        F.bround(n / 7, 1).alias("tenth"),
+        F.round(display.marker_size(n), 6).alias("size"),
+        display.degree_size(n, 0.5, 5.0).alias("width"),
+        display.palette_index(F.col("doc_id")).alias("colour"),
+        n.cast("string").alias("as_text"),
+        F.size(F.split("text", " ")).cast("long").alias("n_words"),
+        F.greatest(F.least(n, F.lit(500)), F.lit(1)).alias("capped"),
+    )
+
+
+@query(
+    "report_columns",
+    "SELECT subreddit AS community, id AS document, score AS topic_doc_count FROM posts",
+)
+def _(t: Tables):
+    return t.posts.select(
+        F.col("subreddit").alias("community"), F.col("id").alias("document"), F.col("score").alias("topic_doc_count")
+    )

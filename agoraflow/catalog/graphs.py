@@ -15,7 +15,6 @@ from agoraflow.catalog.fixtures import (
 from agoraflow.functions import vectors as vec
 from agoraflow.operators import aggregates as agg
 from agoraflow.operators import graph, similarity
-from agoraflow.operators.combine import whitelist_join  # noqa: F401
 from agoraflow.registry import query
 
 _COMMUNITY = "source_scope = 'subreddit' AND target_scope = 'subreddit'"
@@ -333,3 +332,41 @@ def _(t: Tables):
 
     strong = t.edges.filter("similarity >= 0.25").select(node("source").alias("source"), node("target").alias("target"))
     return graph.connected_components(strong)
+
+
+@query(
+    "drop_isolates",
+    f"SELECT source AS subreddit FROM ({_SCORED}) UNION SELECT target FROM ({_SCORED})",
+)
+def _(t: Tables):
+    # nodes come from the edge list, so a community without an edge is not there
+    network = graph.similarity_network(_scored(t), 0.2)
+    return graph.neighbours(network).select(F.col("node").alias("subreddit")).distinct()
+
+
+@query(
+    "row_position",
+    """SELECT source_scope, target_scope, count(*) AS n, min(source_value || ':' || source_topic) AS first_source FROM edges GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    first = F.min(F.concat_ws(":", "source_value", "source_topic")).alias("first_source")
+    return t.edges.groupBy("source_scope", "target_scope").agg(F.count("*").alias("n"), first)
+
+
+@query(
+    "topic_space",
+    """SELECT scope_type, scope_value, topic_id, n_docs, CASE scope_type WHEN 'cluster' THEN 0 ELSE 1 END AS code,
+      (SELECT count(*) FROM ends e WHERE e.scope = c.scope_type AND e.value = c.scope_value AND e.topic = c.topic_id
+        AND e.similarity >= 0.25) AS degree FROM centroids c""",
+)
+def _(t: Tables):
+    from agoraflow.functions.display import scope_code
+
+    strong = graph.symmetrise(graph.strongest_edges(t.edges, DISPLAY_THRESHOLD))
+    degree = strong.groupBy(
+        F.col("scope").alias("scope_type"), F.col("value").alias("scope_value"), F.col("topic").alias("topic_id")
+    ).agg(F.count("*").alias("degree"))
+    key = ["scope_type", "scope_value", "topic_id"]
+    return t.centroids.join(degree, key, "left").select(
+        *key, "n_docs", scope_code(F.col("scope_type")).alias("code"), F.coalesce("degree", F.lit(0)).alias("degree")
+    )

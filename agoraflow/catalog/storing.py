@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agoraflow.catalog.fixtures import EPOCH, Tables
+from agoraflow.functions.scale import scratch_path
 from agoraflow.registry import query
 from agoraflow.sources import archives, lists, stores
 
@@ -156,3 +157,70 @@ def _(t: Tables):
         F.col("scope_value").cast("int").alias("cluster_id"), "topic_id", "n_docs"
     )
     return stores.union_centroids([clusters, narrow.filter("scope_type = 'subreddit'")])
+
+
+# ---- round trips through files ----
+
+
+@query(
+    "read_archive",
+    """SELECT id, subreddit, created_utc, md5(title) AS title, md5(selftext) AS selftext, num_comments,
+    'archive' AS source_dir FROM posts""",
+)
+def _(t: Tables):
+    path = scratch_path(t.spark, "archive")
+    lines = t.posts.select(F.to_json(F.struct("id", "subreddit", "created_utc", "title", "selftext", "num_comments")).alias("value"))
+    lines.write.option("compression", "gzip").text(path)
+    rows = archives.read_archives(t.spark, [path], "posts", t.spark.sparkContext.defaultParallelism)
+    return rows.select(
+        "id", "subreddit", "created_utc", F.md5("title").alias("title"), F.md5("selftext").alias("selftext"),
+        "num_comments", F.when(F.col("source_file").endswith(".txt.gz"), "archive").alias("source_dir"),
+    )
+
+
+@query("append_rows", "SELECT id, subreddit, subreddit AS source_file FROM posts")
+def _(t: Tables):
+    path = scratch_path(t.spark, "append")
+    rows = t.posts.select("id", "subreddit", F.col("subreddit").alias("source_file"))
+    stores.append_rows(rows, path)
+    # loading some files again replaces their rows
+    stores.append_rows(rows.filter("subreddit < 'src3'"), path)
+    return stores.read_table(t.spark, path, rows.schema)
+
+
+@query("overwrite_output", "SELECT id, score FROM posts WHERE score >= 500")
+def _(t: Tables):
+    path = scratch_path(t.spark, "output")
+    stores.write_table(t.posts.select("id", "score"), path)
+    stores.write_table(t.posts.select("id", "score").filter("score >= 500"), path)
+    return stores.read_table(t.spark, path)
+
+
+@query(
+    "topic_table",
+    """SELECT scope_type, scope_value, topic_id, CAST(rank AS INTEGER) AS rank, word FROM topic_words
+    WHERE scope_type = 'subreddit' AND scope_value = 'src2'""",
+)
+def _(t: Tables):
+    path = scratch_path(t.spark, "topics")
+    stores.write_scope(t.topic_words.drop("n"), path)
+    return stores.read_scope(t.spark, path, "subreddit", "src2").select(
+        "scope_type", "scope_value", "topic_id", "rank", "word"
+    )
+
+
+@query(
+    "report_files",
+    """SELECT cluster_id, string_agg(subreddit, ', ' ORDER BY rn) AS top_subreddits FROM (
+      SELECT cluster_id, subreddit, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, subreddit) AS rn
+      FROM combined GROUP BY cluster_id, subreddit) WHERE rn <= 5 GROUP BY cluster_id""",
+)
+def _(t: Tables):
+    from pyspark.sql.types import IntegerType, StringType, StructType
+
+    from agoraflow.operators.aggregates import top_communities_per_cluster
+
+    path = scratch_path(t.spark, "report")
+    stores.write_report(top_communities_per_cluster(t.combined), path)
+    schema = StructType().add("cluster_id", IntegerType()).add("top_subreddits", StringType())
+    return stores.read_report(t.spark, path, schema)

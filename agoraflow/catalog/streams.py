@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from agoraflow.catalog.fixtures import TERMS, WHITELIST, Tables
 from agoraflow.catalog.filtering import _LIKE, _MATCH
-from agoraflow.functions.scale import checkpoint_dir
+from agoraflow.functions.scale import scratch_path
 from agoraflow.registry import query
 from agoraflow.streaming import ingest
 
 
 def _run(t: Tables, stream):
-    base = f"{checkpoint_dir(t.spark).rstrip('/')}/agoraflow/stream-{uuid.uuid4().hex}"
+    base = scratch_path(t.spark, "stream")
     ingest.run_available(stream, f"{base}/rows", f"{base}/state")
     return t.spark.read.schema(stream.schema).parquet(f"{base}/rows")
 

@@ -70,9 +70,26 @@ def _(t: Tables):
     return rows.select("id", (F.col("p") + 1).cast("long").alias("pos"), F.round("v", 6).alias("value"))
 
 
+@query(
+    "mean_pool",
+    f"""SELECT id, round(sqrt(sum(value * value)), 6) AS norm FROM (
+      SELECT id, pos, sum(w * v) / sum(w) AS value FROM (
+        SELECT p.id, p.w, unnest(v.vector) AS v, generate_subscripts(v.vector, 1) AS pos
+        FROM ({_POOL_TOKENS}) p JOIN vectors v ON v.vec_id = p.token) GROUP BY id, pos) GROUP BY id""",
+)
+def _(t: Tables):
+    return _pool(t).select("id", F.round(vec.l2_norm(F.col("vector")), 6).alias("norm"))
+
+
 @query("embed_documents")
 def _(t: Tables):
-    return tokens.embed_documents(t.content, dims=16)
+    return tokens.embed_documents(t.content)
+
+
+@query("embed_by_word_vectors")
+def _(t: Tables):
+    word_vectors = tokens.fit_word_vectors(t.comments.withColumnRenamed("body", "text"), dims=16)
+    return tokens.embed_by_word_vectors(t.content, word_vectors)
 
 
 # ---- n-grams and topic words ----
@@ -211,6 +228,21 @@ def _(t: Tables):
 
 @query(
     "word_set_ops",
+    """SELECT subreddit, topic_id, len(list_intersect(words, f)) AS n_shared, len(list_distinct(list_concat(words, f))) AS n_all
+    FROM community_sets CROSS JOIN (SELECT list(DISTINCT word) AS f FROM community_words WHERE rank = 1)""",
+)
+def _(t: Tables):
+    first = [r["word"] for r in t.community_words.filter("rank = 1").select("word").distinct().collect()]
+    other = F.array(*[F.lit(w) for w in sorted(first)])
+    return similarity.word_sets(t.community_words).select(
+        F.col("scope_value").alias("subreddit"), "topic_id",
+        F.size(F.array_intersect("words", other)).cast("long").alias("n_shared"),
+        F.size(F.array_union("words", other)).cast("long").alias("n_all"),
+    )
+
+
+@query(
+    "jaccard",
     """SELECT subreddit_1, topic_1, subreddit_2, topic_2, round(jaccard, 6) AS jaccard FROM topic_jaccard
     WHERE topic_1 = topic_2""",
 )

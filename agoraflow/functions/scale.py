@@ -33,6 +33,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate of this application under the checkpoint folder."""
+    folder = checkpoint_dir(spark).rstrip("/")
+    return f"{folder}/agoraflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint folder and read it back.
 
@@ -40,7 +46,7 @@ def materialize(df: DataFrame) -> DataFrame:
     real sizes for the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/agoraflow/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

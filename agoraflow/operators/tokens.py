@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import NGram, StopWordsRemover, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, NGram, StopWordsRemover, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 from pyspark.sql.window import Window
 
-from agoraflow.functions.scale import broadcast_checked, global_row_number, materialize
+from agoraflow.functions.scale import broadcast_checked, global_row_number
 from agoraflow.functions.vectors import l2_normalise
 
 # fixed values: special token ids, and the first id of a word
@@ -25,6 +25,12 @@ UNKNOWN_ID, BEGIN_ID, END_ID, FIRST_WORD_ID = 0, 1, 2, 3
 # fixed value: longest token array, special ids included
 MAX_TOKENS = 512
 
+# fixed value: dimensions of a document vector
+VECTOR_DIMS = 768
+
+# most numbers (words x dimensions) of word vectors trained at once
+TRAINED_CELLS = 100_000_000
+
 # longest vocabulary that is broadcast to the tokenizing tasks
 VOCABULARY_BROADCAST = 1_000_000
 
@@ -154,28 +160,54 @@ def mean_pool_tokens(
     )
 
 
-def fit_word_vectors(df: DataFrame, dims: int = 64, text_col: str = "text", min_count: int = 2, seed: int = 42, iterations: int = 1) -> DataFrame:
-    """word, vector: word vectors learned from the texts."""
+def fit_word_vectors(
+    df: DataFrame, dims: int = 64, text_col: str = "text", min_count: int = 2, seed: int = 42, iterations: int = 1
+) -> DataFrame:
+    """word, vector: word vectors learned from the texts.
+
+    Training holds the vocabulary in the driver, so its size is checked first;
+    raise ``min_count`` for a larger corpus.
+    """
     words = df.select(words_of(F.col(text_col)).alias("words"))
+    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    if counted.filter(F.col("n") >= min_count).count() * dims > TRAINED_CELLS:
+        raise ValueError("the vocabulary is too large to train on: raise min_count")
     model = Word2Vec(
         vectorSize=dims, minCount=min_count, seed=seed, maxIter=iterations, inputCol="words", outputCol="vector"
     ).fit(words)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def embed_documents(df: DataFrame, dims: int = 64, keys: Sequence[str] = ("type", "id"), text_col: str = "text", seed: int = 42) -> DataFrame:
-    """One unit vector per document: the mean of its learned word vectors.
+def embed_by_word_vectors(
+    df: DataFrame, word_vectors: DataFrame, keys: Sequence[str] = ("type", "id"), text_col: str = "text"
+) -> DataFrame:
+    """One unit vector per document: the mean of its word vectors.
 
     Documents without a known word get no vector.
     """
     keys = list(keys)
-    once = materialize(df.select(*keys, text_col).dropDuplicates(keys))
-    word_vectors = fit_word_vectors(once, dims, text_col, seed=seed)
-    tokens = once.select(*keys, words_of(F.col(text_col)).alias("tokens"))
+    tokens = df.dropDuplicates(keys).select(*keys, words_of(F.col(text_col)).alias("tokens"))
     pooled = mean_pool_tokens(tokens, word_vectors.withColumnRenamed("word", "token"), keys)
     return pooled.select(*keys, l2_normalise(F.col("vector")).alias("vector"))
 
 
+def embed_documents(
+    df: DataFrame, dims: int = VECTOR_DIMS, keys: Sequence[str] = ("type", "id"), text_col: str = "text", min_docs: int = 1
+) -> DataFrame:
+    """One unit vector of ``dims`` numbers per document, exactly once per key.
+
+    The built-in encoder hashes words to dimensions and weights them by inverse
+    document frequency. Its only state is one number per dimension, so it needs
+    no vocabulary and no shuffle but the aggregate of that state. A trained
+    encoder plugs in through ``embed_with``.
+    """
+    keys = list(keys)
+    once = df.dropDuplicates(keys).select(*keys, words_of(F.col(text_col)).alias("_words")).filter(F.size("_words") > 0)
+    counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(once)
+    weighted = IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=min_docs).fit(counted).transform(counted)
+    return weighted.select(*keys, l2_normalise(vector_to_array("_tfidf")).alias("vector"))
+
+
 def ngram_counts(
     df: DataFrame,
     by: Sequence[str] = ("scope_type", "scope_value", "topic_id"),

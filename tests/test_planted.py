@@ -335,6 +335,23 @@ def test_user_hooks(spark):
     assert rows == {"1": [2.0], "2": [1.0]}
 
 
+def test_hashed_vectors_equal_brute_force(spark):
+    from pyspark.ml.feature import HashingTF
+
+    rows = [("post", "1", "a b b"), ("post", "1", "a b b"), ("post", "2", "a c"), ("post", "3", "...")]
+    df = frame(spark, rows, "type string, id string, text string")
+    got = {r["id"]: np.array(r["vector"]) for r in tokens.embed_documents(df, 32).collect()}
+    at = HashingTF(numFeatures=32).indexOf
+    texts = {"1": ["a", "b", "b"], "2": ["a", "c"]}
+    docs = {i: np.bincount([at(w) for w in ws], minlength=32) for i, ws in texts.items()}
+    df_counts = sum((v > 0).astype(int) for v in docs.values())
+    idf = np.where(df_counts >= 1, np.log(3 / (df_counts + 1)), 0)
+    assert set(got) == set(docs)
+    for i, v in docs.items():
+        w = v * idf
+        assert np.allclose(got[i], w / (np.linalg.norm(w) or 1))
+
+
 def test_ngrams_stop_words_and_min_df(spark):
     df = frame(
         spark,
