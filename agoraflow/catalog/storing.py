@@ -112,15 +112,13 @@ def _(t: Tables):
 @query(
     "dedup_by_id",
     """SELECT id, retrieved_on, event_id FROM (
-      SELECT user_id AS id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS retrieved_on, event_id,
-        row_number() OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('day', ts)) DESC, event_id) AS rn
+      SELECT user_id AS id, event_id // 10 AS retrieved_on, event_id,
+        row_number() OVER (PARTITION BY user_id ORDER BY event_id // 10 DESC, event_id) AS rn
       FROM events) WHERE rn = 1""",
 )
 def _(t: Tables):
     rows = t.raw("events").select(
-        F.col("user_id").alias("id"),
-        F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("retrieved_on"),
-        "event_id",
+        F.col("user_id").alias("id"), F.expr("event_id div 10").alias("retrieved_on"), "event_id"
     )
     return stores.dedup_by_id(rows)
 

@@ -228,16 +228,18 @@ def _(t: Tables):
 
 @query(
     "word_set_ops",
-    """SELECT subreddit, topic_id, len(list_intersect(words, f)) AS n_shared, len(list_distinct(list_concat(words, f))) AS n_all
-    FROM community_sets CROSS JOIN (SELECT list(DISTINCT word) AS f FROM community_words WHERE rank = 1)""",
+    """SELECT a.subreddit, a.topic_id, len(list_intersect(a.words, b.words)) AS n_shared,
+      len(list_distinct(list_concat(a.words, b.words))) AS n_all
+    FROM community_sets a JOIN community_sets b ON a.subreddit = b.subreddit AND b.topic_id = 0""",
 )
 def _(t: Tables):
-    first = [r["word"] for r in t.community_words.filter("rank = 1").select("word").distinct().collect()]
-    other = F.array(*[F.lit(w) for w in sorted(first)])
-    return similarity.word_sets(t.community_words).select(
-        F.col("scope_value").alias("subreddit"), "topic_id",
-        F.size(F.array_intersect("words", other)).cast("long").alias("n_shared"),
-        F.size(F.array_union("words", other)).cast("long").alias("n_all"),
+    sets = similarity.word_sets(t.community_words)
+    first = sets.filter("topic_id = 0").select("scope_value", F.col("words").alias("first"))
+    return sets.join(first, "scope_value").select(
+        F.col("scope_value").alias("subreddit"),
+        "topic_id",
+        F.size(F.array_intersect("words", "first")).cast("long").alias("n_shared"),
+        F.size(F.array_union("words", "first")).cast("long").alias("n_all"),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -63,13 +64,32 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after measuring that ``df`` has at most ``max_rows`` rows.
+def _row_bytes(df: DataFrame) -> Column:
+    """Approximate bytes of a row: text by length, numbers 8, arrays by element."""
+    total = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind == "string":
+            width = F.coalesce(F.octet_length(f.name), F.lit(0)) + 16
+        elif kind == "array":
+            width = F.greatest(F.size(f.name), F.lit(0)) * 8 + 16
+        else:
+            width = F.lit(8)
+        total = total + width
+    return total
 
-    For lists of names and terms. A longer list stays unhinted and is joined by
-    shuffle (or whatever adaptive execution picks from the measured sizes).
+
+def broadcast_checked(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` is within both limits.
+
+    For lists of names and terms and for small lookup tables. A larger side stays
+    unhinted and is joined by shuffle (or whatever adaptive execution picks from
+    the measured sizes).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df)
     return df
 

@@ -84,11 +84,12 @@ def match_terms_by_join(
     term_col: str = "term",
     pattern_col: str = "pattern",
 ) -> DataFrame:
-    """Whole-word semi join for term lists too long for one pattern.
+    """Whole-word filter for term lists too long for one pattern.
 
-    Each row gives its distinct words, which meet the first word of every term in
-    an equi-join; only those candidates are tested with the term's own pattern. A
-    term without any word character is left to the pattern test of all rows.
+    The distinct words of each row meet the first word of every term in an
+    equi-join that carries only ids, which leaves the few candidate patterns of a
+    row; the text is tested against these alone. A term without any word
+    character is tested on all rows.
     """
     first_word = F.regexp_extract(term_col, "([0-9A-Za-z_]+)", 1)
     keyed = terms.select(
@@ -100,17 +101,17 @@ def match_terms_by_join(
         raise ValueError("too many terms without a word character")
 
     text = F.lower(F.concat_ws("\n", *[F.col(c) for c in columns]))
-    words = F.array_distinct(F.split(text, "[^0-9A-Za-z_]+"))
-    hits = (
-        df.select(F.col(id_col), text.alias("_text"), F.explode(words).alias("_word"))
+    candidates = (
+        df.select(id_col, F.explode(F.array_distinct(F.split(text, "[^0-9A-Za-z_]+"))).alias("_word"))
         .join(worded, "_word")
-        .filter(F.expr("_text rlike _pattern"))
-        .select(id_col)
+        .groupBy(id_col)
+        .agg(F.concat_ws("|", F.collect_set("_pattern")).alias("_patterns"))
     )
+    joined = df.join(candidates, id_col, "left" if bare else "inner").withColumn("_text", text)
+    hit = F.coalesce(F.expr("_text rlike _patterns"), F.lit(False))
     if bare:
-        pattern = "|".join(bare)
-        hits = hits.unionByName(df.filter(F.rlike(text, F.lit(pattern))).select(id_col))
-    return df.join(hits.distinct(), id_col, "left_semi")
+        hit = hit | F.rlike("_text", F.lit("|".join(bare)))
+    return joined.filter(hit).select(*df.columns)
 
 
 def event_time_range(df: DataFrame, start: int, end: int, time_col: str = "created_utc") -> DataFrame:
