@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -69,33 +70,38 @@ def read_archives(spark: SparkSession, paths: Sequence[str], kind: str, partitio
     One compressed file is one task, so the rows are spread right after the read.
     """
     df = spark.read.schema(BY_KIND[kind]).json(list(paths))
-    df = df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    df = df.select("*", F.col("_metadata.file_name").alias("source_file"))
     return df.repartition(partitions) if partitions else df
 
 
-def _decode(paths_to_lines: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open_stream(path: str):
+    """A byte stream of a file on mounted or remote storage."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        local = path if not colon else "/" + rest.lstrip("/")
+        return fs.LocalFileSystem().open_input_stream(local, compression=None)
+    storage, inner = fs.FileSystem.from_uri(path)
+    return storage.open_input_stream(inner, compression=None)
+
+
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import zstandard
 
-    for batch in paths_to_lines:
+    for batch in batches:
         for path in batch["path"]:
-            local = path[5:] if path.startswith("file:") else path
-            with open(local, "rb") as raw:
-                reader = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(raw)
-                lines: list[str] = []
-                for line in io.TextIOWrapper(reader, encoding="utf-8"):
-                    lines.append(line)
-                    if len(lines) == _LINES_PER_BATCH:
-                        yield pd.DataFrame({"path": path, "line": lines})
-                        lines = []
-                if lines:
-                    yield pd.DataFrame({"path": path, "line": lines})
+            with _open_stream(path) as raw:
+                unpacked = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(raw)
+                lines = io.TextIOWrapper(unpacked, encoding="utf-8")
+                while some := list(itertools.islice(lines, _LINES_PER_BATCH)):
+                    yield pd.DataFrame({"path": path, "line": some})
 
 
 def read_large_window_archives(spark: SparkSession, paths: Sequence[str], kind: str, partitions: int | None = None) -> DataFrame:
     """``read_archives`` for frames whose window is too large for the built-in reader.
 
-    The files lie on storage mounted on the executors. One task streams one file
-    in batches of lines; JSON is parsed in the JVM.
+    One task streams one file in batches of lines; JSON is parsed in the JVM.
     """
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     lines = listed.mapInPandas(_decode, "path string, line string")
