@@ -161,7 +161,7 @@ class Tables:
 
 _LIST = ", ".join(f"'{w}'" for w in WHITELIST)
 
-# name -> (definition, fixtures it reads)
+# name -> definition
 SQL: dict[str, str] = {
     "posts": f"""SELECT 'p' || doc_id AS id, 'post' AS type, source AS subreddit,
         substr(text, 1, 200) AS title, text AS selftext, {EPOCH} + 3600 * doc_id AS created_utc,

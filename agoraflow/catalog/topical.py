@@ -129,7 +129,6 @@ def _weights(t: Tables):
 
 
 def _words(t: Tables):
-    # rounding both sides alike keeps the order of near-equal weights the same
     return topics.top_words(_weights(t))
 
 
