@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm import simhash
+from agoraflow.llm import bpe, pieces, simhash
 from agoraflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,20 @@ def query(name: str, sql: str | None = None):
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op4_byte_bpe")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.token_digests(docs, ranks, public_tokenizers.PATTERN).drop("text")
+
+
+@query("op6_piece_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
