@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm import bpe, fm_index, pieces, quality, sharding, simhash
+from agoraflow.llm import bpe, fm_index, languages, pieces, quality, sharding, simhash, training_order
 from agoraflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judge(docs, quality.learn_references(docs)).drop("text", "lang")
+
+
+@query("op10_language_mixture")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = languages.learn(docs.filter(~languages.held_out()))
+    found = languages.identify(docs.select("doc_id", "text"), models)
+    return found.select("doc_id", languages.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_training_order")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    shards = training_order.training_order(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return training_order.records(shards).withColumn("tokens_sha256", F.sha2("tokens", 256)).drop("tokens")
