@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm import bpe, fm_index, languages, pieces, quality, sharding, simhash, training_order
+from agoraflow.llm import bpe, fm_index, languages, pieces, quality, sharding, simhash, substrings, training_order
 from agoraflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     shards = training_order.training_order(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return training_order.records(shards).withColumn("tokens_sha256", F.sha2("tokens", 256)).drop("tokens")
+
+
+@query("op7_compact_windows")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
