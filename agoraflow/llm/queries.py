@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm import bpe, fm_index, languages, pieces, quality, sharding, simhash, substrings, training_order
+from agoraflow.llm import bpe, fm_index, languages, pieces, quality, sharding, simhash, substrings, templates, training_order
 from agoraflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_compact_windows")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op8_template_deduction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
