@@ -93,7 +93,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
-    shards = training_order.training_order(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    shards = training_order.training_order(docs, ranks, public_tokenizers.PATTERN)
     return training_order.records(shards).withColumn("tokens_sha256", F.sha2("tokens", 256)).drop("tokens")
 
 

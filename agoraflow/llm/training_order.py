@@ -13,17 +13,17 @@
 
 from __future__ import annotations
 
-import re
 import struct
-from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agoraflow.functions.scale import broadcast_checked, global_running_sum, materialize
+from agoraflow.llm.bpe import read_ranks
 from agoraflow.llm.common import pick
 
 SEQUENCE = 512
@@ -32,54 +32,39 @@ ROUNDS = 6
 #: Document id, chunk number and count of real ids in front of the ids of a record.
 HEADER = "<qii"
 HEADER_BYTES = struct.calcsize(HEADER)
-_CACHE_ENTRIES = 400_000
-
-
-class PieceEncoder:
-    """Ids of a piece model, word by word: no piece spans a word mark that follows another character."""
-
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.cut = re.compile("▁*[^▁]+|▁+").findall
-        self.known: dict[str, bytes] = {}
-        self.end = self.model.eos_id()
-        self.pad = max(self.model.pad_id(), 0)
-        pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
-        if any(re.search("[^▁]▁", p) for p in pieces):
-            raise ValueError("a piece spans a word mark; texts cannot be cut there")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text with the end mark behind, as 32-bit numbers."""
-        cuts = [self.cut(n) for n in (self.model.normalize(t) if t else "" for t in texts)]
-        if len(self.known) > _CACHE_ENTRIES:
-            self.known.clear()
-        new = list(set(chain.from_iterable(cuts)).difference(self.known))
-        # the model puts one mark in front: it stands for the first one of the word
-        plain = [w for w in new if w.startswith("▁")]
-        for word, ids in zip(plain, self.model.encode([w[1:].replace("▁", " ") for w in plain])):
-            self.known[word] = np.array(ids, dtype="<i4").tobytes()
-        for word in new:
-            if not word.startswith("▁"):
-                raise ValueError("a normalised text starts with a mark")
-        # an empty word is nothing to the model, a lone mark is a piece
-        if "▁" in self.known:
-            self.known["▁"] = np.array([self.model.piece_to_id("▁")], dtype="<i4").tobytes()
-        end = np.array([self.end], dtype="<i4").tobytes()
-        return [np.frombuffer(b"".join(chain(map(self.known.__getitem__, c), [end])), dtype="<i4") for c in cuts]
-
-
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
-
-
-def make_sequences(docs: DataFrame, path: str, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+
+class RankEncoder:
+    """Ids of a byte-level BPE by its public library, and an end mark behind every text."""
+
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
+
+        with open(path, "rb") as file:
+            ranks = read_ranks(file.read())
+        self.end = max(ranks.values()) + 1
+        self.pad = self.end
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text with the end mark behind; strings of special tokens are ordinary text."""
+        return np.append(self.library.encode_to_numpy(text, disallowed_special=()), np.uint32(self.end))
+
+
+_ENCODERS: dict[tuple[str, str], RankEncoder] = {}
+
+
+def encoder(path: str, pattern: str) -> RankEncoder:
+    """The encoder of a rank file, once per worker process."""
+    key = (path, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = RankEncoder(path, pattern)
+    return _ENCODERS[key]
+
+
+def make_sequences(
+    docs: DataFrame, path: str, pattern: str, sequence: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """task, number, record: one row per sequence, the number counting from 0 inside each task.
 
     A null or empty text is one sequence with the end mark alone; a null id is written as -1.
@@ -88,16 +73,17 @@ def make_sequences(docs: DataFrame, path: str, sequence: int = SEQUENCE, id_col:
     rows = pick(docs, id=id_col, text=text_col).select(F.coalesce(F.col("id").cast("long"), F.lit(-1)), "text")
 
     def run(batches):
-        tool, task, number = encoder(path), TaskContext.get().partitionId(), 0
+        tool, task, number = encoder(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(ids), 200):
                 records = []
-                for doc, tokens in zip(ids[a : a + 200], tool.encode([t or "" for t in texts[a : a + 200]])):
+                for doc, text in zip(ids[a : a + 200], texts[a : a + 200]):
+                    tokens = _narrow(tool.encode(text or ""))
                     for chunk, start in enumerate(range(0, len(tokens), sequence)):
                         part = tokens[start : start + sequence]
-                        pad = np.full(sequence - len(part), tool.pad, dtype="<i4")
-                        records.append(struct.pack(HEADER, doc, chunk, len(part)) + _narrow(part).tobytes() + _narrow(pad).tobytes())
+                        pad = np.full(sequence - len(part), tool.pad, dtype="<u2")
+                        records.append(struct.pack(HEADER, doc, chunk, len(part)) + part.tobytes() + pad.tobytes())
                 numbers = np.arange(number, number + len(records))
                 number += len(records)
                 yield pa.RecordBatch.from_arrays(
@@ -150,12 +136,11 @@ def assign_slots(sequences: DataFrame, key: int) -> DataFrame:
     # one row per task of the first pass
     indexed = held.join(broadcast_checked(offsets, max_rows=4_000_000), "task").select((F.col("before") + F.col("number")).alias("index"), "record")
 
-    def run(batches):
-        for batch in batches:
-            slots = feistel(batch.column(0).to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(1)], names=["slot", "record"])
+    @F.pandas_udf("long")
+    def slot(index: pd.Series) -> pd.Series:
+        return pd.Series(feistel(index.to_numpy(), n, key))
 
-    return indexed.mapInArrow(run, "slot long, record binary")
+    return indexed.select(slot("index").alias("slot"), "record")
 
 
 def to_shards(slotted: DataFrame, stride: int = STRIDE) -> DataFrame:
@@ -195,15 +180,21 @@ def to_shards(slotted: DataFrame, stride: int = STRIDE) -> DataFrame:
 
 
 def training_order(
-    docs: DataFrame, path: str, key: int = 20240229, sequence: int = SEQUENCE, stride: int = STRIDE, **columns: str
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    key: int = 20240229,
+    sequence: int = SEQUENCE,
+    stride: int = STRIDE,
+    **columns: str,
 ) -> DataFrame:
     """The shards of all documents. The same files, splits and key give the same order."""
-    return to_shards(assign_slots(make_sequences(docs, path, sequence, **columns), key), stride)
+    return to_shards(assign_slots(make_sequences(docs, path, pattern, sequence, **columns), key), stride)
 
 
-def write_training_order(docs: DataFrame, out: str, path: str, **options) -> None:
+def write_training_order(docs: DataFrame, out: str, path: str, pattern: str, **options) -> None:
     """Write the shards as Parquet; ``read_slots`` reads ranges of them."""
-    training_order(docs, path, **options).write.mode("overwrite").parquet(out)
+    training_order(docs, path, pattern, **options).write.mode("overwrite").parquet(out)
 
 
 def records(shards: DataFrame) -> DataFrame:
