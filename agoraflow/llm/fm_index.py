@@ -16,7 +16,6 @@ from __future__ import annotations
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from agoraflow.llm.common import append_columns, pick
 WINDOW = 10
 SAMPLE = 16
 #: Words of a shard: bounds the memory of one index.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 #: Bytes of test items that go to the workers at once; more items go in several blocks.
 BLOCK_BYTES = 16 << 20
 
@@ -235,41 +234,43 @@ def mark_hits(
     items and rows are fine. Items beyond ``BLOCK_BYTES`` go in further blocks, each sent to
     the workers in turn, so what a worker holds stays bounded.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, window)
-    spark = docs.sparkSession
-    held = [spark.sparkContext.broadcast(b) for b in blocks]
-
-    def make():
-        def compute(texts):
-            n_words, spans, items = [], [], []
-            shard: list[list[bytes]] = []
-            size = 0
-
-            def index_shard():
-                merged = [([], set()) for _ in shard]
-                for block in held:
-                    for d, (s, names) in enumerate(find_spans(shard, block.value)):
-                        merged[d] = (merged[d][0] + s, merged[d][1] | names)
-                for s, names in merged:
-                    spans.append(_merge(s))
-                    items.append(sorted(names))
-                shard.clear()
-
-            for text in texts:
-                words = words_of(text)
-                n_words.append(len(words))
-                shard.append(words)
-                size += len(words)
-                if size >= SHARD_WORDS:
-                    index_shard()
-                    size = 0
-            index_shard()
-            return [n_words, spans, items]
-
-        return compute
-
+    scan = _scanner(docs, benchmark, item_col, item_text_col, window)
     fields = [("_n_words", "long"), ("_spans", "array<int>"), ("_items", "array<string>")]
-    return append_columns(docs, text_col, fields, make)
+    return append_columns(docs, text_col, fields, lambda: scan)
+
+
+def _scanner(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int):
+    """A function from texts to (n_words, spans, items) of each, over all blocks of items."""
+    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    held = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks]
+
+    def scan(texts):
+        n_words, spans, items = [], [], []
+        shard: list[list[bytes]] = []
+        size = 0
+
+        def index_shard():
+            merged = [([], set()) for _ in shard]
+            for block in held:
+                for d, (s, names) in enumerate(find_spans(shard, block.value)):
+                    merged[d] = (merged[d][0] + s, merged[d][1] | names)
+            for s, names in merged:
+                spans.append(_merge(s))
+                items.append(sorted(names))
+            shard.clear()
+
+        for text in texts:
+            words = words_of(text)
+            n_words.append(len(words))
+            shard.append(words)
+            size += len(words)
+            if size >= SHARD_WORDS:
+                index_shard()
+                size = 0
+        index_shard()
+        return [n_words, spans, items]
+
+    return scan
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[int]:
@@ -299,40 +300,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
+def remove_hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
     """``docs`` with all hit words cut out of the text; documents of which no word is left are dropped.
 
-        A document without a hit keeps its text byte for byte. Where a span is cut, the text before
+    A document without a hit keeps its text byte for byte. Where a span is cut, the text before
     it and the text behind it are put on lines of their own.
     """
     names = docs.columns
-    marked = mark_hits(docs, benchmark, text_col, **columns)
+    scan = _scanner(docs, benchmark, item_col, item_text_col, window)
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        return pd.Series([_cut(t, s) for t, s in zip(text, spans)], dtype=object)
+    def compute(texts):
+        cut = [_cut(t, s) for t, s in zip(texts, scan(texts)[1])]
+        return [[None if t is None else t.decode() for t in cut], [t == b"" != was for t, was in zip(cut, texts)]]
 
-    hit = F.size("_spans") > 0
-    cleaned = marked.withColumn(
-        text_col, cut(F.col(f"`{text_col}`"), F.col("_spans"))
-    )
-    emptied = hit & (F.length(F.col(f"`{text_col}`")) == 0)
-    return cleaned.filter(~emptied).select(*[F.col(f"`{c}`") for c in names])
+    cleaned = append_columns(docs, text_col, [(text_col, "string"), ("_emptied", "boolean")], lambda: compute)
+    return cleaned.filter("not _emptied").select(*[F.col(f"`{c}`") for c in names])
 
 
-def _cut(text: str | None, spans) -> str | None:
-    if text is None or spans is None or len(spans) == 0:
+def _cut(text: bytes | None, spans: list[int]) -> bytes | None:
+    if text is None or not spans:
         return text
-    data = text.encode()
-    flat = np.frombuffer(data.translate(WORD_BYTES), dtype=np.uint8) != 32
+    flat = np.frombuffer(text.translate(WORD_BYTES), dtype=np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flat.astype(np.int8), [0]])))
     begin, end = edge[::2], edge[1::2]
     kept, at = [], 0
     for a, b in zip(spans[::2], spans[1::2]):
-        kept.append(data[at : begin[a]])
+        kept.append(text[at : begin[a]].strip())
         at = end[b - 1]
-    kept.append(data[at:])
-    parts = [p.strip() for p in (k.decode() for k in kept)]
-    left = "\n".join(p for p in parts if p)
-    return left if words_of(left.encode()) else ""
-
+    kept.append(text[at:].strip())
+    left = b"\n".join(p for p in kept if p)
+    return left if words_of(left) else b""
