@@ -142,9 +142,8 @@ _TOP = """tc AS (SELECT cluster_id FROM combined WHERE cluster_id <> -1 GROUP BY
 
 @query(
     "cluster_community_matrix",
-    f"""WITH {_TOP} SELECT tc.cluster_id, ts.subreddit,
-      (SELECT count(*) FROM combined c WHERE c.cluster_id = tc.cluster_id AND c.subreddit = ts.subreddit) AS n
-    FROM tc CROSS JOIN ts""",
+    f"""WITH {_TOP} SELECT cluster_id, subreddit, count(*) AS n FROM combined
+    WHERE cluster_id IN (FROM tc) AND subreddit IN (FROM ts) GROUP BY ALL""",
 )
 def _(t: Tables):
     docs = t.combined
@@ -324,10 +323,10 @@ def _(t: Tables):
 
 @query(
     "paged_scan",
-    "SELECT id, score FROM posts WHERE id > 'p2' ORDER BY id LIMIT 50",
+    "SELECT id, score, (row_number() OVER (ORDER BY id) - 1) // 50 AS page FROM posts",
 )
 def _(t: Tables):
-    return sampling.page_after(t.posts.select("id", "score"), "id", "p2", 50)
+    return sampling.paged(t.posts.select("id", "score"), ["id"], 50)
 
 
 # ---- sets and scalar functions ----

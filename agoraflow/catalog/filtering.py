@@ -24,16 +24,14 @@ _LIKE = " OR ".join(
 _MATCH = f"regexp_matches(lower(title), '{_PATTERN}')"
 
 
-@query("keyword_filter", f"SELECT id, subreddit, score FROM posts WHERE ({_LIKE}) AND {_MATCH}")
+@query("keyword_filter", f"SELECT id, subreddit, score FROM posts WHERE {_MATCH}")
 def _(t: Tables):
     return filters.keyword_filter(t.posts, TERMS, "posts").select("id", "subreddit", "score")
 
 
 @query(
     "keyword_filter_comments",
-    "SELECT id, subreddit, author FROM comments WHERE ("
-    + " OR ".join(f"lower({c}) LIKE '%{t}%'" for t in TERMS for c in ("subreddit", "body"))
-    + f") AND regexp_matches(lower(body), '{_PATTERN}')",
+    f"SELECT id, subreddit, author FROM comments WHERE regexp_matches(lower(body), '{_PATTERN}')",
 )
 def _(t: Tables):
     return filters.keyword_filter(t.comments, TERMS, "comments").select("id", "subreddit", "author")
@@ -42,7 +40,7 @@ def _(t: Tables):
 @query(
     "keyword_rank",
     f"""SELECT subreddit, n, row_number() OVER (ORDER BY n DESC, subreddit) AS sub_rank
-    FROM (SELECT subreddit, count(*) AS n FROM posts WHERE ({_LIKE}) AND {_MATCH} GROUP BY subreddit)""",
+    FROM (SELECT subreddit, count(*) AS n FROM posts WHERE {_MATCH} GROUP BY subreddit)""",
 )
 def _(t: Tables):
     return community_ranks(filters.keyword_filter(t.posts, TERMS, "posts"))

@@ -6,6 +6,7 @@ Each fixture has two forms with the same meaning: a DataFrame (a property of
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cached_property
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraflow.functions.scale import materialize, spread
+from agoraflow.functions.vectors import dot
 from agoraflow.operators.aggregates import topic_centroids
 from agoraflow.operators.sampling import top_per_group
 from agoraflow.operators.similarity import cosine_edges
@@ -21,15 +23,27 @@ from agoraflow.operators.similarity import cosine_edges
 EPOCH = 1_751_328_000
 WINDOW = (1_751_328_000, 1_754_006_400)
 WHITELIST = [f"src{i}" for i in range(15)]
-TERMS = ["that", "with", "this", "from", "avec", "dans", "nicht", "thon"]
+# 40 terms: some common, most rare, and more than the first 20 in order have hits of their own
+TERMS = [
+    "nicht", "avec", "thon", "dans", "aber", "auch", "aux", "bis", "chez", "como", "cuando", "dass", "eanst", "edsh", "eron",
+    "esth", "haber", "heaan", "inoren", "lyre", "mais", "ndea", "onre", "oust", "pero", "porque", "reou", "sans", "sein",
+    "shan", "sobre", "sous", "stst", "thhe", "tionon", "trop", "unter", "werden", "zwischen", "über",
+]
 EDGE_THRESHOLD = 0.10
 CROSS_THRESHOLD = 0.15
 LINK_THRESHOLD = 0.20
 DISPLAY_THRESHOLD = 0.25
 WORDS_PER_TOPIC = 10
+# a fixed linear map of all 64 numbers of a vector to x, y, z: three cosine waves of unit norm
+AXES = [[round(math.sqrt(2 / 64) * math.cos(math.pi * (i + 0.5) * (j + 1) / 64), 6) for i in range(64)] for j in range(3)]
 STOP_WORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "that", "this", "with", "from", "for", "on"]
 
 
+def placed(vector):
+    """x, y, z of a vector."""
+    return [dot(vector, F.array(*map(F.lit, axis))).alias(name) for name, axis in zip("xyz", AXES)]
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -45,8 +59,8 @@ class Tables:
             F.concat(F.lit("p"), F.col("doc_id")).alias("id"),
             F.lit("post").alias("type"),
             F.col("source").alias("subreddit"),
-            F.substring("text", 1, 200).alias("title"),
-            F.col("text").alias("selftext"),
+            F.col("text").alias("title"),
+            F.concat_ws(" ", "source", "lang").alias("selftext"),
             (F.lit(EPOCH) + 3600 * F.col("doc_id")).alias("created_utc"),
             (F.col("n_chars") % 100).alias("num_comments"),
             F.col("n_chars").alias("score"),
@@ -84,18 +98,12 @@ class Tables:
 
     @cached_property
     def points(self) -> DataFrame:
-        v = F.col("vector")
-        return self.vectors.select(
-            "id", "type", v[0].alias("x"), v[1].alias("y"), v[2].alias("z")
-        )
+        return self.vectors.select("id", "type", *placed(F.col("vector")))
 
     @cached_property
     def blob_points(self) -> DataFrame:
-        v = F.col("vector")
-        shift = 2 * (F.col("label") % 5)
-        return self.vectors.select(
-            "id", "type", (v[0] + shift).alias("x"), v[1].alias("y"), v[2].alias("z")
-        )
+        x, y, z = placed(F.col("vector"))
+        return self.vectors.select("id", "type", (x + 2 * (F.col("label") % 5)).alias("x"), y, z)
 
     @cached_property
     def clusters(self) -> DataFrame:
@@ -161,10 +169,16 @@ class Tables:
 
 _LIST = ", ".join(f"'{w}'" for w in WHITELIST)
 
+
+def placed_sql(vector: str) -> str:
+    return ", ".join(f"list_dot_product({vector}, CAST({axis} AS DOUBLE[])) AS {name}" for name, axis in zip("xyz", AXES))
+
+
+
 # name -> definition
 SQL: dict[str, str] = {
     "posts": f"""SELECT 'p' || doc_id AS id, 'post' AS type, source AS subreddit,
-        substr(text, 1, 200) AS title, text AS selftext, {EPOCH} + 3600 * doc_id AS created_utc,
+        text AS title, concat_ws(' ', source, lang) AS selftext, {EPOCH} + 3600 * doc_id AS created_utc,
         n_chars % 100 AS num_comments, n_chars AS score, lang AS author FROM documents""",
     "comments": f"""SELECT 'c' || conv_id || '_' || turn AS id, 'comment' AS type,
         'src' || (conv_id % 20) AS subreddit, text AS body,
@@ -173,9 +187,8 @@ SQL: dict[str, str] = {
         UNION ALL SELECT type, id, subreddit, coalesce(body, '') FROM comments""",
     "vectors": """SELECT 'p' || vec_id AS id, 'post' AS type, CAST(embedding AS DOUBLE[]) AS vector,
         vec_id, label FROM embeddings""",
-    "points": "SELECT id, type, vector[1] AS x, vector[2] AS y, vector[3] AS z FROM vectors",
-    "blob_points": """SELECT id, type, vector[1] + 2 * (label % 5) AS x, vector[2] AS y, vector[3] AS z
-        FROM vectors""",
+    "points": f"SELECT id, type, {placed_sql('vector')} FROM vectors",
+    "blob_points": """SELECT p.id, p.type, p.x + 2 * (v.label % 5) AS x, p.y, p.z FROM points p JOIN vectors v USING (id)""",
     "clusters": "SELECT id, type, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster_id FROM vectors",
     "combined": r"""SELECT p.id, p.type, p.x, p.y, p.z, c.cluster_id,
         coalesce(t.subreddit, 'Unknown') AS subreddit, regexp_replace(t.text, '^\s+|\s+$', '', 'g') AS text

@@ -11,6 +11,8 @@ from agoraflow.catalog.fixtures import (
     EDGE_THRESHOLD,
     LINK_THRESHOLD,
     Tables,
+    placed,
+    placed_sql,
 )
 from agoraflow.functions import vectors as vec
 from agoraflow.operators import aggregates as agg
@@ -192,19 +194,18 @@ def _(t: Tables):
 @query(
     "edge_endpoints",
     f"""SELECT {', '.join('e.' + c for c in _EDGE_COLS)},
-      round(a.centroid[1], 6) AS source_x, round(a.centroid[2], 6) AS source_y, round(a.centroid[3], 6) AS source_z,
-      round(b.centroid[1], 6) AS target_x, round(b.centroid[2], 6) AS target_y, round(b.centroid[3], 6) AS target_z
+      round(a.x, 6) AS source_x, round(a.y, 6) AS source_y, round(a.z, 6) AS source_z,
+      round(b.x, 6) AS target_x, round(b.y, 6) AS target_y, round(b.z, 6) AS target_z
     FROM edges e
-    JOIN centroids a ON a.scope_type = e.source_scope AND a.scope_value = e.source_value AND a.topic_id = e.source_topic
-    JOIN centroids b ON b.scope_type = e.target_scope AND b.scope_value = e.target_value AND b.topic_id = e.target_topic
+    JOIN (SELECT *, {placed_sql('centroid')} FROM centroids) a ON a.scope_type = e.source_scope AND a.scope_value = e.source_value AND a.topic_id = e.source_topic
+    JOIN (SELECT *, {placed_sql('centroid')} FROM centroids) b ON b.scope_type = e.target_scope AND b.scope_value = e.target_value AND b.topic_id = e.target_topic
     WHERE a.topic_id <> 0 AND b.topic_id <> 0""",
 )
 def _(t: Tables):
-    c = F.col("centroid")
-    placed = t.centroids.filter("topic_id <> 0").select(
-        "scope_type", "scope_value", "topic_id", c[0].alias("x"), c[1].alias("y"), c[2].alias("z")
+    places = t.centroids.filter("topic_id <> 0").select(
+        "scope_type", "scope_value", "topic_id", *placed(F.col("centroid"))
     )
-    ends = graph.edge_endpoints(t.edges, placed)
+    ends = graph.edge_endpoints(t.edges, places)
     coords = [f"{s}_{a}" for s in ("source", "target") for a in "xyz"]
     return ends.select(*_EDGE_COLS, *[F.round(x, 6).alias(x) for x in coords])
 
@@ -212,11 +213,6 @@ def _(t: Tables):
 _OVERLAP = f"""SELECT value AS source, other_value AS target, count(DISTINCT topic) AS n_topics FROM ends
     WHERE scope = 'subreddit' AND other_scope = 'subreddit' AND value <> other_value
       AND similarity >= {LINK_THRESHOLD} GROUP BY 1, 2"""
-_NAMES = "SELECT DISTINCT scope_value AS subreddit FROM centroids WHERE scope_type = 'subreddit'"
-
-
-def _communities(t: Tables):
-    return t.centroids.filter("scope_type = 'subreddit'").select(F.col("scope_value").alias("subreddit")).distinct()
 
 
 def _topic_counts(t: Tables):
@@ -226,21 +222,21 @@ def _topic_counts(t: Tables):
 
 @query(
     "topic_overlap_directed",
-    f"""SELECT a.subreddit AS source, b.subreddit AS target, coalesce(o.n_topics, 0) AS n_topics
-    FROM ({_NAMES}) a JOIN ({_NAMES}) b ON a.subreddit <> b.subreddit
-    LEFT JOIN ({_OVERLAP}) o ON o.source = a.subreddit AND o.target = b.subreddit""",
+    f"SELECT source, target, n_topics FROM ({_OVERLAP})",
 )
 def _(t: Tables):
-    overlap = graph.topic_overlap_directed(t.edges, LINK_THRESHOLD)
-    return graph.overlap_with_zeros(overlap, _communities(t))
+    return graph.topic_overlap_directed(t.edges, LINK_THRESHOLD)
 
 
 @query(
     "community_pairs",
-    f"SELECT a.subreddit AS subreddit_1, b.subreddit AS subreddit_2 FROM ({_NAMES}) a JOIN ({_NAMES}) b ON a.subreddit < b.subreddit",
+    """SELECT DISTINCT a.subreddit AS subreddit_1, b.subreddit AS subreddit_2 FROM combined a JOIN combined b
+      ON a.cluster_id = b.cluster_id AND a.subreddit < b.subreddit WHERE a.cluster_id <> -1
+    UNION SELECT subreddit_1, subreddit_2 FROM topic_jaccard WHERE jaccard >= 0.3""",
 )
 def _(t: Tables):
-    return graph.listed_pairs(_communities(t))
+    shared = similarity.shared_topic_counts(t.community_words, 0.3)
+    return graph.community_pairs(shared, t.combined.filter("cluster_id <> -1"))
 
 
 _TOPIC_COUNTS = """SELECT scope_value AS subreddit, count(DISTINCT topic_id) AS n_topics FROM membership

@@ -169,7 +169,7 @@ def _(t: Tables):
     path = scratch_path(t.spark, "archive")
     lines = t.posts.select(F.to_json(F.struct("id", "subreddit", "created_utc", "title", "selftext", "num_comments")).alias("value"))
     lines.write.option("compression", "gzip").text(path)
-    rows = archives.read_archives(t.spark, [path], "posts", t.spark.sparkContext.defaultParallelism)
+    rows = archives.read_archives(t.spark, [path], "posts")
     return rows.select(
         "id", "subreddit", "created_utc", F.md5("title").alias("title"), F.md5("selftext").alias("selftext"),
         "num_comments", F.when(F.col("source_file").endswith(".txt.gz"), "archive").alias("source_dir"),

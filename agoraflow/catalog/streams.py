@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agoraflow.catalog.fixtures import TERMS, WHITELIST, Tables
-from agoraflow.catalog.filtering import _LIKE, _MATCH
+from agoraflow.catalog.filtering import _MATCH
 from agoraflow.functions.scale import scratch_path
 from agoraflow.registry import query
 from agoraflow.streaming import ingest
@@ -23,8 +23,8 @@ def _documents(t: Tables):
     return d.select(
         F.concat(F.lit("p"), F.col("doc_id")).alias("id"),
         F.col("source").alias("subreddit"),
-        F.substring("text", 1, 200).alias("title"),
-        F.col("text").alias("selftext"),
+        F.col("text").alias("title"),
+        F.concat_ws(" ", "source", "lang").alias("selftext"),
     )
 
 
@@ -32,9 +32,15 @@ def _events(t: Tables):
     return ingest.stream_table(t.spark, t.sf_dir, t.raw("events").schema, "events.parquet")
 
 
-@query("stream_ingest", "SELECT event_id, event_type, user_id FROM events")
+@query("stream_ingest", "SELECT id, subreddit, created_utc, md5(title) AS title FROM posts")
 def _(t: Tables):
-    return _run(t, _events(t)).select("event_id", "event_type", "user_id")
+    # archives of two kinds in one folder; only the posts are asked for
+    base = scratch_path(t.spark, "archives")
+    for kind, rows in (("posts", t.posts), ("comments", t.comments)):
+        lines = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "type"])).alias("value"))
+        lines.write.option("compression", "gzip").text(f"{base}/{kind}")
+    stream = ingest.stream_ingest(t.spark, [f"{base}/posts"], "posts", names="*.gz")
+    return _run(t, stream).select("id", "subreddit", "created_utc", F.md5("title").alias("title"))
 
 
 @query(
@@ -46,17 +52,19 @@ def _(t: Tables):
     return _run(t, ingest.stream_whitelist(_documents(t), names).select("id", "subreddit"))
 
 
-@query("stream_keyword_filter", f"SELECT id, subreddit FROM posts WHERE ({_LIKE}) AND {_MATCH}")
+@query("stream_keyword_filter", f"SELECT id, subreddit FROM posts WHERE {_MATCH}")
 def _(t: Tables):
     kept = ingest.stream_keyword_filter(_documents(t), TERMS, "posts")
     return _run(t, kept.select("id", "subreddit"))
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", "SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL")
 def _(t: Tables):
     rows = _events(t).select(
         F.concat_ws("/", "user_id", "event_type").alias("id"), "user_id", "event_type",
         F.col("ts").cast("timestamp").alias("ts"),
     )
-    # the delay covers the whole table, so exactly one row per id remains
-    return _run(t, ingest.stream_dedup(rows, "id", "ts", "3650 days").select("user_id", "event_type"))
+    base = scratch_path(t.spark, "dedup")
+    ingest.stream_dedup(rows, f"{base}/rows", f"{base}/state", "id", "ts")
+    found = ingest.read_deduplicated(t.spark, f"{base}/rows", rows.schema)
+    return found.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))

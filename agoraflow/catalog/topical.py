@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agoraflow.catalog.fixtures import STOP_WORDS, Tables
-from agoraflow.catalog.graphs import _TOPIC_COUNTS, _communities, _topic_counts
+from agoraflow.catalog.graphs import _TOPIC_COUNTS, _topic_counts
 from agoraflow.functions import vectors as vec
+from agoraflow.functions.scale import materialize
 from agoraflow.operators import aggregates as agg
 from agoraflow.operators import similarity, tokens, topics
 from agoraflow.registry import query
@@ -29,7 +30,7 @@ def _(t: Tables):
     "tokenize",
     f"""WITH v AS ({_VOCABULARY}),
     w AS (SELECT type, id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
-          FROM (SELECT type, id, {_WORDS}[1:510] AS words FROM content)),
+          FROM (SELECT type, id, {_WORDS} AS words FROM content)),
     j AS (SELECT type, id, string_agg(CAST(coalesce(v.token, 0) AS VARCHAR), ' ' ORDER BY pos) AS body, count(*) AS n
           FROM w LEFT JOIN v USING (word) GROUP BY type, id)
     SELECT c.type, c.id, md5('1 ' || coalesce(j.body || ' ', '') || '2') AS digest, coalesce(j.n, 0) + 2 AS n_tokens
@@ -81,15 +82,40 @@ def _(t: Tables):
     return _pool(t).select("id", F.round(vec.l2_norm(F.col("vector")), 6).alias("norm"))
 
 
-@query("embed_documents")
+@query(
+    "tokenize_chunks",
+    f"""WITH v AS ({_VOCABULARY}),
+    w AS (SELECT type, id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+          FROM (SELECT type, id, {_WORDS} AS words FROM content)),
+    j AS (SELECT type, id, (pos - 1) // 62 AS chunk,
+            string_agg(CAST(coalesce(v.token, 0) AS VARCHAR), ' ' ORDER BY pos) AS body, count(*) AS n
+          FROM w LEFT JOIN v USING (word) GROUP BY ALL)
+    SELECT c.type, c.id, CAST(coalesce(j.chunk, 0) AS INTEGER) AS chunk,
+      md5('1 ' || coalesce(j.body || ' ', '') || '2') AS digest, coalesce(j.n, 0) + 2 AS n_tokens
+    FROM content c LEFT JOIN j USING (type, id)""",
+)
 def _(t: Tables):
-    return tokens.embed_documents(t.content)
+    rows = tokens.tokenize_chunks(t.content, tokens.build_vocabulary(t.content, min_count=3), 64)
+    return rows.select(
+        "type", "id", "chunk",
+        F.md5(F.concat_ws(" ", F.col("tokens").cast("array<string>"))).alias("digest"),
+        F.size("tokens").cast("long").alias("n_tokens"),
+    )
 
 
-@query("embed_by_word_vectors")
+_HEX = "list_sum(list_transform(range(8), lambda i: (strpos('0123456789abcdef', substr(h, CAST(i + 1 AS INTEGER), 1)) - 1) * CAST(pow(16, 7 - i) AS BIGINT)))"
+_EMBEDDED = f"""WITH w AS (SELECT type, id, md5(unnest({_WORDS})) AS h FROM content),
+    n AS (SELECT type, id, CAST({_HEX} AS BIGINT) % 768 AS dim, count(*) AS n FROM w GROUP BY ALL),
+    f AS (SELECT dim, ln(((SELECT count(*) FROM (SELECT DISTINCT type, id FROM n)) + 1) / (count(*) + 1)::DOUBLE) AS idf
+          FROM n GROUP BY dim),
+    v AS (SELECT type, id, dim, n.n * idf AS x FROM n JOIN f USING (dim)),
+    u AS (SELECT type, id, dim, x / sqrt(sum(x * x) OVER (PARTITION BY type, id)) AS value, x FROM v)"""
+
+
+@query("embed_documents", f"{_EMBEDDED} SELECT type, id, dim AS pos, round(value, 6) AS value FROM u WHERE round(value, 6) > 0")
 def _(t: Tables):
-    word_vectors = tokens.fit_word_vectors(t.comments.withColumnRenamed("body", "text"), dims=16)
-    return tokens.embed_by_word_vectors(t.content, word_vectors)
+    rows = tokens.embed_documents(t.content).select("type", "id", F.posexplode("vector").alias("pos", "value"))
+    return rows.select("type", "id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value")).filter("value > 0")
 
 
 # ---- n-grams and topic words ----
@@ -123,8 +149,6 @@ def _counts(t: Tables):
 
 
 def _weights(t: Tables):
-    from agoraflow.functions.scale import materialize
-
     return topics.class_tfidf(materialize(_counts(t)))
 
 
@@ -213,13 +237,11 @@ def _(t: Tables):
 @query("mmr_words")
 def _(t: Tables):
     weights = _weights(t)
-    candidates = topics.top_words(weights, topics.CANDIDATE_WORDS)
-    singles = candidates.filter(~F.col("word").contains(" "))
-    term_docs = (
-        t.topic_texts.select(*_KEY, "type", "id", F.explode(F.array_distinct(tokens.words_of(F.col("text")))).alias("word"))
-        .join(singles.select(*_KEY, "word"), [*_KEY, "word"], "left_semi")
+    candidates = topics.top_words(weights, 30)
+    term_docs = tokens.document_terms(t.topic_texts, stop_words=STOP_WORDS).withColumnRenamed("term", "word").join(
+        candidates.select(*_KEY, "word"), [*_KEY, "word"], "left_semi"
     )
-    return topics.mmr_words(singles, term_docs, t.vectors, t.centroids)
+    return topics.mmr_words(candidates, term_docs, t.vectors, t.centroids)
 
 
 # ---- comparison of communities ----
@@ -269,9 +291,9 @@ def _(t: Tables):
 
 _SHARED = """SELECT subreddit_1, subreddit_2, count(*) AS shared FROM topic_jaccard WHERE jaccard >= 0.3 GROUP BY 1, 2"""
 _SCORES = f"""SELECT a.subreddit AS subreddit_1, b.subreddit AS subreddit_2,
-      coalesce(s.shared, 0) / greatest(a.n_topics, b.n_topics)::DOUBLE AS score, coalesce(s.shared, 0) AS shared
-    FROM ({_TOPIC_COUNTS}) a JOIN ({_TOPIC_COUNTS}) b ON a.subreddit < b.subreddit
-    LEFT JOIN ({_SHARED}) s ON s.subreddit_1 = a.subreddit AND s.subreddit_2 = b.subreddit"""
+      s.shared / greatest(a.n_topics, b.n_topics)::DOUBLE AS score, s.shared
+    FROM ({_SHARED}) s JOIN ({_TOPIC_COUNTS}) a ON s.subreddit_1 = a.subreddit
+    JOIN ({_TOPIC_COUNTS}) b ON s.subreddit_2 = b.subreddit"""
 
 
 @query(
@@ -281,19 +303,23 @@ _SCORES = f"""SELECT a.subreddit AS subreddit_1, b.subreddit AS subreddit_2,
     UNION ALL SELECT subreddit, subreddit, 1.0::DOUBLE FROM ({_TOPIC_COUNTS})""",
 )
 def _(t: Tables):
-    scores = topics.topic_overlap_score(t.community_words, _topic_counts(t), _communities(t))
+    shared = similarity.shared_topic_counts(t.community_words, 0.3)
+    scores = topics.topic_overlap_score(shared, _topic_counts(t))
     return scores.withColumn("score", F.round("score", 6))
 
 
 @query(
     "combined_similarity",
-    f"""WITH sets AS (SELECT subreddit, list(DISTINCT cluster_id) AS c FROM combined WHERE cluster_id <> -1 GROUP BY subreddit)
-    SELECT s.subreddit_1, s.subreddit_2, s.shared AS shared_topics,
-      coalesce(len(list_intersect(a.c, b.c)), 0) AS shared_clusters,
-      round((least(s.score, 1) + coalesce(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c)))::DOUBLE, 0)) / 2, 6)
-        AS combined_score
-    FROM ({_SCORES}) s LEFT JOIN sets a ON a.subreddit = s.subreddit_1 LEFT JOIN sets b ON b.subreddit = s.subreddit_2""",
+    f"""WITH sets AS (SELECT subreddit, list(DISTINCT cluster_id) AS c FROM combined WHERE cluster_id <> -1
+      AND subreddit IN (SELECT subreddit FROM ({_TOPIC_COUNTS})) GROUP BY subreddit),
+    near AS (SELECT a.subreddit AS subreddit_1, b.subreddit AS subreddit_2, len(list_intersect(a.c, b.c)) AS k,
+      len(list_distinct(list_concat(a.c, b.c)))::DOUBLE AS u FROM sets a JOIN sets b
+      ON a.subreddit < b.subreddit AND len(list_intersect(a.c, b.c)) > 0)
+    SELECT subreddit_1, subreddit_2, coalesce(s.shared, 0) AS shared_topics, coalesce(k, 0) AS shared_clusters,
+      round((least(coalesce(s.score, 0), 1) + coalesce(k / u, 0)) / 2, 6) AS combined_score
+    FROM ({_SCORES}) s FULL JOIN near USING (subreddit_1, subreddit_2)""",
 )
 def _(t: Tables):
-    rows = topics.combined_similarity(t.community_words, _topic_counts(t), t.combined, _communities(t))
+    shared = materialize(similarity.shared_topic_counts(t.community_words, 0.3))
+    rows = topics.combined_similarity(shared, _topic_counts(t), t.combined)
     return rows.withColumn("combined_score", F.round("combined_score", 6))

@@ -127,20 +127,16 @@ def cluster_diversity(df: DataFrame, exclude_noise: bool = True) -> DataFrame:
 
 
 def cluster_community_matrix(df: DataFrame, clusters: DataFrame, communities: DataFrame) -> DataFrame:
-    """Counts of every selected cluster with every selected community, zeros kept.
+    """Counts of selected clusters with selected communities, for the pairs that occur.
 
-    The selections are top-n lists. Both are put into one row of two arrays and
-    exploded, so the grid has exactly clusters x communities rows and the
-    documents are only counted, never paired.
+    Documents are counted first; the selections then only filter the counts. A pair
+    without a row is a zero.
     """
-    listed = clusters.select("cluster_id").unionByName(
-        communities.select("subreddit"), allowMissingColumns=True
-    ).agg(F.collect_list("cluster_id").alias("_clusters"), F.collect_list("subreddit").alias("_communities"))
-    grid = listed.select(F.explode("_clusters").alias("cluster_id"), "_communities").select(
-        "cluster_id", F.explode("_communities").alias("subreddit")
-    )
-    return grid.join(cluster_community_counts(df), ["cluster_id", "subreddit"], "left").select(
-        "cluster_id", "subreddit", F.coalesce("n", F.lit(0)).alias("n")
+    return (
+        cluster_community_counts(df)
+        .join(clusters.select("cluster_id"), "cluster_id", "left_semi")
+        .join(communities.select("subreddit"), "subreddit", "left_semi")
+        .select("cluster_id", "subreddit", "n")
     )
 
 

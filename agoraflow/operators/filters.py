@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 from agoraflow.functions.scale import broadcast_checked
 from agoraflow.functions.text import bounded_pattern, bounded_pattern_column, strip
 
-# fixed value: number of terms, in sorted order, that the cheap first filter uses
-PREFILTER_TERMS = 20
-
 # fixed values: text columns per content kind, and the ones the word match reads
 PREFILTER_COLUMNS = {
     "posts": ("subreddit", "title", "selftext"),
@@ -26,16 +23,10 @@ PREFILTER_COLUMNS = {
 }
 MATCH_COLUMNS = {"posts": ("title",), "comments": ("body",)}
 
-# longest alternation pattern used before the word match becomes a join
-ALTERNATION_TERMS = 2000
-
-
-def contains_any(terms: Sequence[str], columns: Sequence[str], max_terms: int | None = PREFILTER_TERMS) -> Column:
-    """True when a lower-cased column contains one of the first ``max_terms`` sorted terms.
 
-    Terms are literal text. ``max_terms=None`` uses all of them.
-    """
-    used = sorted(set(terms))[:max_terms]
+def contains_any(terms: Sequence[str], columns: Sequence[str]) -> Column:
+    """True when a lower-cased column contains one of the terms as literal text."""
+    used = sorted(set(terms))
     if not used:
         return F.lit(False)
 
@@ -62,18 +53,16 @@ def keyword_filter(
     df: DataFrame,
     terms: Sequence[str],
     kind: str = "posts",
-    max_prefilter_terms: int | None = PREFILTER_TERMS,
-    prefilter_cols: Sequence[str] | None = None,
     match_cols: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Keep rows that pass the substring test and then the whole-word test.
+    """Keep rows that hold one of ``terms`` as a whole word.
 
-    The cheap test comes first and the conjunction short-circuits, so the pattern
-    only runs on candidates. One scan, no shuffle, schema unchanged.
+    A whole-word hit is also a substring hit in the same column, so the cheap substring
+    test runs first, over the columns that are matched: the conjunction short-circuits,
+    the pattern sees candidates only, and no other wide column is read.
     """
-    cheap = contains_any(terms, prefilter_cols or PREFILTER_COLUMNS[kind], max_prefilter_terms)
-    exact = matches_any_term(terms, match_cols or MATCH_COLUMNS[kind])
-    return df.filter(cheap & exact)
+    columns = match_cols or MATCH_COLUMNS[kind]
+    return df.filter(contains_any(terms, columns) & matches_any_term(terms, columns))
 
 
 def match_terms_by_join(
@@ -89,29 +78,24 @@ def match_terms_by_join(
     The distinct words of each row meet the first word of every term in an
     equi-join that carries only ids, which leaves the few candidate patterns of a
     row; the text is tested against these alone. A term without any word
-    character is tested on all rows.
+    character meets the rows that hold its first character.
     """
     first_word = F.regexp_extract(term_col, "([0-9A-Za-z_]+)", 1)
-    keyed = terms.select(
-        first_word.alias("_word"), bounded_pattern_column(F.col(pattern_col)).alias("_pattern")
+    first = F.when(first_word != "", first_word).otherwise(F.substring(term_col, 1, 1))
+    keyed = broadcast_checked(
+        terms.select(first.alias("_first"), bounded_pattern_column(F.col(pattern_col)).alias("_pattern"))
     )
-    worded = broadcast_checked(keyed.filter("_word != ''"))
-    bare = [r["_pattern"] for r in keyed.filter("_word = ''").limit(ALTERNATION_TERMS + 1).collect()]
-    if len(bare) > ALTERNATION_TERMS:
-        raise ValueError("too many terms without a word character")
-
     text = F.lower(F.concat_ws("\n", *[F.col(c) for c in columns]))
+    signs = F.regexp_extract_all(text, F.lit("([^0-9A-Za-z_])"), F.lit(1))
+    firsts = F.array_distinct(F.concat(F.split(text, "[^0-9A-Za-z_]+"), signs))
     candidates = (
-        df.select(id_col, F.explode(F.array_distinct(F.split(text, "[^0-9A-Za-z_]+"))).alias("_word"))
-        .join(worded, "_word")
+        df.select(id_col, F.explode(firsts).alias("_first"))
+        .join(keyed, "_first")
         .groupBy(id_col)
         .agg(F.concat_ws("|", F.collect_set("_pattern")).alias("_patterns"))
     )
-    joined = df.join(candidates, id_col, "left" if bare else "inner").withColumn("_text", text)
-    hit = F.coalesce(F.expr("_text rlike _patterns"), F.lit(False))
-    if bare:
-        hit = hit | F.rlike("_text", F.lit("|".join(bare)))
-    return joined.filter(hit).select(*df.columns)
+    joined = df.join(candidates, id_col).withColumn("_text", text)
+    return joined.filter(F.expr("_text rlike _patterns")).select(*df.columns)
 
 
 def event_time_range(df: DataFrame, start: int, end: int, time_col: str = "created_utc") -> DataFrame:

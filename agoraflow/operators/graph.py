@@ -187,29 +187,17 @@ def topic_overlap_directed(edges: DataFrame, threshold: float = 0.7) -> DataFram
     )
 
 
-def listed_pairs(communities: DataFrame, max_listed: int = 1000) -> DataFrame:
-    """Pairs a < b of a selected, bounded list of communities.
+def community_pairs(words_shared: DataFrame, cluster_sets: DataFrame) -> DataFrame:
+    """Pairs a < b of communities that share a similar topic or a cluster.
 
-    Only matrices over a top-n selection need pairs without any link. The list is
-    held in one array row; position i is exploded to the positions after it.
+    ``words_shared`` has subreddit_1, subreddit_2; ``cluster_sets`` subreddit, cluster_id. Pairs
+    without either are not made: a reader takes them as zero.
     """
-    listed = communities.select("subreddit").distinct()
-    if listed.limit(max_listed + 1).count() > max_listed:
-        raise ValueError(f"select at most {max_listed} communities for a full matrix")
-    names = listed.agg(F.sort_array(F.collect_list("subreddit")).alias("_names"))
-    return (
-        names.select("_names", F.posexplode("_names").alias("_i", "subreddit_1"))
-        .select("subreddit_1", F.explode(F.slice("_names", F.col("_i") + 2, F.size("_names"))).alias("subreddit_2"))
-    )
-
-
-def overlap_with_zeros(overlap: DataFrame, communities: DataFrame) -> DataFrame:
-    """The directed overlap of every ordered pair of selected communities, zeros kept."""
-    half = listed_pairs(communities)
-    pairs = half.select(F.col("subreddit_1").alias("source"), F.col("subreddit_2").alias("target")).unionByName(
-        half.select(F.col("subreddit_2").alias("source"), F.col("subreddit_1").alias("target"))
-    )
-    return pairs.join(overlap, ["source", "target"], "left").fillna({"n_topics": 0})
+    named = cluster_sets.select("subreddit", "cluster_id").distinct()
+    one = named.select(F.col("subreddit").alias("subreddit_1"), "cluster_id")
+    two = named.select(F.col("subreddit").alias("subreddit_2"), "cluster_id")
+    by_cluster = one.join(two, "cluster_id").filter("subreddit_1 < subreddit_2").select("subreddit_1", "subreddit_2")
+    return by_cluster.unionByName(words_shared.select("subreddit_1", "subreddit_2")).distinct()
 
 
 def capped_overlap(overlap: DataFrame, topic_counts: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from agoraflow.functions.scale import global_row_number
+
 # fixed value: hexadecimal digits of the hash that form a bucket (16 ** 4 buckets)
 _BUCKET_DIGITS = 4
 
@@ -80,6 +82,15 @@ def head_counts(df: DataFrame, col: str, n: int, exclude: Sequence = (), out: st
     return rows.groupBy(col).agg(F.count("*").alias(out)).orderBy(F.desc(out), col).limit(n)
 
 
+def paged(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """All rows with their ``page`` (from 0) of ``size`` rows in key order; the keys are unique.
+
+    Written partitioned by page, or read page by page, this is the whole scan.
+    """
+    numbered = global_row_number(df, [F.col(k) for k in keys], "page")
+    return numbered.withColumn("page", F.floor((F.col("page") - 1) / size).cast("long"))
+
+
 def page_after(df: DataFrame, key: str, last, size: int) -> DataFrame:
     """The next page in key order after ``last``: a range filter instead of an offset."""
     rows = df if last is None else df.filter(F.col(key) > last)

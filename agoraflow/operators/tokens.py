@@ -7,33 +7,22 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.ml.feature import IDF, HashingTF, NGram, StopWordsRemover, Word2Vec
+from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 from pyspark.sql.window import Window
 
-from agoraflow.functions.scale import broadcast_checked, global_row_number
-from agoraflow.functions.vectors import l2_normalise
+from agoraflow.functions.scale import broadcast_checked, global_row_number, materialize
 
 # fixed values: special token ids, and the first id of a word
 UNKNOWN_ID, BEGIN_ID, END_ID, FIRST_WORD_ID = 0, 1, 2, 3
 
-# fixed value: longest token array, special ids included
-MAX_TOKENS = 512
-
 # fixed value: dimensions of a document vector
 VECTOR_DIMS = 768
 
-# most numbers (words x dimensions) of word vectors trained at once
-TRAINED_CELLS = 100_000_000
-
-# longest vocabulary that is broadcast to the tokenizing tasks
-VOCABULARY_BROADCAST = 1_000_000
-
 
 def words_of(text: Column, word_chars: str = r"\p{L}\p{N}", min_length: int = 1) -> Column:
     """Lower-cased words of a text: the longest runs of ``word_chars`` of sufficient length."""
@@ -59,63 +48,64 @@ def tokenize(
     vocabulary: DataFrame,
     keys: Sequence[str] = ("type", "id"),
     text_col: str = "text",
-    max_len: int = MAX_TOKENS,
+    max_len: int | None = None,
 ) -> DataFrame:
-    """keys + ``tokens``: begin id, word ids, end id, at most ``max_len`` ids, no padding.
+    """keys + ``tokens``: begin id, word ids, end id, without padding, one row per row of ``df``.
 
-    A vocabulary of at most ``VOCABULARY_BROADCAST`` words goes to all tasks and
-    the texts are encoded where they are, without a shuffle. A larger one is
-    joined to the exploded words. A word gives one id, so the words past the
-    limit are left out first.
+    The words are joined with the vocabulary and put together again; a word gives one id.
+    Rows that share their keys stay apart by their text, and rows that share both are
+    counted and given back as often. ``max_len`` is the limit of an encoder, special ids
+    included: words past it are left out. ``tokenize_chunks`` keeps them all.
     """
     keys = list(keys)
-    kept = F.slice(words_of(F.col(text_col)), 1, max_len - 2)
-    texts = df.select(*keys, F.coalesce(kept, F.array().cast("array<string>")).alias("_words"))
-    known = vocabulary.select("word", "token")
-    if known.limit(VOCABULARY_BROADCAST + 1).count() > VOCABULARY_BROADCAST:
-        return _tokenize_by_join(texts, known, keys)
-    table = known.toArrow()
-    shared = df.sparkSession.sparkContext.broadcast(
-        (table.column("word").combine_chunks(), table.column("token").combine_chunks())
+    words = words_of(F.col(text_col))
+    if max_len is not None:
+        words = F.slice(words, 1, max_len - 2)
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    # a first position tells that the row was there, whatever its words
+    exploded = df.select(
+        *keys,
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"),
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), words)).alias("pos", "word"),
+    )
+    token = F.when(F.col("pos") == 0, F.lit(BEGIN_ID)).otherwise(F.coalesce("token", F.lit(UNKNOWN_ID)))
+    # copies of a row are counted before any list is made
+    placed = (
+        exploded.join(vocabulary.select("word", "token"), "word", "left")
+        .groupBy(*keys, "_text", "pos", token.alias("token"))
+        .agg(F.count("*").alias("_copies"))
+    )
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"])
+    return (
+        placed.groupBy(*keys, "_text", "_copies")
+        .agg(F.concat(ids, F.array(F.lit(END_ID))).alias("tokens"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+        .select(*keys, "tokens")
     )
-    schema = StructType([f for f in texts.schema.fields if f.name != "_words"]).add("tokens", ArrayType(IntegerType()))
-    return texts.mapInArrow(_encode(shared, keys), schema)
 
 
-def _encode(shared, keys: list[str]):
-    """Word arrays to framed id arrays, one hash lookup per batch."""
+def tokenize_chunks(
+    df: DataFrame,
+    vocabulary: DataFrame,
+    chunk_len: int,
+    keys: Sequence[str] = ("type", "id"),
+    text_col: str = "text",
+) -> DataFrame:
+    """keys + ``chunk`` + ``tokens``: whole texts in chunks of at most ``chunk_len`` ids, special ids included.
 
-    def run(batches):
-        words, ids = shared.value
-        for batch in batches:
-            lists = batch.column("_words")
-            found = pc.fill_null(ids.take(pc.index_in(lists.flatten(), value_set=words)), UNKNOWN_ID)
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(sizes + 2)
-            out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
-            inside = np.ones(len(out), dtype=bool)
-            inside[ends - 1] = inside[ends - sizes - 2] = False
-            out[ends - 1], out[ends - sizes - 2] = END_ID, BEGIN_ID
-            out[inside] = found.to_numpy(zero_copy_only=False)
-            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-            tokens = pa.ListArray.from_arrays(offsets, pa.array(out))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), tokens], names=[*keys, "tokens"])
-
-    return run
-
-
-def _tokenize_by_join(texts: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
-    exploded = texts.select(*keys, F.posexplode_outer("_words").alias("pos", "word"))
-    word_ids = F.array_sort(
-        F.collect_list(
-            F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(UNKNOWN_ID)).alias("token")))
-        )
-    )
+    For encoders with a limit: no word is left out. A text without words has one chunk.
+    """
+    inner = chunk_len - 2
+    if inner < 1:
+        raise ValueError("a chunk holds at least one word")
+    keys = list(keys)
+    body = F.slice("tokens", 2, F.size("tokens") - 2)
+    n = F.greatest(F.ceil((F.size("tokens") - 2) / inner), F.lit(1)).cast("int")
+    part = F.slice(F.col("_body"), F.col("chunk") * inner + 1, F.lit(inner))
     return (
-        exploded.join(vocabulary, "word", "left")
-        .groupBy(*keys)
-        .agg(F.transform(word_ids, lambda s: s["token"]).alias("_ids"))
-        .select(*keys, F.concat(F.array(F.lit(BEGIN_ID)), "_ids", F.array(F.lit(END_ID))).alias("tokens"))
+        tokenize(df, vocabulary, keys, text_col)
+        .select(*keys, body.alias("_body"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+        .select(*keys, "chunk", F.concat(F.array(F.lit(BEGIN_ID)), part, F.array(F.lit(END_ID))).alias("tokens"))
     )
 
 
@@ -132,8 +122,13 @@ def embed_with(
     keys: Sequence[str] = ("type", "id"),
     schema: StructType | str = "type string, id string, vector array<float>",
 ) -> DataFrame:
-    """Encode each key exactly once with a user function over Arrow batches."""
-    return df.dropDuplicates(list(keys)).mapInPandas(encoder, schema)
+    """Encode each key exactly once with a user function over Arrow batches.
+
+    Of rows that share a key the smallest one, column by column, is encoded.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    once = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else df.distinct()
+    return once.select(*df.columns).mapInPandas(encoder, schema)
 
 
 def mean_pool_tokens(
@@ -160,52 +155,75 @@ def mean_pool_tokens(
     )
 
 
-def fit_word_vectors(
-    df: DataFrame, dims: int = 64, text_col: str = "text", min_count: int = 2, seed: int = 42, iterations: int = 1
-) -> DataFrame:
-    """word, vector: word vectors learned from the texts.
-
-    Training holds the vocabulary in the driver, so its size is checked first;
-    raise ``min_count`` for a larger corpus.
-    """
-    words = df.select(words_of(F.col(text_col)).alias("words"))
-    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    if counted.filter(F.col("n") >= min_count).count() * dims > TRAINED_CELLS:
-        raise ValueError("the vocabulary is too large to train on: raise min_count")
-    model = Word2Vec(
-        vectorSize=dims, minCount=min_count, seed=seed, maxIter=iterations, inputCol="words", outputCol="vector"
-    ).fit(words)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
-
-
-def embed_by_word_vectors(
-    df: DataFrame, word_vectors: DataFrame, keys: Sequence[str] = ("type", "id"), text_col: str = "text"
-) -> DataFrame:
-    """One unit vector per document: the mean of its word vectors.
-
-    Documents without a known word get no vector.
-    """
-    keys = list(keys)
-    tokens = df.dropDuplicates(keys).select(*keys, words_of(F.col(text_col)).alias("tokens"))
-    pooled = mean_pool_tokens(tokens, word_vectors.withColumnRenamed("word", "token"), keys)
-    return pooled.select(*keys, l2_normalise(F.col("vector")).alias("vector"))
-
-
 def embed_documents(
     df: DataFrame, dims: int = VECTOR_DIMS, keys: Sequence[str] = ("type", "id"), text_col: str = "text", min_docs: int = 1
 ) -> DataFrame:
     """One unit vector of ``dims`` numbers per document, exactly once per key.
 
-    The built-in encoder hashes words to dimensions and weights them by inverse
-    document frequency. Its only state is one number per dimension, so it needs
-    no vocabulary and no shuffle but the aggregate of that state. A trained
-    encoder plugs in through ``embed_with``.
+    The built-in encoder hashes words to dimensions (md5, so any engine can repeat it) and
+    weights the counts by inverse document frequency, ln((n + 1) / (f + 1)) with f the documents
+    that use the dimension. Of rows that share a key the smallest text counts. Words are counted
+    per document and dimension once, written, and read for the frequencies and for the vectors.
+    A document without words, or whose every weight is 0, has no vector.
     """
     keys = list(keys)
-    once = df.dropDuplicates(keys).select(*keys, words_of(F.col(text_col)).alias("_words")).filter(F.size("_words") > 0)
-    counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_tf").transform(once)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=min_docs).fit(counted).transform(counted)
-    return weighted.select(*keys, l2_normalise(vector_to_array("_tfidf")).alias("vector"))
+    once = df.groupBy(*keys).agg(F.min(text_col).alias("_text"))
+    dim = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % dims
+    counted = materialize(
+        once.select(*keys, F.explode(words_of(F.col("_text"))).alias("word"))
+        .groupBy(*keys, dim.cast("int").alias("dim"))
+        .agg(F.count("*").alias("n"))
+    )
+    docs = counted.select(*keys).distinct().count()
+    frequency = (
+        counted.groupBy("dim").agg(F.count("*").alias("f")).filter(F.col("f") >= min_docs)
+        .select("dim", F.log((F.lit(docs) + 1) / (F.col("f") + 1)).alias("idf"))
+    )
+    # one row per dimension
+    weighted = counted.join(F.broadcast(frequency), "dim").select(*keys, "dim", (F.col("n") * F.col("idf")).alias("w"))
+    sparse = weighted.groupBy(*keys).agg(F.collect_list(F.struct("dim", "w")).alias("_sparse"))
+    schema = StructType([sparse.schema[k] for k in keys]).add("vector", ArrayType(DoubleType()))
+
+    def unit(batches):
+        for batch in batches:
+            column = batch.column(len(keys))
+            entries = column.flatten()
+            row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+            dense = np.zeros((len(column), dims))
+            dense[row, entries.field("dim").to_numpy()] = entries.field("w").to_numpy()
+            norm = np.linalg.norm(dense, axis=1)
+            some = np.flatnonzero(norm > 0)
+            flat = (dense[some] / norm[some, None]).ravel()
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dims), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(some)) for i in range(len(keys))), vectors], names=schema.names)
+
+    return sparse.mapInArrow(unit, schema)
+
+
+def _with_terms(
+    df: DataFrame, columns: Sequence[str], text_col: str, max_n: int, stop_words: Sequence[str] | None, word_chars: str, min_length: int
+) -> DataFrame:
+    """columns + ``_terms``: the 1..``max_n`` word terms of each text once stop words are gone."""
+    stops = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
+    words = df.select(*columns, words_of(F.col(text_col), word_chars, min_length).alias("_words"))
+    words = StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=stops).transform(words)
+    for n in range(2, max_n + 1):
+        words = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(words)
+    return words.select(*columns, F.concat(*[F.col(f"_g{n}") for n in range(1, max_n + 1)]).alias("_terms"))
+
+
+def document_terms(
+    df: DataFrame,
+    by: Sequence[str] = ("scope_type", "scope_value", "topic_id", "type", "id"),
+    text_col: str = "text",
+    max_n: int = 3,
+    stop_words: Sequence[str] | None = None,
+    word_chars: str = r"\p{L}\p{N}_",
+    min_length: int = 2,
+) -> DataFrame:
+    """by..., term: the terms ``ngram_counts`` counts, once per document."""
+    rows = _with_terms(df, by, text_col, max_n, stop_words, word_chars, min_length)
+    return rows.select(*by, F.explode(F.array_distinct("_terms")).alias("term"))
 
 
 def ngram_counts(
@@ -225,14 +243,9 @@ def ngram_counts(
     ``by`` but the last column); ``total`` is its count over those topics.
     """
     by = list(by)
-    stops = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
-    words = df.select(*by, words_of(F.col(text_col), word_chars, min_length).alias("_words"))
-    words = StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=stops).transform(words)
-    for n in range(2, max_n + 1):
-        words = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(words)
-    grams = F.concat(*[F.col(f"_g{n}") for n in range(1, max_n + 1)])
     counts = (
-        words.select(*by, F.explode(grams).alias("term"))
+        _with_terms(df, by, text_col, max_n, stop_words, word_chars, min_length)
+        .select(*by, F.explode("_terms").alias("term"))
         .groupBy(*by, "term")
         .agg(F.count("*").alias("n"))
     )

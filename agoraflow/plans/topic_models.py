@@ -1,4 +1,4 @@
-"""Topics of the largest clusters and communities, all scopes in one job."""
+"""Topics of clusters and communities, all scopes in one job."""
 
 from __future__ import annotations
 
@@ -13,14 +13,13 @@ from agoraflow.operators import aggregates as agg
 from agoraflow.operators import topics
 from agoraflow.operators.combine import fetch_vectors
 from agoraflow.operators.density import density_cluster
-from agoraflow.operators.filters import min_group_size
+from agoraflow.operators.filters import exclude_noise, min_group_size
 from agoraflow.operators.projection import fit_projection, project_all
 from agoraflow.operators.tokens import ngram_counts
 
 SCOPE = ("scope_type", "scope_value")
 
-# fixed values: scopes modelled, documents a scope needs, dimensions topics are found in
-TOP_CLUSTERS, TOP_COMMUNITIES = 20, 50
+# fixed values: documents a scope needs, dimensions topics are found in
 MIN_DOCS = 100
 TOPIC_DIMENSIONS = 5
 
@@ -36,19 +35,24 @@ class TopicModels:
 
 
 def scoped_documents(
-    docs: DataFrame, n_clusters: int = TOP_CLUSTERS, n_communities: int = TOP_COMMUNITIES, min_docs: int = MIN_DOCS
+    docs: DataFrame, n_clusters: int | None = None, n_communities: int | None = None, min_docs: int = MIN_DOCS
 ) -> DataFrame:
-    """Documents of the top clusters and top communities, one row per scope they belong to.
+    """Documents of clusters and communities, one row per scope they belong to.
 
-    The selections are top-n lists of at most ``n_clusters + n_communities`` rows.
+    Every scope of ``min_docs`` documents or more, noise left out; ``n_clusters`` and
+    ``n_communities`` keep only the largest ones.
     """
-    clusters = F.broadcast(agg.top_clusters(docs, n_clusters).select("cluster_id"))
-    communities = F.broadcast(agg.top_subreddits(docs, n_communities).select("subreddit"))
     columns = ["type", "id", "cluster_id", "subreddit", "text"]
-    by_cluster = docs.join(clusters, "cluster_id", "left_semi").select(
+    clustered = exclude_noise(docs)
+    if n_clusters is not None:
+        clustered = clustered.join(agg.top_clusters(docs, n_clusters).select("cluster_id"), "cluster_id", "left_semi")
+    placed = docs
+    if n_communities is not None:
+        placed = docs.join(agg.top_subreddits(docs, n_communities).select("subreddit"), "subreddit", "left_semi")
+    by_cluster = clustered.select(
         F.lit("cluster").alias("scope_type"), F.col("cluster_id").cast("string").alias("scope_value"), *columns
     )
-    by_community = docs.join(communities, "subreddit", "left_semi").select(
+    by_community = placed.select(
         F.lit("subreddit").alias("scope_type"), F.col("subreddit").alias("scope_value"), *columns
     )
     return min_group_size(by_cluster.unionByName(by_community), SCOPE, min_docs)
@@ -79,8 +83,8 @@ def assign_topics(
 def scope_models(
     docs: DataFrame,
     vectors: DataFrame,
-    n_clusters: int = TOP_CLUSTERS,
-    n_communities: int = TOP_COMMUNITIES,
+    n_clusters: int | None = None,
+    n_communities: int | None = None,
     min_docs: int = MIN_DOCS,
     min_cluster_size: int = 20,
     min_samples: int = 10,

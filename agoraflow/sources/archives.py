@@ -67,11 +67,16 @@ def project(df: DataFrame, kind: str, strict: bool = True) -> DataFrame:
 def read_archives(spark: SparkSession, paths: Sequence[str], kind: str, partitions: int | None = None) -> DataFrame:
     """Scan archives with the explicit schema, the file name as ``source_file``.
 
-    One compressed file is one task, so the rows are spread right after the read.
+    One compressed file is one task, so the rows are spread right after the read, over
+    ``partitions`` or as many as the session shuffles to.
     """
     df = spark.read.schema(BY_KIND[kind]).json(list(paths))
     df = df.select("*", F.col("_metadata.file_name").alias("source_file"))
-    return df.repartition(partitions) if partitions else df
+    return _spread(df, partitions)
+
+
+def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _open_stream(path: str):
@@ -93,7 +98,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in batch["path"]:
             with _open_stream(path) as raw:
                 unpacked = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(raw)
-                lines = io.TextIOWrapper(unpacked, encoding="utf-8")
+                lines = io.TextIOWrapper(unpacked, encoding="utf-8", errors="replace", newline="\n")
                 while some := list(itertools.islice(lines, _LINES_PER_BATCH)):
                     yield pd.DataFrame({"path": path, "line": some})
 
@@ -101,18 +106,23 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_large_window_archives(spark: SparkSession, paths: Sequence[str], kind: str, partitions: int | None = None) -> DataFrame:
     """``read_archives`` for frames whose window is too large for the built-in reader.
 
-    One task streams one file in batches of lines; JSON is parsed in the JVM.
+    One task streams one file in batches of lines, which are spread like those of ``read_archives``;
+    JSON is parsed in the JVM. Bytes that are not UTF-8 become replacement characters.
     """
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    lines = listed.mapInPandas(_decode, "path string, line string")
-    if partitions:
-        lines = lines.repartition(partitions)
+    lines = _spread(listed.mapInPandas(_decode, "path string, line string"), partitions)
     return lines.select(
         F.from_json("line", BY_KIND[kind]).alias("row"),
         F.element_at(F.split("path", "/"), -1).alias("source_file"),
     ).select("row.*", "source_file")
 
 
+def decode_large_windows(paths: DataFrame, kind: str) -> DataFrame:
+    """The rows of the archives a table or stream of paths (column ``path``) names."""
+    lines = paths.mapInPandas(_decode, "path string, line string")
+    return lines.select(F.from_json("line", BY_KIND[kind]).alias("row")).select("row.*")
+
+
 def to_json_lines(df: DataFrame, schema: StructType) -> DataFrame:
     """Rows as JSON text, the form the archives hold."""
     return df.select(F.to_json(F.struct(*[F.col(f.name) for f in schema.fields])).alias("value"))

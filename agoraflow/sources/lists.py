@@ -34,24 +34,25 @@ def load_whitelist(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     raise FileNotFoundError(f"no whitelist at {list(paths)}")
 
 
-def clean_terms(lines: DataFrame, col: str = "value") -> DataFrame:
+def clean_terms(lines: DataFrame, col: str = "value", min_length: int = MIN_TERM_LENGTH) -> DataFrame:
     """term and its escaped pattern: stripped, lower-cased, unique, short terms dropped."""
     term = F.lower(strip(F.col(col)))
     return (
         lines.select(term.alias("term"))
-        .filter((F.length("term") >= MIN_TERM_LENGTH) | (F.col("term") == SHORT_TERM))
+        .filter((F.length("term") >= min_length) | (F.col("term") == SHORT_TERM))
         .distinct()
         .select("term", escape_regex(F.col("term")).alias("pattern"))
     )
 
 
-def load_terms(spark: SparkSession, path: str) -> DataFrame:
-    return clean_terms(spark.read.text(path))
+def load_terms(spark: SparkSession, path: str, min_length: int = MIN_TERM_LENGTH) -> DataFrame:
+    return clean_terms(spark.read.text(path), min_length=min_length)
 
 
-def term_list(terms: DataFrame, max_terms: int = 100_000) -> list[str]:
-    """The sorted terms as a Python list, for the pattern of ``keyword_filter``."""
-    rows = terms.select("term").limit(max_terms + 1).collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"more than {max_terms} terms: use match_terms_by_join")
-    return sorted(r["term"] for r in rows)
+def term_list(terms: DataFrame) -> list[str]:
+    """The sorted terms as a Python list, for the pattern of ``keyword_filter``.
+
+    For lists a person keeps. A generated list stays a table: ``match_terms_by_join``
+    gives the same rows for any number of terms.
+    """
+    return sorted(r["term"] for r in terms.select("term").collect())

@@ -7,6 +7,7 @@ loaded once, and a restarted run continues where the last one stopped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +17,47 @@ from pyspark.sql.types import StructType
 from agoraflow.operators.combine import whitelist_join
 from agoraflow.operators.filters import keyword_filter
 from agoraflow.schemas import BY_KIND
+from agoraflow.sources.archives import PREFIX, decode_large_windows
 
+#: Folders that the ids of a deduplicated store are spread over by hash.
+ID_BUCKETS = 64
 
-def stream_ingest(spark: SparkSession, folder: str, kind: str, max_files: int | None = None) -> DataFrame:
-    """New archive files of a folder as a stream with the explicit schema."""
-    reader = spark.readStream.schema(BY_KIND[kind])
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.json(folder)
+
+def archive_glob(kind: str, years: Sequence[int] | None = None) -> str:
+    """Name pattern of the archives of a kind, in either case, of some years or all."""
+    either = lambda text: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in text)
+    year = "{" + ",".join(str(y) for y in years) + "}" if years else "[0-9][0-9][0-9][0-9]"
+    return f"{either(PREFIX[kind])}_{year}-[0-9][0-9].{either('zst')}"
+
+
+def stream_ingest(
+    spark: SparkSession,
+    roots: str | Sequence[str],
+    kind: str,
+    years: Sequence[int] | None = None,
+    names: str | None = None,
+    max_files: int | None = None,
+    large_windows: bool = False,
+) -> DataFrame:
+    """New archives of ``kind`` below ``roots`` as a stream with the explicit schema.
+
+    Only archives of the kind and years are taken, by name (``names`` is another pattern);
+    posts and comments may share a folder. ``large_windows`` decodes frames that the built-in reader
+    cannot hold. All roots have to exist when the stream starts.
+    """
+    listed = [roots] if isinstance(roots, str) else list(roots)
+
+    def one(root: str) -> DataFrame:
+        reader = spark.readStream.option("recursiveFileLookup", True)
+        reader = reader.option("pathGlobFilter", names or archive_glob(kind, years))
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        if not large_windows:
+            return reader.schema(BY_KIND[kind]).json(root)
+        files = "path string, modificationTime timestamp, length long, content binary"
+        return decode_large_windows(reader.format("binaryFile").schema(files).load(root).select("path"), kind)
+
+    return reduce(DataFrame.unionByName, map(one, listed))
 
 
 def stream_table(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet") -> DataFrame:
@@ -41,16 +75,59 @@ def stream_keyword_filter(stream: DataFrame, terms: Sequence[str], kind: str, **
     return keyword_filter(stream, terms, kind, **options)
 
 
-def stream_dedup(stream: DataFrame, id_col: str = "id", time_col: str = "created_utc", delay: str = "7 days") -> DataFrame:
-    """Drop repeats of an id that arrive within ``delay`` of each other.
+def stream_dedup(
+    stream: DataFrame, path: str, checkpoint: str, id_col: str = "id", time_col: str = "created_utc"
+) -> StreamingQuery:
+    """Load everything that is new into a store that holds each id once, then stop.
 
-    Ids leave the state once the watermark has passed them, so the state is
-    bounded by the ids of one ``delay``.
+    However late or far apart repeats arrive, the row stored first stays; inside a batch it is the one
+    with the smallest time, then the smallest row. A batch reads back only the ids of the hash buckets
+    it touches, and overwrites its own folder, so a repeated batch changes nothing.
+    Read the store with ``read_deduplicated``.
     """
-    if stream.schema[time_col].dataType.typeName() != "timestamp":
-        stream = stream.withColumn("event_time", F.timestamp_seconds(F.col(time_col)))
-        time_col = "event_time"
-    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark([id_col])
+    rest = [c for c in stream.columns if c not in (id_col, time_col)]
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(ID_BUCKETS)).cast("int")
+        first = batch.groupBy(id_col).agg(F.min(F.struct(time_col, *rest)).alias("_row"))
+        rows = first.select(id_col, "_row.*").select(*stream.columns).withColumn("_bucket", bucket)
+        held = _stored(spark, path, number)
+        if held is not None:
+            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ID_BUCKETS
+            known = held.filter(F.col("_bucket").isin(touched)).select(F.col(id_col).alias("_id"), F.col("_bucket").alias("_b"))
+            same = (F.col("_bucket") == F.col("_b")) & F.col(id_col).eqNullSafe(F.col("_id"))
+            rows = rows.join(known, same, "left_anti")
+        # a task writes one file per bucket it holds, a bucket lies in one task unless it is large
+        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(load)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """The rows that batches before number ``before`` have stored; None when there are none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        held = spark.read.option("basePath", path).parquet(f"{path}/_batch=*")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return held.filter(F.col("_batch") < before)
+
+
+def read_deduplicated(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of a store that ``stream_dedup`` has written."""
+    held = _stored(spark, path, 2**62)
+    return spark.createDataFrame([], schema) if held is None else held.select(*schema.names)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

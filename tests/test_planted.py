@@ -59,11 +59,13 @@ def test_term_join_equals_alternation(spark):
     assert sorted(one.collect()) == sorted(two.collect())
 
 
-def test_prefilter_cap(spark):
-    terms = [f"term{i:02d}" for i in range(25)]
-    df = frame(spark, [("1", "s", "has term21", "")], "id string, subreddit string, title string, selftext string")
-    assert filters.keyword_filter(df, terms, "posts").count() == 0
-    assert filters.keyword_filter(df, terms, "posts", max_prefilter_terms=None).count() == 1
+def test_every_term_and_the_whole_text_count(spark):
+    terms = [f"term{i:02d}" for i in range(45)]
+    rows = [("1", "s", "has term03", ""), ("2", "s", "x " * 5000 + "term44", ""), ("3", "s", "term450", "")]
+    df = frame(spark, rows, "id string, subreddit string, title string, selftext string")
+    assert sorted(r["id"] for r in filters.keyword_filter(df, terms, "posts").collect()) == ["1", "2"]
+    table = lists.clean_terms(frame(spark, [(t,) for t in terms], "value string"))
+    assert sorted(r["id"] for r in filters.match_terms_by_join(df, table, ["title"]).collect()) == ["1", "2"]
 
 
 def test_selftext_only_hit_is_dropped_unless_matched(spark):
@@ -252,9 +254,16 @@ def test_directed_overlap_counts_each_topic_once(spark):
     assert got == {("A", "B"): 2, ("B", "A"): 2}
 
 
-def test_full_matrix_needs_a_bounded_selection(spark):
-    with pytest.raises(ValueError):
-        graph.listed_pairs(spark.range(20).select(F.col("id").cast("string").alias("subreddit")), max_listed=10)
+def test_many_communities_are_compared_sparsely(spark):
+    n = 5000
+    counts = spark.range(n).selectExpr("concat('s', id) AS subreddit", "CAST(2 AS BIGINT) AS n_topics")
+    shared = spark.range(n // 2).selectExpr(
+        "concat('s', 2 * id) AS subreddit_1", "concat('s', 2 * id + 1) AS subreddit_2", "CAST(1 AS BIGINT) AS shared_topics"
+    ).filter("subreddit_1 < subreddit_2")
+    docs = spark.range(n).selectExpr("concat('s', id) AS subreddit", "CAST(id div 2 AS INT) AS cluster_id")
+    rows = topics.combined_similarity(shared, counts, docs).collect()
+    assert len(rows) == n // 2 and {r["shared_clusters"] for r in rows} == {1}
+    assert topics.topic_overlap_score(shared, counts).count() == n + 2 * shared.count()
 
 
 # ---- similarity ----
@@ -306,22 +315,29 @@ def test_overlap_score_above_one(spark):
     same = ["a", "b", "c"]
     sets = {("A", 0): same, ("A", 1): same, ("B", 0): same, ("B", 1): same, ("B", 2): same}
     counts = frame(spark, [("A", 2), ("B", 3), ("C", 1)], "subreddit string, n_topics long")
-    names = counts.select("subreddit")
-    got = {(r["subreddit_1"], r["subreddit_2"]): r["score"] for r in topics.topic_overlap_score(words_frame(spark, sets), counts, names).collect()}
-    assert got["A", "B"] == got["B", "A"] == 2.0 and got["A", "C"] == 0.0 and got["C", "C"] == 1.0 and len(got) == 9
+    shared = similarity.shared_topic_counts(words_frame(spark, sets), 0.3)
+    got = {(r["subreddit_1"], r["subreddit_2"]): r["score"] for r in topics.topic_overlap_score(shared, counts).collect()}
+    assert got["A", "B"] == got["B", "A"] == 2.0 and got["C", "C"] == 1.0 and len(got) == 5
 
 
 # ---- tokens and topic words ----
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 1])
-def test_tokens_are_cut_and_framed(spark, monkeypatch, limit):
-    # a limit of one word forces the join
-    monkeypatch.setattr(tokens, "VOCABULARY_BROADCAST", limit)
+def test_tokens_are_framed_and_whole(spark):
     vocabulary = frame(spark, [("a", 3), ("b", 4)], "word string, token int")
-    df = frame(spark, [("post", "1", "B a x a"), ("post", "2", "..."), ("post", "3", None)], "type string, id string, text string")
-    rows = {r["id"]: r["tokens"] for r in tokens.tokenize(df, vocabulary, max_len=5).collect()}
-    assert rows == {"1": [1, 4, 3, 0, 2], "2": [1, 2], "3": [1, 2]}
+    long = "a b " * 10_000
+    rows = [("post", "1", "B a x a"), ("post", "2", "..."), ("post", "3", None), ("post", "4", long),
+            ("post", "1", "a b"), ("post", "1", "B a x a")]
+    df = frame(spark, rows, "type string, id string, text string")
+    got = sorted((r["id"], r["tokens"]) for r in tokens.tokenize(df, vocabulary).collect())
+    assert got == sorted(
+        [("1", [1, 4, 3, 0, 3, 2]), ("1", [1, 4, 3, 0, 3, 2]), ("1", [1, 3, 4, 2]), ("2", [1, 2]), ("3", [1, 2]),
+         ("4", [1, *[3, 4] * 10_000, 2])]
+    )
+    cut = sorted((r["id"], r["tokens"]) for r in tokens.tokenize(df.limit(3), vocabulary, max_len=5).collect())
+    assert cut == [("1", [1, 4, 3, 0, 2]), ("2", [1, 2]), ("3", [1, 2])]
+    chunks = sorted((r["id"], r["chunk"], r["tokens"]) for r in tokens.tokenize_chunks(df.limit(3), vocabulary, 5).collect())
+    assert chunks == [("1", 0, [1, 4, 3, 0, 2]), ("1", 1, [1, 3, 2]), ("2", 0, [1, 2]), ("3", 0, [1, 2])]
 
 
 def test_user_hooks(spark):
@@ -336,12 +352,12 @@ def test_user_hooks(spark):
 
 
 def test_hashed_vectors_equal_brute_force(spark):
-    from pyspark.ml.feature import HashingTF
+    import hashlib
 
     rows = [("post", "1", "a b b"), ("post", "1", "a b b"), ("post", "2", "a c"), ("post", "3", "...")]
     df = frame(spark, rows, "type string, id string, text string")
     got = {r["id"]: np.array(r["vector"]) for r in tokens.embed_documents(df, 32).collect()}
-    at = HashingTF(numFeatures=32).indexOf
+    at = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32
     texts = {"1": ["a", "b", "b"], "2": ["a", "c"]}
     docs = {i: np.bincount([at(w) for w in ws], minlength=32) for i, ws in texts.items()}
     df_counts = sum((v > 0).astype(int) for v in docs.values())

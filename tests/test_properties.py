@@ -143,4 +143,4 @@ def test_network_reports(spark, sf_dir):
 def test_tokenized_stage_keeps_every_document(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = stages.tokenized(t.posts.select("type", "id", "score"), t.content)
-    assert rows.count() == t.posts.count() and rows.filter("size(tokens) > 512").count() == 0
+    assert rows.count() == t.posts.count() and rows.filter("size(tokens) > 512").count() > 0

@@ -161,8 +161,8 @@ def test_stream_filters_equal_batch(spark, tmp_path):
     def chain(df):
         return ingest.stream_keyword_filter(ingest.stream_whitelist(df, whitelist), ["gpt"], "posts")
 
-    stream = ingest.stream_dedup(chain(ingest.stream_ingest(spark, str(folder), "posts")))
-    ingest.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    stream = chain(ingest.stream_ingest(spark, str(folder), "posts"))
+    ingest.stream_dedup(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     batch = chain(spark.read.schema(schemas.POSTS).json(str(folder))).dropDuplicates(["id"])
     got = sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(r["id"] for r in batch.collect()) == ["p1", "p4"]
@@ -180,6 +180,34 @@ def test_stream_dedup_across_runs_and_late_rows(spark, tmp_path):
     ]
     for i, rows in enumerate(steps):
         write_zst(folder / f"RS_2025-{i + 1:02d}.zst", rows)
-        ingest.run_available(ingest.stream_dedup(ingest.stream_ingest(spark, str(folder), "posts")), out, state)
-    # the repeat of p1 and the row older than the watermark are dropped
-    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == ["p1", "p2", "p3", "p5", "p7"]
+        ingest.stream_dedup(ingest.stream_ingest(spark, str(folder), "posts"), out, state)
+    # every id once, late months included, and the row that came first
+    rows = ingest.read_deduplicated(spark, out, schemas.POSTS).collect()
+    assert sorted(r["id"] for r in rows) == ["p1", "p2", "p3", "p5", "p6", "p7"]
+
+
+def test_stream_dedup_repeats_of_a_batch_change_nothing(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    write_zst(folder / "RS_2025-01.zst", [post(1), post(2)])
+    for state in ("a", "a", "b"):  # a lost checkpoint loads the files again as batch 0
+        ingest.stream_dedup(ingest.stream_ingest(spark, str(folder), "posts"), out, str(tmp_path / state))
+    assert sorted(r["id"] for r in ingest.read_deduplicated(spark, out, schemas.POSTS).collect()) == ["p1", "p2"]
+
+
+def test_stream_ingest_takes_kind_years_and_roots(spark, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two" / "deep"
+    one.mkdir()
+    two.mkdir(parents=True)
+    write_zst(one / "RS_2025-07.zst", [post(1)])
+    write_zst(one / "rs_2024-01.ZST", [post(2)])
+    write_zst(one / "RC_2025-07.zst", [post(3)])
+    write_zst(two / "RS_2025-08.zst", [post(4)], window_log=27)
+
+    def ids(name, **options):
+        stream = ingest.stream_ingest(spark, [str(one), str(tmp_path / "two")], "posts", **options).select("id")
+        ingest.run_available(stream, str(tmp_path / name), str(tmp_path / f"{name}-state"))
+        return sorted(r["id"] for r in spark.read.schema("id string").parquet(str(tmp_path / name)).collect())
+
+    assert ids("a", years=[2025]) == ["p1", "p4"]
+    assert ids("b", large_windows=True) == ["p1", "p2", "p4"]
