@@ -24,13 +24,16 @@ import hashlib
 from collections.abc import Callable, Sequence
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
 from agoraflow.llm.common import append_columns
 
 #: Encoded matches a worker keeps; a full cache is dropped and filled anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
+#: Of each of the smaller caches: halves, windows and pairs.
+PART_ENTRIES = 60_000
 #: Bytes up to which halves are remembered, too.
 SHORT = 10
 
@@ -72,7 +75,7 @@ class Codec:
         pair = (left, right)
         known = self.pairs.get(pair)
         if known is None:
-            if len(self.pairs) >= self.limit:
+            if len(self.pairs) >= PART_ENTRIES:
                 self.pairs.clear()
             both = self.bytes_of[left] + self.bytes_of[right]
             known = self.pairs[pair] = self._window(both) == pair
@@ -83,7 +86,7 @@ class Codec:
             return self.merge_loop(data) if len(data) <= 64 else self._reduce(data)
         known = self.windows.get(data)
         if known is None:
-            if len(self.windows) >= self.limit:
+            if len(self.windows) >= PART_ENTRIES:
                 self.windows.clear()
             known = self.windows[data] = self.merge_loop(data)
         return known
@@ -116,7 +119,7 @@ class Codec:
                 known = self.merge_loop(data)
             else:
                 known = self.join(self._reduce(data[: size // 2]), self._reduce(data[size // 2 :]))
-            if len(self.halves) >= self.limit:
+            if len(self.halves) >= PART_ENTRIES:
                 self.halves.clear()
             self.halves[data] = known
             return known
@@ -176,7 +179,23 @@ def encode_documents(
     ``path`` is the rank file, present on every worker with the tokenizer package; it is
     read there. Row by row, without a shuffle; repeated rows and other columns stay.
     """
-    return _each(docs, text_col, [(out, "array<int>")], lambda tool, t: (tool.encode(t.decode()),), path, pattern)
+    return _each(docs, text_col, [(out, "array<int>")], lambda tool, t: (_compact(tool.encode(t.decode())),), path, pattern)
+
+
+def encode_and_verify(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with token_ids, n_tokens and decoded_sha256, the hash of the bytes that the ids decode to, in one pass."""
+
+    def both(tool: Codec, text: bytes):
+        ids = tool.encode(text.decode())
+        return _compact(ids), len(ids), hashlib.sha256(tool.decode(ids)).hexdigest()
+
+    fields = [("token_ids", "array<int>"), ("n_tokens", "long"), ("decoded_sha256", "string")]
+    return _each(docs, text_col, fields, both, path, pattern)
+
+
+def _compact(ids: list[int]) -> np.ndarray:
+    """Four bytes a token until the batch is handed on, in place of Python numbers."""
+    return np.array(ids, dtype=np.int32)
 
 
 def decode_documents(

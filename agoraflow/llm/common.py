@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a batch that are worked on at once: bounds what a worker holds beside the batch.
+SLICE_ROWS = 2000
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -42,8 +44,8 @@ def append_columns(
 ) -> DataFrame:
     """``df`` with columns computed from the text column ``source``.
 
-    ``make()`` runs once per task and returns a function from the list of UTF-8
-    texts of a batch to one sequence per field. A column of ``df`` that bears the
+    ``make()`` runs once per task and returns a function from a list of UTF-8
+    texts to one sequence per field. A column of ``df`` that bears the
     name of a new one is replaced.
     """
     names = [name for name, _ in fields]
@@ -56,10 +58,12 @@ def append_columns(
 
     def run(batches):
         compute = make()
-        for batch in batches:
-            results = compute(utf8(batch.column(position)))
-            arrays = [batch.column(i) for i in kept] + [pa.array(v, k) for v, k in zip(results, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(a, SLICE_ROWS)
+                results = compute(utf8(batch.column(position)))
+                arrays = [batch.column(i) for i in kept] + [pa.array(v, k) for v, k in zip(results, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return base.mapInArrow(run, schema)
 

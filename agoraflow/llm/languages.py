@@ -26,7 +26,7 @@ EM_ROUNDS = 8
 #: Log-likelihood that one more language has to gain, times the log of the number of n-grams.
 PENALTY = 1.5
 UNKNOWN = "und"
-_ROWS = 512
+_ROWS = 128
 _SEGMENT = 1 << 20
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))

@@ -32,7 +32,7 @@ THRESHOLD = 3
 SEED = 42
 #: Fingerprints of one anchor that are compared in one piece; larger anchors go in pairs of blocks.
 BLOCK = 2048
-_CHUNK = 400_000
+_CHUNK = 100_000
 
 
 def _bits(digests: bytes, counts: np.ndarray) -> np.ndarray:

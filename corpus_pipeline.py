@@ -59,15 +59,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token_ids, n_tokens and decoded_sha256, the hash of the bytes the ids decode to."""
     path = public_tokenizers.path(RANKS)
-    encoded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
-    decoded = bpe.decode_documents(encoded, path, public_tokenizers.PATTERN)
+    encoded = bpe.encode_and_verify(docs, path, public_tokenizers.PATTERN)
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    return decoded.select(
-        *kept,
-        "token_ids",
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encoded.select(*kept, "token_ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [
