@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm import bpe, fm_index, languages, pieces, quality, sharding, simhash, substrings, templates, training_order
+from agoraflow.llm import (
+    bpe,
+    centroids,
+    fm_index,
+    languages,
+    mixing,
+    pieces,
+    quality,
+    runs,
+    sharding,
+    simhash,
+    substrings,
+    templates,
+    training_order,
+)
 from agoraflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +120,36 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_template_deduction")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_threshold_mix", mixing.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, keep=["doc_id"]).drop("times")
+
+
+@query("op13_lookup_centroids", centroids.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return centroids.cluster(vectors, keep=["vec_id"])[0]
+
+
+@query("op12_word_runs", runs.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_repeated_tail(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.periodic_runs(docs, keep=["doc_id"])
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # greatest length first, then smallest start, then smallest period
+    rank = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    longest = F.array_min(rank)
+    first = found.withColumn("first", longest).withColumn("lines", F.array_join(lines, "\n"))
+    return first.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("first.s").alias("start"),
+        (-F.col("first.l")).alias("length"),
+        F.col("first.p").alias("period"),
+        F.floor(-F.col("first.l") * 1000 / F.col("first.p")).alias("exponent_milli"),
+        F.sha2(F.when(F.col("lines") != "", F.concat("lines", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
