@@ -12,7 +12,7 @@ from agoraflow.functions.scale import materialize
 from agoraflow.operators import aggregates as agg
 from agoraflow.operators import topics
 from agoraflow.operators.combine import fetch_vectors
-from agoraflow.operators.density import density_cluster
+from agoraflow.operators.hierarchy import density_cluster
 from agoraflow.operators.filters import exclude_noise, min_group_size
 from agoraflow.operators.projection import fit_projection, project_all
 from agoraflow.operators.tokens import ngram_counts
@@ -63,7 +63,6 @@ def assign_topics(
     dims: int = TOPIC_DIMENSIONS,
     min_cluster_size: int = 20,
     min_samples: int = 10,
-    levels: int = 6,
 ) -> DataFrame:
     """Add ``topic_id`` to scoped documents with vectors; -1 is noise.
 
@@ -75,7 +74,7 @@ def assign_topics(
     placed = project_all(model, scoped, axes=axes, keep=[*SCOPE, "type", "id"])
     placed = placed.withColumn("key", F.concat_ws(":", "type", "id"))
     labelled = density_cluster(
-        placed, min_cluster_size, min_samples, axes, SCOPE, "key", levels, out="topic_id"
+        placed, min_cluster_size, min_samples, axes, SCOPE, "key", out="topic_id"
     ).select(*SCOPE, "type", "id", "topic_id")
     return scoped.join(labelled, [*SCOPE, "type", "id"])
 
