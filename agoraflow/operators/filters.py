@@ -78,7 +78,8 @@ def match_terms_by_join(
     The distinct words of each row meet the first word of every term in an
     equi-join that carries only ids, which leaves the few candidate patterns of a
     row; the text is tested against these alone. A term without any word
-    character meets the rows that hold its first character.
+    character meets the rows that hold its first character. Rows are told apart by a hash of
+    id and text, so a null id is a row like any other.
     """
     first_word = F.regexp_extract(term_col, "([0-9A-Za-z_]+)", 1)
     first = F.when(first_word != "", first_word).otherwise(F.substring(term_col, 1, 1))
@@ -88,13 +89,14 @@ def match_terms_by_join(
     text = F.lower(F.concat_ws("\n", *[F.col(c) for c in columns]))
     signs = F.regexp_extract_all(text, F.lit("([^0-9A-Za-z_])"), F.lit(1))
     firsts = F.array_distinct(F.concat(F.split(text, "[^0-9A-Za-z_]+"), signs))
+    row = F.xxhash64(id_col, *columns)
     candidates = (
-        df.select(id_col, F.explode(firsts).alias("_first"))
+        df.select(row.alias("_row"), F.explode(firsts).alias("_first"))
         .join(keyed, "_first")
-        .groupBy(id_col)
+        .groupBy("_row")
         .agg(F.concat_ws("|", F.collect_set("_pattern")).alias("_patterns"))
     )
-    joined = df.join(candidates, id_col).withColumn("_text", text)
+    joined = df.withColumn("_row", row).join(candidates, "_row").withColumn("_text", text)
     return joined.filter(F.expr("_text rlike _patterns")).select(*df.columns)
 
 

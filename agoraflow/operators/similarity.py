@@ -121,39 +121,91 @@ def word_sets(words: DataFrame, keys: Sequence[str] = TOPIC_KEY, word_col: str =
     return words.groupBy(*keys).agg(F.sort_array(F.collect_set(F.lower(word_col))).alias("words"))
 
 
-def similar_word_sets(sets: DataFrame, threshold: float) -> DataFrame:
+def _prefix_keys(ordered: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """words, _n, _key, _last, _m: the keys under which a set has to meet the sets similar to it.
+
+    ``ordered`` has words, _n, _need (the least number of words that any similar set shares) and _o, the words from rare to
+    frequent. A key is one word of the prefix. A key with more than ``hot`` sets is split by the next word that two
+    sets share, and again while it is hot: sets that must share more words than the key has meet under longer keys. Only
+    pairs of sets so small that the words of the key already make them similar meet under the hot key itself: ``_m``
+    then is the size of the sets that the row may meet; it is null under a key that is not hot.
+    """
+    slack = 1e-9
+
+    def at(row: DataFrame, first, last) -> DataFrame:
+        places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return row.withColumn("_last", F.explode(places)).withColumn(
+            "_key", F.concat("_key", F.array(F.element_at("_o", F.col("_last") + 1)))
+        )
+
+    level = 1
+    rows = ordered.withColumn("_key", F.array().cast("array<string>")).withColumn("_last", F.lit(-1))
+    rows = at(rows, F.lit(0), (F.col("_n") - F.col("_need")).cast("int"))
+    found = None
+    while True:
+        rows = materialize(rows)
+        many = materialize(rows.groupBy("_key").agg(F.count("*").alias("_f")).filter(F.col("_f") > hot).select("_key"))
+        out = ["words", "_n", "_key", "_last"]
+        none = F.lit(None).cast("int").alias("_m")
+        cold = rows.join(many, "_key", "left_anti").select(*out, none)
+        found = cold if found is None else found.unionByName(cold)
+        if many.limit(1).count() == 0:
+            return found
+        held = materialize(rows.join(many, "_key", "left_semi"))
+        # sizes n + m up to which the words of the key are enough
+        room = F.lit(math.floor(level * (1 + threshold) / threshold + slack)) - F.col("_n")
+        small = held.filter(room >= level).select(*out, F.explode(F.sequence(F.lit(level), room)).alias("_m"))
+        found = found.unionByName(small)
+        end = (F.col("_n") - F.greatest(F.col("_need"), F.lit(level + 1)) + level).cast("int")
+        rows = at(held.filter(F.col("_n") > level), F.col("_last") + 1, end)
+        level += 1
+
+
+# sets that may meet under one word before a second word splits them
+HOT_SETS = 1000
+
+
+def similar_word_sets(sets: DataFrame, threshold: float, hot: int = HOT_SETS) -> DataFrame:
     """Pairs of distinct word sets with Jaccard >= ``threshold`` > 0: a, b, jaccard (a < b).
 
-    Exact prefix filter: order the words of each set from rare to frequent; two
-    sets that are similar enough share a word among the first
-    size - ceil(threshold * size) + 1 of each. Frequent words fall outside the
-    prefix, sizes outside [t * n, n / t] never meet, and each candidate pair is
-    verified once.
+    Exact. The words of each set go from rare to frequent; two sets that are similar enough share a word among the
+    first size - ceil(threshold * size) + 1 of each. Under a word that more than ``hot`` sets have there, they have to share the
+    next word too. Sizes outside [t * n, n / t] never meet; a pair is dropped where the words after the last one of
+    the key cannot make up for what is missing; each candidate pair is verified once.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
     distinct = sets.select("words").distinct().withColumn("_n", F.size("words"))
     single = distinct.select("words", "_n", F.explode("words").alias("word"))
     frequency = single.groupBy("word").agg(F.count("*").alias("_f"))
+    rare_first = F.sort_array(F.collect_list(F.struct("_f", "word")))
+    slack = 1e-9
+    # a hair below the product, so rounding can only lengthen the prefix
+    need = F.greatest(F.ceil(F.col("_n") * F.lit(threshold) - F.lit(slack)), F.lit(1)).cast("int")
     ordered = (
         single.join(frequency, "word")
         .groupBy("words", "_n")
-        .agg(F.sort_array(F.collect_list(F.struct("_f", "word"))).alias("_rare_first"))
+        .agg(rare_first.alias("_pairs"))
+        .select("words", "_n", need.alias("_need"), F.transform("_pairs", lambda p: p["word"]).alias("_o"))
     )
-    # a hair below the product, so rounding can only lengthen the prefix
-    keep = F.col("_n") - F.ceil(F.col("_n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    prefix = ordered.select(
-        "words", "_n", F.explode(F.slice("_rare_first", F.lit(1), keep.cast("int"))).alias("_p")
-    ).select("words", "_n", F.col("_p.word").alias("_word"))
-    a = prefix.select(F.col("words").alias("a"), F.col("_n").alias("_na"), "_word")
-    b = prefix.select(F.col("words").alias("b"), F.col("_n").alias("_nb"), "_word")
-    slack = 1e-9
+    keys = _prefix_keys(ordered, threshold, hot)
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        return rows.select(F.col("words").alias(x), F.col("_n").alias(f"_n{x}"), F.col("_last").alias(f"_l{x}"), "_key", "_m")
+
+    cold, under_hot = keys.filter("_m IS NULL"), keys.filter("_m IS NOT NULL")
+    met = side(cold, "a").drop("_m").join(side(cold, "b").drop("_m"), "_key")
+    small = under_hot.select("words", "_n", "_last", "_key", F.col("_n").alias("_m")).distinct()
+    met = met.unionByName(side(under_hot, "a").withColumn("_nb", F.col("_m")).join(
+        side(small, "b").drop("_m"), ["_key", "_nb"]).select(met.columns))
+    asked = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("_na") + F.col("_nb")) - F.lit(slack))
+    most = F.size("_key") + F.least(F.col("_na") - F.col("_la"), F.col("_nb") - F.col("_lb")) - 1
     candidates = (
-        a.join(b, "_word")
-        .filter(F.col("a") < F.col("b"))
+        met.filter(F.col("a") < F.col("b"))
         .filter(
             (F.col("_nb") >= F.col("_na") * threshold - slack)
             & (F.col("_na") >= F.col("_nb") * threshold - slack)
+            & (most >= asked)
         )
         .select("a", "b")
         .distinct()

@@ -203,13 +203,21 @@ def embed_documents(
 def _with_terms(
     df: DataFrame, columns: Sequence[str], text_col: str, max_n: int, stop_words: Sequence[str] | None, word_chars: str, min_length: int
 ) -> DataFrame:
-    """columns + ``_terms``: the 1..``max_n`` word terms of each text once stop words are gone."""
+    """columns + ``_g1`` .. ``_gn``: the word terms of each length once stop words are gone.
+
+    They stay columns of their own and are put together inside the generator: a column of all terms would
+    make the optimizer compute them again in a filter on its size.
+    """
     stops = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
     words = df.select(*columns, words_of(F.col(text_col), word_chars, min_length).alias("_words"))
     words = StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=stops).transform(words)
     for n in range(2, max_n + 1):
         words = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(words)
-    return words.select(*columns, F.concat(*[F.col(f"_g{n}") for n in range(1, max_n + 1)]).alias("_terms"))
+    return words
+
+
+def _all_terms(max_n: int) -> Column:
+    return F.concat(*[F.col(f"_g{n}") for n in range(1, max_n + 1)])
 
 
 def document_terms(
@@ -223,7 +231,7 @@ def document_terms(
 ) -> DataFrame:
     """by..., term: the terms ``ngram_counts`` counts, once per document."""
     rows = _with_terms(df, by, text_col, max_n, stop_words, word_chars, min_length)
-    return rows.select(*by, F.explode(F.array_distinct("_terms")).alias("term"))
+    return rows.select(*by, F.explode(F.array_distinct(_all_terms(max_n))).alias("term"))
 
 
 def ngram_counts(
@@ -245,7 +253,7 @@ def ngram_counts(
     by = list(by)
     counts = (
         _with_terms(df, by, text_col, max_n, stop_words, word_chars, min_length)
-        .select(*by, F.explode("_terms").alias("term"))
+        .select(*by, F.explode(_all_terms(max_n)).alias("term"))
         .groupBy(*by, "term")
         .agg(F.count("*").alias("n"))
     )

@@ -102,3 +102,11 @@ def test_vector_mean_combines_before_the_shuffle(t):
 def test_topic_weights_have_no_window_over_a_topic(t):
     counts = scale.materialize(tokens.ngram_counts(t.topic_texts, stop_words=["the"]))
     assert "Window" not in plan(topics.class_tfidf(counts))
+
+
+@pytest.mark.parametrize("make", [tokens.ngram_counts, tokens.document_terms])
+def test_terms_are_computed_once(t, make):
+    """No filter on the number of terms computes pattern, stop words and n-grams again below the generator."""
+    docs = t.posts.select(F.lit("s").alias("scope_type"), F.lit("v").alias("scope_value"), F.lit(1).alias("topic_id"), F.lit("post").alias("type"), "id", F.col("title").alias("text"))
+    text = make(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all(") == 1 and text.count("UDF(") == 3

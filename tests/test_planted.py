@@ -388,3 +388,13 @@ def test_mmr_prefers_diverse_words(spark):
     centroids = frame(spark, [(*key, [1.0, 0.0])], "scope_type string, scope_value string, topic_id int, centroid array<double>")
     order = lambda d: [r["word"] for r in sorted(topics.mmr_words(candidates, docs, vectors, centroids, 2, d).collect(), key=lambda r: r["rank"])]
     assert order(0.0) == ["a", "b"] and order(0.7) == ["a", "c"]
+
+
+def test_term_join_keeps_rows_without_an_id(spark):
+    from agoraflow.functions.text import escape_literal
+
+    df = spark.createDataFrame([(None, "a gpt here"), (None, "nothing"), (None, "llm"), ("1", "gpt")], "id string, title string")
+    terms = spark.createDataFrame([(t, escape_literal(t)) for t in ("gpt", "llm")], "term string, pattern string")
+    got = filters.match_terms_by_join(df, terms, ["title"]).collect()
+    want = df.filter(filters.matches_any_term(["gpt", "llm"], ["title"])).collect()
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 3
