@@ -7,16 +7,19 @@ any per-topic step.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agoraflow.functions.display import percent
 from agoraflow.functions.scale import materialize
 from agoraflow.operators.filters import cross_scope, min_similarity, within_scope
 from agoraflow.operators.sampling import top_per_group
-from agoraflow.operators.similarity import cosine_edges
+from agoraflow.operators.similarity import MOST_TASKS, cosine_edges
 
 # fixed value: communities named in a reach row
 REACH_NAMES = 10
@@ -187,16 +190,71 @@ def topic_overlap_directed(edges: DataFrame, threshold: float = 0.7) -> DataFram
     )
 
 
-def community_pairs(words_shared: DataFrame, cluster_sets: DataFrame) -> DataFrame:
+# members of one side of a block product: 2048 x 2048 counts are 16 MB
+MEMBER_BLOCK = 2048
+
+
+def _shared_counts(names: pa.Schema):
+    """Counts of common groups of two blocks of members: an outer product for each group, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        own = table.column("_block").to_numpy() == table.column("_low").to_numpy()
+        one_block = table.column("_low")[0].as_py() == table.column("_high")[0].as_py()
+        group = table.column("_group").combine_chunks().dictionary_encode().indices.to_numpy()
+        sides = []
+        for rows in (own, own if one_block else ~own):
+            part = table.filter(pa.array(rows)).column("_member").combine_chunks().dictionary_encode()
+            sides.append((part.dictionary, part.indices.to_numpy(), group[rows]))
+        (left, i, gi), (right, j, gj) = sides
+        counts = np.zeros((len(left), len(right)), dtype=np.int32)
+        order_i, order_j = np.argsort(gi, kind="stable"), np.argsort(gj, kind="stable")
+        for g in np.intersect1d(gi, gj):
+            a = order_i[np.searchsorted(gi[order_i], g) : np.searchsorted(gi[order_i], g, side="right")]
+            b = order_j[np.searchsorted(gj[order_j], g) : np.searchsorted(gj[order_j], g, side="right")]
+            counts[np.ix_(i[a], j[b])] += 1
+        for first in range(0, len(left), 256):
+            part = counts[first : first + 256]
+            x, y = np.nonzero(np.triu(part, 1 + first) if one_block else part)
+            n = pa.array(part[x, y].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([left.take(pa.array(x + first)), right.take(pa.array(y)), n], schema=names)
+
+    return run
+
+
+def shared_group_counts(sets: DataFrame, member: str, group: str, block_members: int = MEMBER_BLOCK) -> DataFrame:
+    """a < b and ``n``: for members that have groups in common, how many.
+
+    Members are dealt into blocks; a task multiplies the memberships of two blocks, so a group of any size
+    is worked on by many tasks, no pair is shuffled and every pair leaves one task once with its whole count. Repeated
+    rows count once; rows with a null are left out.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = sets.select(F.col(member).alias("_member"), F.col(group).alias("_group")).dropna().distinct()
+    rows = materialize(rows)
+    blocks = max(1, -(-rows.select("_member").distinct().count() // block_members))
+    paired = (
+        rows.withColumn("_block", F.pmod(F.xxhash64("_member"), F.lit(blocks)).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .select("_member", "_group", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
+    )
+    kind = rows.schema["_member"].dataType
+    schema = StructType().add("_x", kind).add("_y", kind).add("n", "long")
+    # block pairs are small but heavy: they are not merged into fewer tasks
+    spread = paired.repartition(min(blocks * (blocks + 1) // 2, MOST_TASKS), "_low", "_high")
+    found = spread.groupBy("_low", "_high").applyInArrow(_shared_counts(to_arrow_schema(schema)), schema)
+    return found.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "n")
+
+
+def community_pairs(words_shared: DataFrame, cluster_sets: DataFrame, block_members: int = MEMBER_BLOCK) -> DataFrame:
     """Pairs a < b of communities that share a similar topic or a cluster.
 
     ``words_shared`` has subreddit_1, subreddit_2; ``cluster_sets`` subreddit, cluster_id. Pairs
     without either are not made: a reader takes them as zero.
     """
-    named = cluster_sets.select("subreddit", "cluster_id").distinct()
-    one = named.select(F.col("subreddit").alias("subreddit_1"), "cluster_id")
-    two = named.select(F.col("subreddit").alias("subreddit_2"), "cluster_id")
-    by_cluster = one.join(two, "cluster_id").filter("subreddit_1 < subreddit_2").select("subreddit_1", "subreddit_2")
+    shared = shared_group_counts(cluster_sets, "subreddit", "cluster_id", block_members)
+    by_cluster = shared.select(F.col("a").alias("subreddit_1"), F.col("b").alias("subreddit_2"))
     return by_cluster.unionByName(words_shared.select("subreddit_1", "subreddit_2")).distinct()
 
 

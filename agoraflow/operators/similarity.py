@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,22 @@ from pyspark.sql.types import DoubleType, StructType
 
 from agoraflow.functions.scale import materialize
 from agoraflow.functions.vectors import l2_normalise
+from agoraflow.operators.sampling import sample_n
 
 TOPIC_KEY = ("scope_type", "scope_value", "topic_id")
 
 # rows of one side of a block product: 4096 x 768 doubles are 25 MB
 BLOCK_ROWS = 4096
 
+# rows of the left block that are multiplied at once, so that what is sent on is bounded
+PRODUCT_ROWS = 256
+
+# tasks that block pairs are spread over at most
+MOST_TASKS = 20_000
+
+# fixed value: directions that rows are sorted by
+MAX_PIVOTS = 256
+
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
@@ -26,29 +36,100 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _block_product(keys: Sequence[str], threshold: float, out: pa.Schema):
-    """Similar pairs of one block pair: one matrix product, then a vectorised threshold."""
+    """Similar pairs of one block pair: products of a few rows with the other block, each sent on at once."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         block = table.column("_block").to_numpy()
         low = table.column("_low").to_numpy()
         high = table.column("_high").to_numpy()
         left = np.flatnonzero(block == low)
         right = np.flatnonzero(block == high)
         unit = _matrix(table.column("_unit"))
-        scores = unit[left] @ unit[right].T
-        hit = scores >= threshold
-        if low[0] == high[0]:
-            hit = np.triu(hit, 1)
-        i, j = np.nonzero(hit)
-        named = [table.column(k) for k in keys]
-        arrays = [c.take(pa.array(left[i])) for c in named]
-        arrays += [c.take(pa.array(right[j])) for c in named]
-        arrays.append(pa.array(scores[i, j]))
-        return pa.table(arrays, schema=out)
+        named = [table.column(k).combine_chunks() for k in keys]
+        for a in range(0, len(left), PRODUCT_ROWS):
+            part = left[a : a + PRODUCT_ROWS]
+            scores = unit[part] @ unit[right].T
+            hit = scores >= threshold
+            if low[0] == high[0]:
+                hit = np.triu(hit, 1 + a)
+            i, j = np.nonzero(hit)
+            arrays = [c.take(pa.array(part[i])) for c in named]
+            arrays += [c.take(pa.array(right[j])) for c in named]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores[i, j])], schema=out)
 
     return run
 
 
+def _nearest_pivot(pivots: np.ndarray, keys: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = _matrix(pa.chunked_array([batch.column("_unit")])) @ pivots.T if batch.num_rows else np.zeros((0, len(pivots)))
+            best = cos.argmax(axis=1)
+            angle = np.arccos(np.clip(cos[np.arange(len(best)), best], -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(best.astype(np.int64)), pa.array(angle)], names=[*keys, "_unit", "_pivot", "_angle"]
+            )
+
+    return run
+
+
+def block_pairs(rows: DataFrame, threshold: float, keys: Sequence[str], block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with ``_block``, the pairs ``_low`` <= ``_high`` of blocks that may hold similar rows).
+
+    Rows go to the nearest of n / ``block_rows`` pivots (at most ``MAX_PIVOTS``), and inside a pivot's cell to rings by their angle to
+    it, of about ``block_rows`` rows; a fuller ring is dealt into pieces. Angles obey the triangle inequality, so the angles of two rings
+    to their pivots and that between the pivots bound the angle of any two of their rows from below.
+    """
+    keys = list(keys)
+    spark = rows.sparkSession
+    wanted = min(MAX_PIVOTS, max(1, math.ceil(rows.count() / block_rows)))
+    pivots = np.array([r["_unit"] for r in sample_n(rows, wanted, keys).select("_unit").collect()])
+    if not len(pivots):
+        none = rows.withColumn("_block", F.lit(0).cast("long"))
+        return none, none.select(F.col("_block").alias("_low"), F.col("_block").alias("_high"))
+    schema = StructType(list(rows.select(*keys, "_unit").schema.fields)).add("_pivot", "long").add("_angle", "double")
+    near = materialize(rows.select(*keys, "_unit").mapInArrow(_nearest_pivot(pivots, keys), schema))
+    cells = near.groupBy("_pivot").agg(F.count("*").alias("_n"), F.min("_angle").alias("_from"), F.max("_angle").alias("_to"))
+    cells = F.broadcast(materialize(cells))  # one row per pivot
+    rings = F.ceil(F.col("_n") / block_rows)
+    ring = F.least(F.floor((F.col("_angle") - F.col("_from")) / (F.col("_to") - F.col("_from")) * rings), rings - 1)
+    placed = near.join(cells, "_pivot").select(
+        *keys, "_unit", "_pivot", "_angle", F.when(F.col("_to") > F.col("_from"), ring).otherwise(0).cast("long").alias("_ring")
+    )
+    held = placed.groupBy("_pivot", "_ring").agg(
+        F.count("*").alias("_n"), F.min("_angle").alias("_from"), F.max("_angle").alias("_to")
+    )
+    held = materialize(held.withColumn("_pieces", F.ceil(F.col("_n") / block_rows)))
+    number = F.shiftleft("_pivot", 44) + F.shiftleft("_ring", 22)
+    piece = F.pmod(F.xxhash64(*keys), F.col("_pieces"))
+    blocked = placed.join(held.select("_pivot", "_ring", "_pieces"), ["_pivot", "_ring"]).select(
+        *keys, "_unit", (number + piece).alias("_block")
+    )
+    limit = math.acos(max(-1.0, min(1.0, threshold))) + 1e-7
+    between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    close = [(i, j, float(between[i, j]) if i != j else 0.0) for i in range(len(pivots)) for j in range(i, len(pivots))]
+    close = spark.createDataFrame(close, "_p bigint, _q bigint, _between double")  # at most MAX_PIVOTS ** 2 / 2 rows
+
+    def side(x: str, pivot: str) -> DataFrame:
+        blocks = held.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)))
+        return blocks.select(
+            F.col("_pivot").alias(pivot), (number + F.col("_piece")).alias(x), F.col("_from").alias(f"{x}_from"), F.col("_to").alias(f"{x}_to")
+        )
+
+    least = F.greatest(
+        F.col("_between") - F.col("_low_to") - F.col("_high_to"),
+        F.col("_low_from") - F.col("_between") - F.col("_high_to"),
+        F.col("_high_from") - F.col("_between") - F.col("_low_to"),
+    )
+    pairs = (
+        side("_low", "_p").join(F.broadcast(close), "_p").join(side("_high", "_q"), "_q")
+        .filter((least <= limit) & ((F.col("_p") < F.col("_q")) | (F.col("_low") <= F.col("_high"))))
+        .select("_low", "_high")
+    )
+    return blocked, materialize(pairs)
+
+
 def cosine_pairs(
     df: DataFrame,
     threshold: float,
@@ -58,34 +139,27 @@ def cosine_pairs(
 ) -> DataFrame:
     """Every unordered pair of rows with cosine >= ``threshold``: a_<key>, b_<key>, similarity.
 
-    Rows are hashed into n / ``block_rows`` blocks, each row is sent to its block
-    pairs, and one task multiplies two blocks of bounded size. Only pairs above
-    the threshold leave the task. The a side is the smaller key.
+    Rows are put into blocks of near directions; only pairs of blocks whose angles allow the threshold are made, and one
+    task multiplies two blocks of bounded size. Only pairs above the threshold leave the task, a few rows' at a time. The a
+    side is the smaller key.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     keys = list(keys)
     rows = materialize(df.select(*keys, l2_normalise(F.col(vector_col)).alias("_unit")))
-    blocks = max(1, math.ceil(rows.count() / block_rows))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    paired = (
-        rows.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
-        .withColumn("_other", F.explode(others))
-        .select(
-            *keys,
-            "_unit",
-            "_block",
-            F.least("_block", "_other").alias("_low"),
-            F.greatest("_block", "_other").alias("_high"),
-        )
-    )
+    blocked, near = block_pairs(rows, threshold, keys, block_rows)
+    blocked = materialize(blocked)
+    low = blocked.join(near, F.col("_block") == F.col("_low"))
+    high = blocked.join(near.filter("_low < _high"), F.col("_block") == F.col("_high"))
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = StructType()
     for side in ("a", "b"):
         for k in keys:
             schema = schema.add(f"{side}_{k}", types[k])
     schema = schema.add("similarity", DoubleType())
-    pairs = paired.groupBy("_low", "_high").applyInArrow(
+    # block pairs are small but heavy: they are not merged into fewer tasks
+    spread = low.unionByName(high).repartition(max(1, min(near.count(), MOST_TASKS)), "_low", "_high")
+    pairs = spread.groupBy("_low", "_high").applyInArrow(
         _block_product(keys, threshold, to_arrow_schema(schema)), schema
     )
     a = F.struct(*[F.col(f"a_{k}").alias(k) for k in keys])
