@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from agoraflow.catalog.fixtures import EPOCH, Tables
-from agoraflow.functions.scale import scratch_path
+from agoraflow.functions.scale import scratch_path, storage_of
 from agoraflow.registry import query
-from agoraflow.sources import archives, lists, stores
+from agoraflow.sources import archives, frames, lists, stores
 
 
 @query(
@@ -176,6 +179,41 @@ def _(t: Tables):
     )
 
 
+def _write_frames(folder: str):
+    """Write the lines of a task as one archive of several frames whose borders lie inside lines."""
+
+    def run(batches):
+        import zstandard
+
+        storage, inner = storage_of(folder)
+        storage.create_dir(inner, recursive=True)
+        text = "".join(line + "\n" for batch in batches for line in batch.column(0).to_pylist()).encode()
+        if not text:
+            return
+        name, size = f"RS_2025-07.{uuid.uuid4().hex}.zst", max(1, len(text) // 8)
+        with storage.open_output_stream(f"{inner}/{name}", compression=None) as out:
+            for a in range(0, len(text), size):
+                out.write(zstandard.ZstdCompressor().compress(text[a : a + size]))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    return run
+
+
+@query(
+    "read_framed_archive",
+    """SELECT id, subreddit, created_utc, md5(title) AS title, num_comments, CAST(NULL AS VARCHAR) AS bad FROM posts
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, '{' || id FROM posts WHERE created_utc % 7 = 0""",
+)
+def _(t: Tables):
+    # archives of several frames, with lines that are no JSON among the rows
+    line = F.to_json(F.struct("id", "subreddit", "created_utc", "title", "selftext", "num_comments"))
+    broken = F.when(F.col("created_utc") % 7 == 0, F.concat(F.lit("{"), "id"))
+    lines = t.posts.select(F.explode(F.filter(F.array(line, broken), lambda v: v.isNotNull())).alias("value"))
+    written = lines.mapInArrow(_write_frames(scratch_path(t.spark, "frames")), "path string").collect()
+    rows = frames.read_framed_archives(t.spark, [r["path"] for r in written], "posts", partition_bytes=1 << 14)
+    return rows.select("id", "subreddit", "created_utc", F.md5("title").alias("title"), "num_comments", F.col("bad_line").alias("bad"))
+
+
 @query("append_rows", "SELECT id, subreddit, subreddit AS source_file FROM posts")
 def _(t: Tables):
     path = scratch_path(t.spark, "append")

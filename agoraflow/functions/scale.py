@@ -40,6 +40,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/agoraflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def storage_of(path: str):
+    """(pyarrow file system, path in it) for tasks that read or write files themselves: mounted folders, hdfs, s3, gs."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), path if not colon else "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the checkpoint folder and read it back.
 

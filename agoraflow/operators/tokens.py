@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,10 +13,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 from pyspark.sql.window import Window
 
-from agoraflow.functions.scale import broadcast_checked, global_row_number, materialize
+from agoraflow.functions.scale import broadcast_checked, global_row_number, materialize, scratch_path, storage_of
 
 # fixed values: special token ids, and the first id of a word
 UNKNOWN_ID, BEGIN_ID, END_ID, FIRST_WORD_ID = 0, 1, 2, 3
@@ -43,45 +44,131 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", min_count: int = 1)
     return ids.withColumn("token", (F.col("token") + (FIRST_WORD_ID - 1)).cast("int"))
 
 
+# words of one file of a lookup: 80 MB
+_LOOKUP_WORDS = 4_000_000
+
+
+def _word_hashes(word: Column) -> Column:
+    return F.struct(F.xxhash64(word).alias("one"), F.xxhash64(F.lit(1), word).alias("two"))
+
+
+def _write_part(folder: str):
+    """Write the rows of a task as plain arrays, sorted by hash: all first hashes, all second ones, all ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).sort_by([("one", "ascending"), ("two", "ascending")])
+        one, two, token = (table.column(c).to_numpy() for c in ("one", "two", "token"))
+        storage, inner = storage_of(folder)
+        # a name for each attempt: only the files of attempts that succeed are listed
+        name = f"{uuid.uuid4().hex}.words"
+        storage.create_dir(inner, recursive=True)
+        with storage.open_output_stream(f"{inner}/{name}") as out:
+            out.write(one.tobytes() + two.tobytes() + token.astype(np.int32).tobytes())
+        names = ["name", "n", "first"]
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(one)], pa.int64()), pa.array([int(one[0])], pa.int64())], names=names)
+
+    return run
+
+
+class WordLookup:
+    """Ids of words by two hashes from sorted arrays in shared storage.
+
+    Files on a mounted folder are memory-mapped, so the workers of a machine share them and read only the pages they
+    touch; from other storage each worker reads a file when it first needs it.
+    """
+
+    def __init__(self, folder: str, parts: Sequence[tuple[str, int, int]]):
+        self.folder, self.parts = folder, sorted(parts, key=lambda p: p[2])
+        self._open: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "parts": self.parts, "_open": {}}
+
+    def _arrays(self, i: int):
+        if i not in self._open:
+            name, n, _ = self.parts[i]
+            storage, inner = storage_of(self.folder)
+            if storage.type_name == "local":
+                raw = np.memmap(f"{inner}/{name}", dtype=np.uint8, mode="r")
+            else:
+                with storage.open_input_stream(f"{inner}/{name}") as file:
+                    raw = np.frombuffer(file.read(), dtype=np.uint8)
+            self._open[i] = raw[: 8 * n].view(np.int64), raw[8 * n : 16 * n].view(np.int64), raw[16 * n :].view(np.int32)
+        return self._open[i]
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        found = np.full(len(one), UNKNOWN_ID, dtype=np.int32)
+        if not self.parts:
+            return found
+        firsts = np.array([p[2] for p in self.parts])
+        part = np.searchsorted(firsts, one, side="right") - 1
+        for i in np.unique(part[part >= 0]):
+            first, second, token = self._arrays(int(i))
+            rows = np.flatnonzero(part == i)
+            at = np.searchsorted(first, one[rows])
+            while len(rows):  # once, but for words whose first hashes are equal
+                inside = at < len(first)
+                rows, at = rows[inside], at[inside]
+                same = first[at] == one[rows]
+                rows, at = rows[same], at[same]
+                hit = second[at] == two[rows]
+                found[rows[hit]] = token[at[hit]]
+                rows, at = rows[~hit], at[~hit] + 1
+        return found
+
+
+def write_lookup(vocabulary: DataFrame) -> WordLookup:
+    """Write the words of ``vocabulary`` (word, token) as sorted hash arrays under the checkpoint folder."""
+    spark = vocabulary.sparkSession
+    folder = scratch_path(spark, "words")
+    rows = vocabulary.select(_word_hashes(F.col("word")).alias("h"), F.col("token").cast("int")).select("h.*", "token")
+    rows = materialize(rows)
+    parts = max(1, -(-rows.count() // _LOOKUP_WORDS))
+    written = rows.repartitionByRange(parts, "one").mapInArrow(_write_part(folder), "name string, n bigint, first bigint")
+    return WordLookup(folder, [tuple(r) for r in written.collect()])  # one row per file
+
+
 def tokenize(
     df: DataFrame,
-    vocabulary: DataFrame,
+    vocabulary: DataFrame | WordLookup,
     keys: Sequence[str] = ("type", "id"),
     text_col: str = "text",
     max_len: int | None = None,
 ) -> DataFrame:
     """keys + ``tokens``: begin id, word ids, end id, without padding, one row per row of ``df``.
 
-    The words are joined with the vocabulary and put together again; a word gives one id.
-    Rows that share their keys stay apart by their text, and rows that share both are
-    counted and given back as often. ``max_len`` is the limit of an encoder, special ids
-    included: words past it are left out. ``tokenize_chunks`` keeps them all.
+    One pass without a shuffle: words are cut and hashed in the JVM, and looked up in sorted arrays that ``write_lookup`` has put
+    into shared storage (done here when ``vocabulary`` is a table). A null text has no words. ``max_len`` is the limit of an
+    encoder, special ids included: words past it are left out. ``tokenize_chunks`` keeps them all.
     """
     keys = list(keys)
+    lookup = vocabulary if isinstance(vocabulary, WordLookup) else write_lookup(vocabulary)
     words = words_of(F.col(text_col))
     if max_len is not None:
         words = F.slice(words, 1, max_len - 2)
-    words = F.coalesce(words, F.array().cast("array<string>"))
-    # a first position tells that the row was there, whatever its words
-    exploded = df.select(
-        *keys,
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"),
-        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), words)).alias("pos", "word"),
-    )
-    token = F.when(F.col("pos") == 0, F.lit(BEGIN_ID)).otherwise(F.coalesce("token", F.lit(UNKNOWN_ID)))
-    # copies of a row are counted before any list is made
-    placed = (
-        exploded.join(vocabulary.select("word", "token"), "word", "left")
-        .groupBy(*keys, "_text", "pos", token.alias("token"))
-        .agg(F.count("*").alias("_copies"))
-    )
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"])
-    return (
-        placed.groupBy(*keys, "_text", "_copies")
-        .agg(F.concat(ids, F.array(F.lit(END_ID))).alias("tokens"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-        .select(*keys, "tokens")
-    )
+    hashes = F.coalesce(F.transform(words, _word_hashes), F.array().cast("array<struct<one: bigint, two: bigint>>"))
+    hashed = df.select(F.struct(*keys).alias("_keys"), hashes.alias("_words"))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            found = lookup.find(*(flat.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            tokens = np.insert(found, np.concatenate((begins, ends)), [BEGIN_ID] * len(begins) + [END_ID] * len(ends))
+            # where a text ends and the next begins, the end id comes first
+            offsets = np.concatenate(([0], ends + 2 * np.arange(1, len(ends) + 1))).astype(np.int32)
+            tokens[offsets[:-1]], tokens[offsets[1:] - 1] = BEGIN_ID, END_ID
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], names=["_keys", "tokens"]
+            )
+
+    schema = StructType().add(hashed.schema["_keys"]).add("tokens", ArrayType(IntegerType()))
+    return hashed.mapInArrow(ids, schema).select("_keys.*", "tokens")
 
 
 def tokenize_chunks(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from agoraflow.functions.scale import storage_of
 from agoraflow.schemas import BY_KIND
 
 # fixed values: archive name prefix per content kind
@@ -81,13 +82,7 @@ def _spread(df: DataFrame, partitions: int | None) -> DataFrame:
 
 def _open_stream(path: str):
     """A byte stream of a file on mounted or remote storage."""
-    from pyarrow import fs
-
-    scheme, colon, rest = path.partition(":")
-    if not colon or scheme == "file":
-        local = path if not colon else "/" + rest.lstrip("/")
-        return fs.LocalFileSystem().open_input_stream(local, compression=None)
-    storage, inner = fs.FileSystem.from_uri(path)
+    storage, inner = storage_of(path)
     return storage.open_input_stream(inner, compression=None)
 
 
