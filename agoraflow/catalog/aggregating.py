@@ -152,13 +152,20 @@ def _(t: Tables):
 
 @query(
     "cluster_community_matrix_wide",
-    "SELECT cluster_id, "
-    + ", ".join(f"count(*) FILTER (subreddit = 'src{i}') AS src{i}" for i in range(4))
-    + " FROM combined WHERE cluster_id <> -1 GROUP BY cluster_id",
+    "WITH ts AS (SELECT subreddit, row_number() OVER (ORDER BY count(*) DESC, subreddit) AS nth FROM combined GROUP BY subreddit) "
+    + "SELECT cluster_id, "
+    + ", ".join(f"count(*) FILTER (nth = {i}) AS top_{i}" for i in range(1, 9))
+    + " FROM combined LEFT JOIN ts USING (subreddit) WHERE cluster_id <> -1 GROUP BY cluster_id HAVING count(*) FILTER (nth <= 8) > 0",
 )
 def _(t: Tables):
-    long = agg.cluster_community_counts(t.combined.filter("cluster_id <> -1"))
-    return agg.widen_matrix(long, [f"src{i}" for i in range(4)])
+    # one column for each of the eight largest communities of the data, in their order
+    docs = t.combined
+    top = [r["subreddit"] for r in agg.top_subreddits(docs, 8).orderBy(F.desc("n"), "subreddit").collect()]
+    kept = docs.filter("cluster_id <> -1")
+    long = agg.cluster_community_matrix(kept, kept.select("cluster_id").distinct(), agg.top_subreddits(docs, 8))
+    wide = agg.widen_matrix(long, top)
+    count = [F.col(f"`{name}`") for name in top] + [F.lit(0).cast("long")] * (8 - len(top))
+    return wide.select("cluster_id", *[c.alias(f"top_{i + 1}") for i, c in enumerate(count)])
 
 
 @query(

@@ -179,22 +179,26 @@ def _(t: Tables):
     )
 
 
-def _write_frames(folder: str):
-    """Write the lines of a task as one archive of several frames whose borders lie inside lines."""
+def write_frames(folder: str, name: str):
+    """Write the lines of a task as one archive ``name``-MM.zst of several frames whose borders lie inside lines.
+
+    Each task has a folder and thereby a file of its own.
+    """
 
     def run(batches):
         import zstandard
 
-        storage, inner = storage_of(folder)
+        own = f"{folder}/{uuid.uuid4().hex}"
+        storage, inner = storage_of(own)
         storage.create_dir(inner, recursive=True)
         text = "".join(line + "\n" for batch in batches for line in batch.column(0).to_pylist()).encode()
         if not text:
             return
-        name, size = f"RS_2025-07.{uuid.uuid4().hex}.zst", max(1, len(text) // 8)
-        with storage.open_output_stream(f"{inner}/{name}", compression=None) as out:
+        file, size = f"{name}-07.zst", max(1, len(text) // 8)
+        with storage.open_output_stream(f"{inner}/{file}", compression=None) as out:
             for a in range(0, len(text), size):
                 out.write(zstandard.ZstdCompressor().compress(text[a : a + size]))
-        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"{own}/{file}"])], names=["path"])
 
     return run
 
@@ -209,7 +213,7 @@ def _(t: Tables):
     line = F.to_json(F.struct("id", "subreddit", "created_utc", "title", "selftext", "num_comments"))
     broken = F.when(F.col("created_utc") % 7 == 0, F.concat(F.lit("{"), "id"))
     lines = t.posts.select(F.explode(F.filter(F.array(line, broken), lambda v: v.isNotNull())).alias("value"))
-    written = lines.mapInArrow(_write_frames(scratch_path(t.spark, "frames")), "path string").collect()
+    written = lines.mapInArrow(write_frames(scratch_path(t.spark, "frames"), "RS_2025"), "path string").collect()
     rows = frames.read_framed_archives(t.spark, [r["path"] for r in written], "posts", partition_bytes=1 << 14)
     return rows.select("id", "subreddit", "created_utc", F.md5("title").alias("title"), "num_comments", F.col("bad_line").alias("bad"))
 

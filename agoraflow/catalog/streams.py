@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agoraflow.catalog.fixtures import TERMS, WHITELIST, Tables
 from agoraflow.catalog.filtering import _MATCH
+from agoraflow.catalog.storing import write_frames
 from agoraflow.functions.scale import scratch_path
 from agoraflow.registry import query
 from agoraflow.streaming import ingest
@@ -34,12 +35,12 @@ def _events(t: Tables):
 
 @query("stream_ingest", "SELECT id, subreddit, created_utc, md5(title) AS title FROM posts")
 def _(t: Tables):
-    # archives of two kinds in one folder; only the posts are asked for
+    # archives of two kinds and two years in one folder; the stream takes the posts of one year by their names
     base = scratch_path(t.spark, "archives")
-    for kind, rows in (("posts", t.posts), ("comments", t.comments)):
+    for prefix, year, rows in (("RS", 2025, t.posts), ("rs", 2024, t.posts), ("RC", 2025, t.comments)):
         lines = rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "type"])).alias("value"))
-        lines.write.option("compression", "gzip").text(f"{base}/{kind}")
-    stream = ingest.stream_ingest(t.spark, [f"{base}/posts"], "posts", names="*.gz")
+        lines.mapInArrow(write_frames(base, f"{prefix}_{year}"), "path string").collect()
+    stream = ingest.stream_ingest(t.spark, [base], "posts", [2025], large_windows=True)
     return _run(t, stream).select("id", "subreddit", "created_utc", F.md5("title").alias("title"))
 
 

@@ -234,14 +234,42 @@ def _(t: Tables):
     return agg.dominant_topics(topics.topic_details(t.membership, _words(t)))
 
 
-@query("mmr_words")
+@query(
+    "mmr_words",
+    f"""{_WEIGHTS.replace("WITH d", "WITH RECURSIVE d", 1)},
+    candidates AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope_type, scope_value, topic_id ORDER BY weight DESC, term) AS was
+      FROM weights) WHERE was <= 30),
+    dd AS (SELECT scope_type, scope_value, topic_id, type, id, {_CLEAN} AS words FROM topic_texts),
+    dp AS (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM dd),
+    dt AS (SELECT DISTINCT scope_type, scope_value, topic_id, type, id, unnest([words[i],
+      CASE WHEN i + 1 <= len(words) THEN words[i] || ' ' || words[i + 1] END,
+      CASE WHEN i + 2 <= len(words) THEN words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] END]) AS term FROM dp),
+    placed AS (SELECT scope_type || '/' || scope_value || '/' || topic_id AS k, c.*, v.type, v.id, v.vector
+      FROM candidates c JOIN dt USING (scope_type, scope_value, topic_id, term) JOIN vectors v USING (type, id)),
+    flat AS (SELECT k, term, unnest(vector) AS v, generate_subscripts(vector, 1) AS i FROM placed),
+    means AS (SELECT k, term, i, avg(v) AS v FROM flat GROUP BY ALL),
+    units AS (SELECT k, term, list(v ORDER BY i) AS u FROM (SELECT k, term, i, v / sqrt(sum(v * v) OVER (PARTITION BY k, term)) AS v FROM means)
+      GROUP BY k, term),
+    entries AS MATERIALIZED (SELECT DISTINCT p.k, p.scope_type, p.scope_value, p.topic_id, term, weight, was, u,
+      list_dot_product(u, m.centroid) AS fits FROM placed p JOIN units USING (k, term) JOIN centroids m USING (scope_type, scope_value, topic_id)),
+    alike AS MATERIALIZED (SELECT a.k, a.term, b.term AS other, list_dot_product(a.u, b.u) AS s FROM entries a JOIN entries b USING (k)),
+    walk AS (SELECT 0 AS step, k, term, was, fits, CAST(NULL AS DOUBLE) AS close_to, CAST(NULL AS INTEGER) AS rank FROM entries
+      UNION ALL
+      SELECT step + 1, o.k, o.term, was, fits, greatest(close_to, s),
+        CASE WHEN rank IS NULL AND o.term = pick THEN step + 1 ELSE rank END
+      FROM (SELECT *, first_value(term) OVER (PARTITION BY k
+          ORDER BY rank IS NOT NULL, round(0.5 * fits - 0.5 * coalesce(close_to, 0), 9) DESC, was) AS pick FROM walk) o
+      JOIN alike a ON a.k = o.k AND a.term = o.term AND a.other = o.pick WHERE step < 10)
+    SELECT scope_type, scope_value, topic_id, CAST(w.rank AS INTEGER) AS rank, term AS word, round(weight, 6) AS weight
+    FROM walk w JOIN entries USING (k, term) WHERE step = 10 AND w.rank IS NOT NULL""",
+)
 def _(t: Tables):
     weights = _weights(t)
     candidates = topics.top_words(weights, 30)
     term_docs = tokens.document_terms(t.topic_texts, stop_words=STOP_WORDS).withColumnRenamed("term", "word").join(
         candidates.select(*_KEY, "word"), [*_KEY, "word"], "left_semi"
     )
-    return topics.mmr_words(candidates, term_docs, t.vectors, t.centroids)
+    return topics.mmr_words(candidates, term_docs, t.vectors, t.centroids).withColumn("weight", F.round("weight", 6))
 
 
 # ---- comparison of communities ----
