@@ -118,3 +118,49 @@ def test_count_rows(spark):
         n = len(library.encode(r.text or ""))
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.text or "").encode()), n > 10)
     assert pieces.count_tokens(docs.limit(0), MODEL).count() == 0
+
+
+def test_seam_test_equals_the_definition():
+    """Pairs of tokens, related ones too: stable exactly where the merge loop gives them back."""
+    import random
+
+    import public_tokenizers
+
+    from agoraflow.llm import bpe
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        tool = bpe.Codec(bpe.read_ranks(file.read()), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    tokens = list(tool.bytes_of)
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(5000)]
+    for token in rng.sample(tokens, 5000):  # the two sides of every cut of a token
+        data = tool.bytes_of[token]
+        pairs += [(tool.ranks[data[:i]], tool.ranks[data[i:]]) for i in range(1, len(data)) if data[:i] in tool.ranks and data[i:] in tool.ranks]
+    found = [tool.stable(*p) for p in pairs]
+    assert found == [tool.merge_loop(tool.bytes_of[a] + tool.bytes_of[b]) == (a, b) for a, b in pairs]
+    assert True in found and False in found
+
+
+def test_caches_of_two_generations():
+    from agoraflow.llm import bpe
+
+    held = bpe.Recent(3)
+    for i in range(3):
+        held.put(i, i)
+    assert held.get(1) == 1
+    held.put(3, 3)
+    assert held.get(1) == 1 and held.get(0) == 0 and set(held.new) == {0, 1, 3}  # carried over
+    held.put(4, 4)
+    assert held.get(2) is None and held.get(0) == 0
+
+
+def test_decoding_goes_up_the_tree():
+    import public_tokenizers
+
+    from agoraflow.llm import bpe
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as file:
+        tool = bpe.Codec(bpe.read_ranks(file.read()), public_tokenizers.PATTERN)
+    text = "one two, threé \U0001f600 " * 3000
+    ids = tool.encode(text)
+    assert len(ids) > 4 * bpe.DECODE_LEAF and tool.decode(ids) == text.encode() and tool.decode([]) == b""
