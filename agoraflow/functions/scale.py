@@ -74,7 +74,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
-def _row_bytes(df: DataFrame) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """Approximate bytes of a row: text by length, numbers 8, arrays by element."""
     total = F.lit(0)
     for f in df.schema.fields:
@@ -98,7 +98,7 @@ def broadcast_checked(
     unhinted and is joined by shuffle (or whatever adaptive execution picks from
     the measured sizes).
     """
-    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(_row_bytes(df))).first()
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.sum(row_bytes(df))).first()
     if rows <= max_rows and (size or 0) <= max_bytes:
         return F.broadcast(df)
     return df

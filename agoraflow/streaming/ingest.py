@@ -6,21 +6,25 @@ loaded once, and a restarted run continues where the last one stopped.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from agoraflow.functions.scale import materialize, row_bytes
 from agoraflow.operators.combine import whitelist_join
 from agoraflow.operators.filters import keyword_filter
 from agoraflow.schemas import BY_KIND
 from agoraflow.sources.archives import PREFIX, decode_large_windows
 
-#: Folders that the ids of a deduplicated store are spread over by hash.
-ID_BUCKETS = 64
+#: Bytes of a bucket of a deduplicated store, about; a batch has a power of two of them.
+BUCKET_BYTES = 64 << 20
+#: Bits of a block of an id filter (what one bitmap aggregate holds), bits per id, and bits set for an id.
+BLOCK_BITS, BITS_PER_ID, PROBES = 32_768, 12, 5
 
 
 def archive_glob(kind: str, years: Sequence[int] | None = None) -> str:
@@ -75,31 +79,88 @@ def stream_keyword_filter(stream: DataFrame, terms: Sequence[str], kind: str, **
     return keyword_filter(stream, terms, kind, **options)
 
 
+def _id_hash(id_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+
+
+def _probes(id_col: str) -> Column:
+    return F.array(*[F.pmod(_id_hash(id_col, 2 + i), F.lit(BLOCK_BITS)).cast("int") for i in range(PROBES)])
+
+
+def _write_filter(rows: DataFrame, path: str, id_col: str) -> None:
+    """Write the id filters of a batch: per bucket some blocks of bits, in which every id has set its own.
+
+    Columns: _bucket, _of (buckets of the batch), blocks (of the bucket), block, bits.
+    """
+    sizes = rows.groupBy("_bucket").agg(F.ceil(F.count("*") * BITS_PER_ID / BLOCK_BITS).alias("blocks"))
+    placed = rows.join(F.broadcast(sizes), "_bucket")  # one row per bucket
+    block = F.pmod(_id_hash(id_col, 1), F.col("blocks")).alias("block")
+    bit = placed.select("_bucket", "_of", "blocks", block, F.explode(_probes(id_col)).alias("bit"))
+    bits = bit.groupBy("_bucket", "_of", "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits.write.mode("overwrite").parquet(path)
+
+
+def _bit_is_set(bits: Column, place: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, place % 8).bitwiseAND(1) == 1
+
+
+def files_to_open(ids: DataFrame, path: str, before: int, id_col: str = "id") -> list[str]:
+    """Folders of the store that may hold one of ``ids``, by the filters of the batches before number ``before``.
+
+    Each block of a filter meets the ids that would be in it as one row. A folder that holds an id is always named; one that
+    holds none is named by chance, rarely while few ids meet it.
+    """
+    spark = ids.sparkSession
+    filters = _read_batches(spark, f"{path}/_filters", before)
+    if filters is None:
+        return []
+    shapes = F.broadcast(filters.select("_batch", "_bucket", "_of", "blocks").distinct())  # one row per folder
+    # ids find their folder of every batch by the low bits of their hash
+    counts = [r["_of"] for r in filters.select("_of").distinct().collect()]  # powers of two: a few numbers
+    if not counts:
+        return []
+    bucket = F.explode(F.array(*[F.struct(F.lit(n).alias("_of"), _id_hash(id_col, 0).bitwiseAND(n - 1).cast("int").alias("_bucket")) for n in counts]))
+    asked = ids.select(id_col, bucket.alias("_b")).select(id_col, "_b.*").join(shapes, ["_of", "_bucket"])
+    block = F.pmod(_id_hash(id_col, 1), F.col("blocks")).alias("block")
+    keys = ["_batch", "_bucket", "block"]
+    asked = asked.select("_batch", "_bucket", block, _probes(id_col).alias("probes")).groupBy(*keys).agg(F.collect_set("probes").alias("ids"))
+    met = asked.join(filters.select(*keys, "bits"), keys).filter(
+        F.exists("ids", lambda probes: F.forall(probes, lambda place: _bit_is_set(F.col("bits"), place)))
+    )
+    names = met.select("_batch", "_bucket").distinct().collect()  # names of folders, not rows
+    return sorted(f"{path}/_batch={r['_batch']}/_bucket={r['_bucket']}" for r in names)
+
+
 def stream_dedup(
-    stream: DataFrame, path: str, checkpoint: str, id_col: str = "id", time_col: str = "created_utc"
+    stream: DataFrame, path: str, checkpoint: str, id_col: str = "id", time_col: str = "created_utc", bucket_bytes: int = BUCKET_BYTES
 ) -> StreamingQuery:
     """Load everything that is new into a store that holds each id once, then stop.
 
     However late or far apart repeats arrive, the row stored first stays; inside a batch it is the one
-    with the smallest time, then the smallest row. A batch reads back only the ids of the hash buckets
-    it touches, and overwrites its own folder, so a repeated batch changes nothing.
-    Read the store with ``read_deduplicated``.
+    with the smallest time, then the smallest row. A batch is stored in buckets of about ``bucket_bytes`` by the hash of
+    the id, with a filter of the ids of each. A later batch opens only the buckets whose filters may hold its ids.
+    It overwrites its own folders, so a repeated batch changes nothing. Read the store with ``read_deduplicated``.
     """
     rest = [c for c in stream.columns if c not in (id_col, time_col)]
 
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(ID_BUCKETS)).cast("int")
         first = batch.groupBy(id_col).agg(F.min(F.struct(time_col, *rest)).alias("_row"))
-        rows = first.select(id_col, "_row.*").select(*stream.columns).withColumn("_bucket", bucket)
-        held = _stored(spark, path, number)
-        if held is not None:
-            touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most ID_BUCKETS
-            known = held.filter(F.col("_bucket").isin(touched)).select(F.col(id_col).alias("_id"), F.col("_bucket").alias("_b"))
-            same = (F.col("_bucket") == F.col("_b")) & F.col(id_col).eqNullSafe(F.col("_id"))
-            rows = rows.join(known, same, "left_anti")
-        # a task writes one file per bucket it holds, a bucket lies in one task unless it is large
-        rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_batch={number}")
+        rows = materialize(first.select(id_col, "_row.*").select(*stream.columns))
+        held = files_to_open(rows, path, number, id_col)
+        if held:
+            known = spark.read.option("basePath", path).schema(rows.select(id_col).schema).parquet(*held)
+            known = known.select(F.col(id_col).alias("_id"))
+            rows = rows.join(known, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+        size = rows.agg(F.sum(row_bytes(rows))).first()[0] or 0
+        of = 1 << max(0, math.ceil(math.log2(max(1, size / bucket_bytes))))
+        bucket = _id_hash(id_col, 0).bitwiseAND(of - 1).cast("int")
+        placed = rows.withColumn("_bucket", bucket)
+        own = f"{path}/_batch={number}"
+        placed.repartition(of, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(own)
+        stored = spark.read.schema(placed.schema).parquet(own)
+        _write_filter(stored.withColumn("_of", F.lit(of)), f"{path}/_filters/_batch={number}", id_col)
 
     query = (
         stream.writeStream.foreachBatch(load)
@@ -111,8 +172,8 @@ def stream_dedup(
     return query
 
 
-def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """The rows that batches before number ``before`` have stored; None when there are none."""
+def _read_batches(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """What batches before number ``before`` have written below ``path``; None when there is nothing."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -126,7 +187,7 @@ def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
 
 def read_deduplicated(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The rows of a store that ``stream_dedup`` has written."""
-    held = _stored(spark, path, 2**62)
+    held = _read_batches(spark, path, 2**62)
     return spark.createDataFrame([], schema) if held is None else held.select(*schema.names)
 
 

@@ -211,3 +211,30 @@ def test_stream_ingest_takes_kind_years_and_roots(spark, tmp_path):
 
     assert ids("a", years=[2025]) == ["p1", "p4"]
     assert ids("b", large_windows=True) == ["p1", "p2", "p4"]
+
+
+def test_stream_dedup_opens_only_buckets_that_may_hold_its_ids(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    write_zst(folder / "RS_2025-01.zst", [post(i) for i in range(3000)])
+
+    def load():
+        ingest.stream_dedup(ingest.stream_ingest(spark, str(folder), "posts"), out, state, bucket_bytes=20_000)
+
+    load()
+    buckets = len(list((tmp_path / "out" / "_batch=0").glob("_bucket=*")))
+    assert buckets >= 8
+    ids = lambda values: spark.createDataFrame([(v,) for v in values], "id string")
+    for i in (0, 17, 2999):  # an id that is stored: its bucket, and no other
+        (name,) = ingest.files_to_open(ids([f"p{i}"]), out, 1)
+        assert spark.read.parquet(name).filter(f"id = 'p{i}'").count() == 1
+    opened = [len(ingest.files_to_open(ids([f"new{i}"]), out, 1)) for i in range(8)]
+    assert sum(opened) <= 1  # chance hits are rare
+    assert ingest.files_to_open(ids(["p1"]), out, 0) == []
+    assert len(ingest.files_to_open(ids([f"p{i}" for i in range(3000)] + [None]), out, 1)) == buckets
+    write_zst(folder / "RS_2025-02.zst", [post(5), post(9000), {**post(1), "id": None}])
+    load()
+    write_zst(folder / "RS_2025-03.zst", [post(9000), {**post(1), "id": None}, post(7)])
+    load()
+    rows = ingest.read_deduplicated(spark, out, schemas.POSTS).collect()
+    assert sorted(r["id"] or "" for r in rows) == sorted([f"p{i}" for i in range(3000)] + ["p9000", ""])
