@@ -7,8 +7,10 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from agoraflow.catalog.fixtures import EPOCH, Tables
+from agoraflow.catalog.filtering import _MATCH
+from agoraflow.catalog.fixtures import EPOCH, TERMS, WHITELIST, Tables
 from agoraflow.functions.scale import scratch_path, storage_of
+from agoraflow.plans import stages
 from agoraflow.registry import query
 from agoraflow.sources import archives, frames, lists, stores
 
@@ -179,6 +181,19 @@ def _(t: Tables):
     )
 
 
+@query(
+    "ingest_stage",
+    f"SELECT id, subreddit, created_utc FROM posts WHERE lower(subreddit) IN (SELECT subreddit FROM whitelist) AND {_MATCH}",
+)
+def _(t: Tables):
+    # archives in, listed communities and matching rows out, repeats of an id left out
+    path = scratch_path(t.spark, "ingest")
+    lines = t.posts.select(F.to_json(F.struct("id", "subreddit", "created_utc", "title", "selftext", "num_comments")).alias("value"))
+    lines.unionByName(lines).write.option("compression", "gzip").text(path)
+    names = t.spark.createDataFrame([(w,) for w in WHITELIST], "subreddit string")
+    return stages.ingest(t.spark, [path], "posts", names, TERMS).select("id", "subreddit", "created_utc")
+
+
 def write_frames(folder: str, name: str):
     """Write the lines of a task as one archive ``name``-MM.zst of several frames whose borders lie inside lines.
 

@@ -118,6 +118,39 @@ def _(t: Tables):
     return rows.select("type", "id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value")).filter("value > 0")
 
 
+# ---- functions of one's own over Arrow batches ----
+
+
+@query(
+    "user_tokenizer",
+    f"""SELECT type, id, array_to_string(list_transform({_WORDS}, lambda w: length(w) % 100), ' ') AS tokens FROM content""",
+)
+def _(t: Tables):
+    def lengths(batches):
+        import regex
+
+        words = regex.compile(r"[\p{L}\p{N}]+")
+        for pdf in batches:
+            pdf["tokens"] = [[len(w) % 100 for w in words.findall((text or "").lower())] for text in pdf["text"]]
+            yield pdf[["type", "id", "tokens"]]
+
+    rows = tokens.tokenize_with(t.content.select("type", "id", "text"), lengths, "type string, id string, tokens array<int>")
+    return rows.select("type", "id", F.array_join(F.col("tokens").cast("array<string>"), " ").alias("tokens"))
+
+
+@query("user_encoder", "SELECT type, id, length(text)::DOUBLE AS size, (length(text) % 7)::DOUBLE AS rest FROM content")
+def _(t: Tables):
+    def sizes(batches):
+        for pdf in batches:
+            pdf["vector"] = [[float(len(text)), float(len(text) % 7)] for text in pdf["text"]]
+            yield pdf[["type", "id", "vector"]]
+
+    # every document twice: each key is encoded once
+    docs = t.content.select("type", "id", "text")
+    rows = tokens.embed_with(docs.unionByName(docs), sizes, schema="type string, id string, vector array<double>")
+    return rows.select("type", "id", F.col("vector")[0].alias("size"), F.col("vector")[1].alias("rest"))
+
+
 # ---- n-grams and topic words ----
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
