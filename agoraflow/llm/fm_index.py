@@ -144,9 +144,9 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of test items, each with the items that have it."""
+    """Windows of test items, each with the items that have it; an item without id has windows, but no name."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int = WINDOW):
         numbers: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
@@ -154,7 +154,7 @@ class Phrases:
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 found.setdefault(ids[i : i + window], set()).add(item)
         self.numbers = numbers
-        self.items = [sorted(names) for names in found.values()]
+        self.items = [sorted(n for n in names if n is not None) for names in found.values()]
         self.lengths = np.array([len(p) for p in found], dtype=np.int64)
         self.patterns = np.zeros((len(found), window), dtype=np.int64)
         for i, p in enumerate(found):
@@ -209,12 +209,12 @@ def find_spans(word_lists: list[list[bytes]], phrases: Phrases) -> list[tuple[li
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[Phrases]:
     """The test items in blocks of at most BLOCK_BYTES (or one item), read one block at a time."""
     items = pick(benchmark, item=id_col, text=text_col).withColumn("item", F.col("item").cast("string"))
-    items = items.filter("item is not null and text is not null").withColumn("size", F.octet_length("text"))
+    items = items.filter("text is not null").withColumn("size", F.octet_length("text"))
     total = items.agg(F.sum("size")).first()[0] or 0
     n = total // BLOCK_BYTES + 1
     out = []
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).select("item", "text").collect()
+        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).select("item", "text").collect()
         out.append(Phrases([(r.item, r.text.encode()) for r in rows], window))
     return out
 
@@ -230,8 +230,8 @@ def mark_hits(
     """``docs`` with _n_words, _spans (merged word spans: start, end, start, end, ...) and _items (sorted).
 
     A window is ``window`` consecutive words of an item; an item of fewer words is one window;
-    null and wordless texts have none, and an item without id is not searched. Repeated
-    items and rows are fine. Items beyond ``BLOCK_BYTES`` go in further blocks, each sent to
+    null and wordless texts have none. The windows of an item without id are searched like any other; it is only
+    missing from _items. Repeated items and rows are fine. Items beyond ``BLOCK_BYTES`` go in further blocks, each sent to
     the workers in turn, so what a worker holds stays bounded.
     """
     scan = _scanner(docs, benchmark, item_col, item_text_col, window)
@@ -310,18 +310,22 @@ def remove_hits(
 ) -> DataFrame:
     """``docs`` with all hit words cut out of the text; documents of which no word is left are dropped.
 
-    A document without a hit keeps its text byte for byte. Where a span is cut, the text before
+    Null and empty texts, repeated rows and further columns, whatever their names, are kept as they are; an empty
+    table gives none. A document without a hit keeps its text byte for byte. Where a span is cut, the text before
     it and the text behind it are put on lines of their own.
     """
     names = docs.columns
+    emptied = "_emptied"
+    while emptied in names:
+        emptied += "_"
     scan = _scanner(docs, benchmark, item_col, item_text_col, window)
 
     def compute(texts):
         cut = [_cut(t, s) for t, s in zip(texts, scan(texts)[1])]
         return [[None if t is None else t.decode() for t in cut], [t == b"" != was for t, was in zip(cut, texts)]]
 
-    cleaned = append_columns(docs, text_col, [(text_col, "string"), ("_emptied", "boolean")], lambda: compute)
-    return cleaned.filter("not _emptied").select(*[F.col(f"`{c}`") for c in names])
+    cleaned = append_columns(docs, text_col, [(text_col, "string"), (emptied, "boolean")], lambda: compute)
+    return cleaned.filter(~F.col(f"`{emptied}`")).select(*[F.col(f"`{c}`") for c in names])
 
 
 def _cut(text: bytes | None, spans: list[int]) -> bytes | None:

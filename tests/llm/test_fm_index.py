@@ -92,7 +92,9 @@ def test_odd_rows(spark, monkeypatch, block_bytes):
     docs = spark.createDataFrame([(d, t, "a", [1]) for d, t in DOCS], "doc_id long, text string, n_hit string, spans array<int>")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in fm_index.contamination(docs, bench).collect()), key=str)
-    assert got == sorted(slow_hits(DOCS, [i for i in ITEMS if i[0] is not None]), key=str)
+    # the item without id is searched, and named nowhere
+    want = slow_hits(DOCS, [("" if i is None else i, t) for i, t in ITEMS])
+    assert got == sorted(((d, n, k, [x for x in names if x]) for d, n, k, names in want), key=str)
     left = fm_index.remove_hits(docs, bench)
     assert left.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
@@ -102,8 +104,8 @@ def test_odd_rows(spark, monkeypatch, block_bytes):
             (3, ""),
             (4, "short item, here:\n!"),
             (6, DOCS[5][1]),
-            (7, DOCS[6][1]),
-            (7, DOCS[6][1]),
+            (7, "text\twith  space"),
+            (7, "text\twith  space"),
             (None, "été"),
         ],
         key=str,
@@ -116,3 +118,15 @@ def test_empty_tables(spark):
     assert fm_index.contamination(docs.limit(0), bench).count() == 0
     assert fm_index.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert fm_index.remove_hits(docs, bench.limit(0)).count() == len(DOCS)
+
+
+def test_items_without_id_and_clashing_names(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(None, passage), ("b", "other words here"), (None, None)], "item_id string, text string")
+    rows = [(1, f"start {passage} end", "mine"), (2, "clean text", "yours"), (3, None, None), (4, "other words here", "gone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _emptied string")
+    got = {r.doc_id: r for r in fm_index.contamination(docs, items).collect()}
+    assert got[1].contaminated and got[1].n_hit == 12 and list(got[1]["items"]) == []
+    assert got[4].contaminated and list(got[4]["items"]) == ["b"] and not got[2].contaminated and not got[3].contaminated
+    cut = {r.doc_id: (r.text, r["_emptied"]) for r in fm_index.remove_hits(docs, items).collect()}
+    assert cut == {1: ("start\nend", "mine"), 2: ("clean text", "yours"), 3: (None, None)}
