@@ -7,11 +7,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from agoraflow.functions.scale import materialize
+from agoraflow.functions.scale import global_running_sum, materialize
 from agoraflow.functions.vectors import l2_normalise
 from agoraflow.operators.sampling import sample_n
 
@@ -23,9 +24,13 @@ BLOCK_ROWS = 4096
 # rows of the left block that are multiplied at once, so that what is sent on is bounded
 PRODUCT_ROWS = 256
 
-# tasks that block pairs are spread over at most
+# tasks that tile pairs are spread over at most
 MOST_TASKS = 20_000
 
+# a tile, the blocks that one task has of a side: rows and bytes of vectors at most (one block, if that is more)
+TILE_ROWS = 16_384
+TILE_BYTES = 16 * 1024 * 1024
+
 # fixed value: directions that rows are sorted by
 MAX_PIVOTS = 256
 
@@ -35,28 +40,35 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def _block_product(keys: Sequence[str], threshold: float, out: pa.Schema):
-    """Similar pairs of one block pair: products of a few rows with the other block, each sent on at once."""
+def _tile_product(keys: Sequence[str], threshold: float, out: pa.Schema):
+    """Similar pairs of two tiles: products of a few rows of a block with all blocks paired with it, each sent on at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
+        listed = table.column("_low").is_valid()
+        asked = table.filter(listed)
+        order = np.lexsort((asked.column("_high").to_numpy(), asked.column("_low").to_numpy()))
+        low, high = (asked.column(c).to_numpy()[order] for c in ("_low", "_high"))
+        table = table.filter(pc.invert(listed)).sort_by("_block")
         block = table.column("_block").to_numpy()
-        low = table.column("_low").to_numpy()
-        high = table.column("_high").to_numpy()
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
         unit = _matrix(table.column("_unit"))
         named = [table.column(k).combine_chunks() for k in keys]
-        for a in range(0, len(left), PRODUCT_ROWS):
-            part = left[a : a + PRODUCT_ROWS]
-            scores = unit[part] @ unit[right].T
-            hit = scores >= threshold
-            if low[0] == high[0]:
-                hit = np.triu(hit, 1 + a)
-            i, j = np.nonzero(hit)
-            arrays = [c.take(pa.array(part[i])) for c in named]
-            arrays += [c.take(pa.array(right[j])) for c in named]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores[i, j])], schema=out)
+        of = lambda b: np.arange(np.searchsorted(block, b), np.searchsorted(block, b, side="right"))
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else []
+        for x, y in zip(first, np.append(first[1:], len(low))):
+            left = of(low[x])
+            right = np.concatenate([of(b) for b in high[x:y]])
+            other = unit[right].T
+            for a in range(0, len(left), PRODUCT_ROWS):
+                part = left[a : a + PRODUCT_ROWS]
+                scores = unit[part] @ other
+                hit = scores >= threshold
+                if high[x] == low[x]:  # a block with itself: each pair of rows once
+                    hit &= (right > part[:, None]) | (block[right] != low[x])
+                i, j = np.nonzero(hit)
+                arrays = [c.take(pa.array(part[i])) for c in named]
+                arrays += [c.take(pa.array(right[j])) for c in named]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(scores[i, j])], schema=out)
 
     return run
 
@@ -130,6 +142,20 @@ def block_pairs(rows: DataFrame, threshold: float, keys: Sequence[str], block_ro
     return blocked, materialize(pairs)
 
 
+def _tiles(blocked: DataFrame) -> DataFrame:
+    """_block, _tile: neighbouring blocks put together, so that a row is sent once per tile and not once per block it meets.
+
+    Tiles are as large as a task may hold, but there are enough of them to keep all cores busy.
+    """
+    blocks = materialize(blocked.groupBy("_block").agg(F.count("*").alias("_n"), F.max(F.size("_unit")).alias("_dims")))
+    rows, dims = blocks.agg(F.sum("_n"), F.max("_dims")).first()
+    held = min(TILE_ROWS, TILE_BYTES // (8 * max(1, dims or 1)))
+    busy = math.ceil(math.sqrt(4 * blocked.sparkSession.sparkContext.defaultParallelism))
+    wide = max(1, min(held, math.ceil((rows or 0) / busy)))
+    summed = global_running_sum(blocks, [F.col("_block")], "_n", "_sum")
+    return materialize(summed.select("_block", F.floor((F.col("_sum") - F.col("_n")) / wide).alias("_tile")))
+
+
 def cosine_pairs(
     df: DataFrame,
     threshold: float,
@@ -139,9 +165,9 @@ def cosine_pairs(
 ) -> DataFrame:
     """Every unordered pair of rows with cosine >= ``threshold``: a_<key>, b_<key>, similarity.
 
-    Rows are put into blocks of near directions; only pairs of blocks whose angles allow the threshold are made, and one
-    task multiplies two blocks of bounded size. Only pairs above the threshold leave the task, a few rows' at a time. The a
-    side is the smaller key.
+    Rows are put into blocks of near directions; only pairs of blocks whose angles allow the threshold are multiplied. One
+    task has two tiles, runs of blocks of bounded size, with the list of the block pairs between them, so a row is shuffled
+    once per tile it meets. Only pairs above the threshold leave the task, a few rows' at a time. The a side is the smaller key.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -149,19 +175,24 @@ def cosine_pairs(
     rows = materialize(df.select(*keys, l2_normalise(F.col(vector_col)).alias("_unit")))
     blocked, near = block_pairs(rows, threshold, keys, block_rows)
     blocked = materialize(blocked)
-    low = blocked.join(near, F.col("_block") == F.col("_low"))
-    high = blocked.join(near.filter("_low < _high"), F.col("_block") == F.col("_high"))
+    tiles = _tiles(blocked)
+    met = materialize(
+        near.join(tiles.select(F.col("_block").alias("_low"), F.col("_tile").alias("_a")), "_low")
+        .join(tiles.select(F.col("_block").alias("_high"), F.col("_tile").alias("_b")), "_high")
+        .select("_a", "_b", "_low", "_high")
+    )
+    wanted = met.select("_a", "_b", F.explode(F.array("_low", "_high")).alias("_block")).distinct()
+    sent = blocked.join(wanted, "_block").select("_a", "_b", *keys, "_unit", "_block")
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = StructType()
     for side in ("a", "b"):
         for k in keys:
             schema = schema.add(f"{side}_{k}", types[k])
     schema = schema.add("similarity", DoubleType())
-    # block pairs are small but heavy: they are not merged into fewer tasks
-    spread = low.unionByName(high).repartition(max(1, min(near.count(), MOST_TASKS)), "_low", "_high")
-    pairs = spread.groupBy("_low", "_high").applyInArrow(
-        _block_product(keys, threshold, to_arrow_schema(schema)), schema
-    )
+    # tile pairs are small but heavy: they are not merged into fewer tasks
+    tasks = max(1, min(met.select("_a", "_b").distinct().count(), MOST_TASKS))
+    spread = sent.unionByName(met, allowMissingColumns=True).repartition(tasks, "_a", "_b")
+    pairs = spread.groupBy("_a", "_b").applyInArrow(_tile_product(keys, threshold, to_arrow_schema(schema)), schema)
     a = F.struct(*[F.col(f"a_{k}").alias(k) for k in keys])
     b = F.struct(*[F.col(f"b_{k}").alias(k) for k in keys])
     first, second = F.when(a < b, a).otherwise(b), F.when(a < b, b).otherwise(a)

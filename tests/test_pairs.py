@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 from itertools import combinations
@@ -77,3 +78,19 @@ def test_one_cluster_with_thousands_of_communities(spark):
     # the cluster is worked on by many tasks
     assert counts.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
     assert graph.community_pairs(none, sets.limit(300)).count() == 300 * 299 // 2
+
+
+def test_rows_are_sent_once_per_tile(spark):
+    """Directions all alike, so every pair of small blocks is multiplied: what is shuffled must not grow with their number."""
+    v = np.random.default_rng(3).normal(0, 1, (1500, 16))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(1500), "v": v.tolist()}))
+    blocked, near = similarity.block_pairs(df.select("id", l2_normalise(F.col("v")).alias("_unit")), 0.3, ["id"], 16)
+    tiles = similarity._tiles(blocked)
+    names = {r._block: r._tile for r in tiles.collect()}
+    blocks = blocked.select("_block").distinct().count()
+    busy = math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))
+    assert len(names) == blocks > 90 and busy - 1 <= len(set(names.values())) <= busy + 1
+    pairs = similarity.cosine_pairs(df, 0.3, ["id"], "v", block_rows=16)
+    assert near.count() > blocks * (blocks + 1) / 4
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    assert pairs.select("a_id", "b_id").distinct().count() == pairs.count() == int(np.triu(unit @ unit.T >= 0.3, 1).sum())
