@@ -24,6 +24,9 @@ UNKNOWN_ID, BEGIN_ID, END_ID, FIRST_WORD_ID = 0, 1, 2, 3
 # fixed value: dimensions of a document vector
 VECTOR_DIMS = 768
 
+# documents that are counted or made dense at once
+COUNTED_ROWS = 1024
+
 
 def words_of(text: Column, word_chars: str = r"\p{L}\p{N}", min_length: int = 1) -> Column:
     """Lower-cased words of a text: the longest runs of ``word_chars`` of sufficient length."""
@@ -250,41 +253,52 @@ def embed_documents(
     The built-in encoder hashes words to dimensions (md5, so any engine can repeat it) and
     weights the counts by inverse document frequency, ln((n + 1) / (f + 1)) with f the documents
     that use the dimension. Of rows that share a key the smallest text counts. Words are counted
-    per document and dimension once, written, and read for the frequencies and for the vectors.
-    A document without words, or whose every weight is 0, has no vector.
+    inside their document, so texts are shuffled once and nothing after that; the counts are written, and read
+    for the frequencies and for the vectors. A document without words, or whose every weight is 0, has no vector.
     """
     keys = list(keys)
     once = df.groupBy(*keys).agg(F.min(text_col).alias("_text"))
-    dim = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long") % dims
-    counted = materialize(
-        once.select(*keys, F.explode(words_of(F.col("_text"))).alias("word"))
-        .groupBy(*keys, dim.cast("int").alias("dim"))
-        .agg(F.count("*").alias("n"))
-    )
-    docs = counted.select(*keys).distinct().count()
-    frequency = (
-        counted.groupBy("dim").agg(F.count("*").alias("f")).filter(F.col("f") >= min_docs)
-        .select("dim", F.log((F.lit(docs) + 1) / (F.col("f") + 1)).alias("idf"))
-    )
+    dim = lambda word: F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long") % dims
+    dims_of = F.transform(words_of(F.col("_text")), lambda w: dim(w).cast("int"))
+    hashed = once.select(*keys, F.coalesce(dims_of, F.array().cast("array<int>")).alias("_dims"))
+    named = [hashed.schema[k] for k in keys]
+    sparse = StructType([*named]).add("dims", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
+
+    def count(batches):
+        for batch in batches:
+            for part in (batch.slice(i, COUNTED_ROWS) for i in range(0, batch.num_rows, COUNTED_ROWS)):
+                column = part.column(len(keys))
+                row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+                used, n = np.unique(row * dims + column.flatten().to_numpy(), return_counts=True)
+                some, size = np.unique(used // dims, return_counts=True)
+                ends = pa.array(np.append(0, np.cumsum(size)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (used % dims, n)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(some)) for i in range(len(keys))), *lists], names=sparse.names)
+
+    counted = materialize(hashed.mapInArrow(count, sparse))
+    docs = counted.count()
+    frequency = counted.select(F.explode("dims").alias("dim")).groupBy("dim").agg(F.count("*").alias("f")).filter(F.col("f") >= min_docs)
     # one row per dimension
-    weighted = counted.join(F.broadcast(frequency), "dim").select(*keys, "dim", (F.col("n") * F.col("idf")).alias("w"))
-    sparse = weighted.groupBy(*keys).agg(F.collect_list(F.struct("dim", "w")).alias("_sparse"))
-    schema = StructType([sparse.schema[k] for k in keys]).add("vector", ArrayType(DoubleType()))
+    weight = np.zeros(dims)
+    for r in frequency.select("dim", F.log((F.lit(docs) + 1) / (F.col("f") + 1)).alias("idf")).collect():
+        weight[r["dim"]] = r["idf"]
+    schema = StructType([*named]).add("vector", ArrayType(DoubleType()))
 
     def unit(batches):
         for batch in batches:
-            column = batch.column(len(keys))
-            entries = column.flatten()
-            row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
-            dense = np.zeros((len(column), dims))
-            dense[row, entries.field("dim").to_numpy()] = entries.field("w").to_numpy()
-            norm = np.linalg.norm(dense, axis=1)
-            some = np.flatnonzero(norm > 0)
-            flat = (dense[some] / norm[some, None]).ravel()
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dims), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(some)) for i in range(len(keys))), vectors], names=schema.names)
-
-    return sparse.mapInArrow(unit, schema)
+            for part in (batch.slice(i, COUNTED_ROWS) for i in range(0, batch.num_rows, COUNTED_ROWS)):
+                used, n = part.column(len(keys)), part.column(len(keys) + 1)
+                row = np.repeat(np.arange(len(used)), used.value_lengths().to_numpy())
+                dense = np.zeros((len(used), dims))
+                at = used.flatten().to_numpy()
+                dense[row, at] = n.flatten().to_numpy() * weight[at]
+                norm = np.linalg.norm(dense, axis=1)
+                some = np.flatnonzero(norm > 0)
+                flat = (dense[some] / norm[some, None]).ravel()
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dims), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(some)) for i in range(len(keys))), vectors], names=schema.names)
+
+    return counted.mapInArrow(unit, schema)
 
 
 def _with_terms(
