@@ -41,3 +41,30 @@ def test_vectors_of_documents_behind_a_slice(spark, monkeypatch):
     want = {r["id"]: r["vector"] for r in tokens.embed_documents(df, 64).collect()}
     monkeypatch.setattr(tokens, "COUNTED_ROWS", 3)
     assert {r["id"]: r["vector"] for r in tokens.embed_documents(df.coalesce(1), 64).collect()} == want and len(want) == 50
+
+
+def test_terms_are_shuffled_once(spark):
+    rng = random.Random(4)
+    rows = [("c", str(rng.randrange(2)), rng.randrange(3), i, " ".join(rng.choices(["aa", "bb", "cc", "dd", "the"], k=rng.randrange(9)))) for i in range(200)]
+    rows += [("c", "0", 1, 1000, "aa bb")] * 5 + [("c", None, 1, 1001, "aa"), ("c", None, 2, 1002, "aa"), ("c", "1", None, 1003, "")]
+    df = spark.createDataFrame(rows, f"{KEY}, id int, text string").coalesce(1)
+    counted = tokens.ngram_counts(df, stop_words=["the"])
+    shuffles = [line for line in plan(counted).splitlines() if "Exchange hashpartitioning" in line]
+    assert len([x for x in shuffles if "term" in x]) == 1
+    counts = Counter()
+    for kind, value, topic, _, text in rows:
+        words = [w for w in text.split() if w != "the"]
+        counts.update((kind, value, topic, " ".join(words[i : i + n])) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+    df_, total = Counter(), Counter()
+    for (kind, value, _, term), n in counts.items():
+        df_[kind, value, term] += 1
+        total[kind, value, term] += n
+    want = {(*k, n, total[k[0], k[1], k[3]]) for k, n in counts.items() if df_[k[0], k[1], k[3]] >= 2}
+    assert {tuple(r) for r in counted.collect()} == want and counted.count() == len(want)
+
+
+def test_texts_of_one_partition_are_dealt(spark):
+    df = spark.range(400).select(F.lit("c").alias("scope_type"), F.lit("1").alias("scope_value"), F.lit(0).alias("topic_id"), "id", F.lit("one text").alias("text")).coalesce(1)
+    dealt = tokens._with_terms(df, ["scope_type"], "text", 2, [], r"\p{L}", 2)
+    held = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 1 and max(r["count"] for r in held) < 300
