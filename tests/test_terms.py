@@ -68,3 +68,10 @@ def test_texts_of_one_partition_are_dealt(spark):
     dealt = tokens._with_terms(df, ["scope_type"], "text", 2, [], r"\p{L}", 2)
     held = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert len(held) > 1 and max(r["count"] for r in held) < 300
+
+
+def test_terms_meet_candidates_without_a_shuffle(spark, no_small_tables):
+    terms = spark.createDataFrame([("c", "1", 0, "post", str(i), w) for i in range(9) for w in "abc"], f"{KEY}, type string, id string, word string")
+    words = spark.createDataFrame([("c", "1", 0, "a"), ("c", "1", 1, "b")], f"{KEY}, word string")
+    found = topics.candidate_documents(terms, words)
+    assert "Exchange hashpartitioning" not in plan(found) and {r["word"] for r in found.collect()} == {"a"} and found.count() == 9
