@@ -14,6 +14,9 @@ hashes. Only windows that hold a passage of ``MIN_WORDS`` words are made, about
   minimum. For the first function a window carries a fingerprint of what it holds: members with the same one are
   linked to their first document. The first documents of a min-hash with several fingerprints are compared by
   every run of ``MIN_WORDS`` words around the minimum, and linked to the first document that has the run.
+* A group of three or more documents may have several passages around one minimum. Its windows that no verified
+  passage covers meet the group's other windows by sketches of what stands around their minima: first each the most alike of
+  the earlier ones, then, where that was not verified, all that are alike. No function else has to agree.
 * What agrees is verified on the words: the passage is grown over shared shingles, and must reach
   ``MIN_WORDS`` words and a Jaccard similarity of ``SIMILARITY`` with the passage of the representative.
 
@@ -23,14 +26,15 @@ earlier document that has it, whatever other documents share parts of it.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agoraflow.functions.scale import materialize
+from agoraflow.functions.scale import broadcast_checked, materialize
 from agoraflow.llm.common import LOWER, sorted_runs
 
 SHINGLE = 5
@@ -42,28 +46,67 @@ ENOUGH = 2
 #: Words that the shift of two windows may differ by and still support each other.
 SLACK = 8
 BLOCK = 64
+#: Longs of the sketch of a window, and the share of a shortest passage that two sketches have to have in common. A passage
+#: of the least similarity shares 0.89 of its tokens; the rest is for edits that crowd around the minimum and bits that coincide.
+SKETCH = 8
+ALIKE = 0.65
 _CHUNK_WORDS = 500_000
-_CACHE_ENTRIES = 120_000
+#: Bytes of text hashed at once.
+_PIECE = 1 << 21
 _SEEDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
           0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 _BASE = 0xD1342543DE82EF95
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
-_WORD_HASHES: dict[bytes, int] = {}
+_SPACE_BYTE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+_IS_WORD = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8), invert=True)
+
+
+def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, 64-bit hash) of the words of bytes that begin and end with a space, from running sums over the bytes."""
+    flat = np.frombuffer(data, dtype=np.uint8)
+    word = _IS_WORD[flat]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    runs = RunHashes(flat)
+    return start, runs.of(start, end).view(np.uint64)
+
 
+def hash_texts(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The 64-bit hashes of the words of each text; a null text has none."""
+    out, group, size = [], [], 0
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(LOWER).split() if text else []
+    def flush():
+        start, hashes = _hash_piece(b" " + b" ".join(group) + b" ")
+        ends = np.cumsum([len(t) + 1 for t in group])
+        out.extend(np.split(hashes, np.searchsorted(start, ends + 1)[:-1]))
+        group.clear()
+
+    for text in texts:
+        text = (text or b"").translate(LOWER)
+        if group and size + len(text) > _PIECE:
+            flush()
+            size = 0
+        if len(text) <= _PIECE:
+            group.append(text)
+            size += len(text)
+            continue
+        # a long text is cut behind the word that reaches over a piece
+        parts, at = [], 0
+        while at < len(text):
+            space = _SPACE_BYTE.search(text, at + _PIECE)
+            cut = space.start() if space else len(text)
+            parts.append(_hash_piece(b" " + text[at:cut] + b" ")[1])
+            at = cut
+        out.append(np.concatenate(parts))
+    if group:
+        flush()
+    return out
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, remembered by the worker."""
-    if len(_WORD_HASHES) > _CACHE_ENTRIES:
-        _WORD_HASHES.clear()
-    for w in set(words).difference(_WORD_HASHES):
-        _WORD_HASHES[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+def hash_text(text: bytes | None) -> np.ndarray:
+    return hash_texts([text])[0]
 
 
 def _shingles(words: np.ndarray) -> np.ndarray:
@@ -118,10 +161,19 @@ def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
     return l[wide], place[wide], r[wide]
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
+    """The first ``n`` powers; the worker keeps as many as a piece of text needs."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        out[:1] = 1
+        kept = np.multiply.accumulate(out, dtype=np.uint64)
+        if n <= 2 * _PIECE:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
 class RunHashes:
@@ -159,14 +211,19 @@ def _doc_key(docs: DataFrame, id_col: str, text_col: str) -> F.Column:
 
 
 def windows(keyed: DataFrame, min_words: int, hashes: int) -> DataFrame:
-    """key, doc, at, held: the compact windows of all documents of ``keyed`` (doc, text).
+    """key, doc, at, held, sides: the compact windows of all documents of ``keyed`` (doc, text).
 
     ``at`` packs the place of the minimum, the function, and how far the window reaches to
     either side (up to 255 tokens; a passage needs fewer). ``held`` is a hash of the tokens that
-    a passage around the minimum can have; only windows of the first function have it.
+    a passage around the minimum can have; only windows of the first function have it. ``sides`` has 14 bits of the
+    smallest hash on each side of the minimum, among the tokens a passage can have there; zeros where these are few.
     """
     t = min_words - SHINGLE + 1
 
+    def hashed(texts):
+        for a in range(0, len(texts), 64):
+            yield from hash_texts(texts[a : a + 64])
+
     def run(batches):
         for batch in batches:
             docs = batch.column(0).to_numpy()
@@ -174,10 +231,9 @@ def windows(keyed: DataFrame, min_words: int, hashes: int) -> DataFrame:
             part: list[np.ndarray] = []
             owners: list[int] = []
             size = 0
-            for i, text in enumerate(texts):
-                words = words_of(text)
+            for i, words in enumerate(hashed(texts)):
                 if len(words) >= min_words:
-                    part.append(_shingles(hash_words(words)))
+                    part.append(_shingles(words))
                     owners.append(i)
                     size += len(words)
                 if part and (size >= _CHUNK_WORDS or i == len(texts) - 1):
@@ -202,24 +258,136 @@ def windows(keyed: DataFrame, min_words: int, hashes: int) -> DataFrame:
             held = np.zeros(len(c), dtype=np.int64)
             if f == 0:
                 held = run_hashes.of(np.maximum(l, c - t + 1), np.minimum(r, c + t - 1) + 1)
+            sides = (_side(h, np.maximum(l, c - t + 1), c, t // 2) << 16) | _side(h, c + 1, np.minimum(r, c + t - 1) + 1, t // 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[c].view(np.int64)), pa.array(owners[doc]), pa.array(at), pa.array(held)],
-                names=["key", "doc", "at", "held"],
+                [pa.array(h[c].view(np.int64)), pa.array(owners[doc]), pa.array(at), pa.array(held), pa.array(sides.astype(np.int32))],
+                names=["key", "doc", "at", "held", "sides"],
             )
 
-    return keyed.select("doc", "text").mapInArrow(run, "key long, doc long, at long, held long")
+    return keyed.select("doc", "text").mapInArrow(run, "key long, doc long, at long, held long, sides int")
+
 
+def _side(h: np.ndarray, start: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
+    """14 bits and a one for the smallest of entries start to end - 1, none of them 0; 0 where there are less than ``least``."""
+    if not len(start):
+        return np.zeros(0, dtype=np.int64)
+    last = len(h) - 1
+    bounds = np.stack([np.minimum(start, last), np.minimum(end, last)], axis=1).ravel()
+    low = np.minimum.reduceat(h, bounds)[::2]
+    low = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
+    return np.where(end - start >= least, low.astype(np.int64) | 1, 0)
 
-def links(found: DataFrame) -> DataFrame:
-    """doc, rep, at, rep_at: each window linked to the first document with the same function and min-hash."""
+
+def first_windows(found: DataFrame) -> DataFrame:
+    """key, rep, rep_at, n: the first document with a function and min-hash that others have, too, and the windows in all."""
     # written, so that the join reads two plain exchanges and a hot group can be split among tasks
-    groups = _written(
+    return _written(
         found.groupBy("key")
-        .agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"))
+        .agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
         .filter("first.doc < last")
-        .select("key", F.col("first.doc").alias("rep"), F.col("first.at").alias("rep_at"))
+        .select("key", F.col("first.doc").alias("rep"), F.col("first.at").alias("rep_at"), "n")
+    )
+
+
+def links(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """doc, rep, at, rep_at: each window linked to the first document with the same function and min-hash.
+
+    ``later_links`` links what is not verified by these.
+    """
+    return found.join(groups.drop("n"), "key").filter("doc != rep").select("doc", "rep", "at", "rep_at")
+
+
+def _open(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The windows of ``rows`` (doc, at, ...) whose minimum no verified passage covers."""
+    own = spans.select(F.col("doc").alias("_doc"), F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
+    place = F.shiftright("at", 20)
+    covered = (F.col("doc") == F.col("_doc")) & (place >= F.col("_start")) & (place + SHINGLE <= F.col("_end"))
+    return rows.join(own, covered, "left_anti")
+
+
+def sketches(found: DataFrame, light: DataFrame, groups: DataFrame, spans: DataFrame, min_words: int):
+    """Windows of the min-hashes that have open ones, and the texts of their documents; None where none is open.
+
+    key, doc, at, open, s0, s1, ...: the sketch is a set of bits, one for each token a passage around the minimum can have. A group
+    of two windows has no other representative to try, nor has its first document.
+    """
+    t = min_words - SHINGLE + 1
+    crowded = found.join(groups.filter("n > 2").select("key", "rep"), "key").select("key", "doc", "at", "sides", (F.col("doc") != F.col("rep")).alias("later"))
+    crowded = _written(crowded)
+    left = _written(_open(crowded.filter("later").select("key", "doc", "at").distinct(), spans).withColumn("open", F.lit(True)))
+    if left.isEmpty():
+        return None
+    # most share no more than the words of the minimum: of the tokens on one side, too, the smallest has to agree
+    sided = crowded.select("key", "doc", "at", F.explode(F.array(F.shiftright("sides", 16), -F.col("sides").bitwiseAND(0xFFFF))).alias("side"))
+    sided = sided.filter("side != 0")
+    shared = _written(
+        sided.join(left, ["key", "doc", "at"], "left")
+        .groupBy("key", "side")
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.max("open").alias("open"))
+        .filter("low < high and open")
+        .select("key", "side")
+    )
+    marked = _written(
+        sided.join(shared, ["key", "side"], "left_semi")
+        .select("key", "doc", "at")
+        .distinct()
+        .join(left, ["key", "doc", "at"], "left")
+    )
+    if marked.isEmpty():
+        return None
+    # at most one entry per compact window of the document
+    places = _written(
+        marked.groupBy("doc").agg(F.collect_list(F.struct("key", "at", F.coalesce("open", F.lit(False)).alias("open"))).alias("places"))
     )
-    return found.join(groups, "key").filter("doc != rep").select("doc", "rep", "at", "rep_at")
+    few = broadcast_checked(places.select("doc"))
+    texts = _written(light.join(few, "doc", "left_semi"))
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1).cast(pa.binary())
+            for i, (doc, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                tokens = _shingles(hash_text(column[i].as_py()))
+                bit = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+                keys, at, opened = (places.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "at", "open"))
+                kept = (at >> 20) < len(tokens)
+                keys, at, opened = keys[kept], at[kept], opened[kept]
+                c = at >> 20
+                low = np.maximum(c - np.minimum((at >> 8) & 255, t - 1), 0)
+                high = np.minimum(c + np.minimum(at & 255, t - 1) + 1, len(tokens))
+                flags = np.zeros((len(c), 64 * SKETCH), dtype=bool)
+                for row, (a, b) in enumerate(zip(low.tolist(), high.tolist())):
+                    flags[row, bit[a:b]] = True
+                bits = np.packbits(flags, axis=1).view(np.int64)
+                arrays = [keys, np.full(len(c), doc), at, opened, *(np.ascontiguousarray(bits[:, k]) for k in range(SKETCH))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
+
+    names = ["key", "doc", "at", "open", *(f"s{k}" for k in range(SKETCH))]
+    kinds = "key long, doc long, at long, open boolean, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+    rows = texts.hint("merge").join(places, "doc").select("doc", "text", "places")
+    return _written(rows.mapInArrow(run, kinds)), texts
+
+
+def later_links(sketched: DataFrame, spans: DataFrame, min_words: int, best: bool) -> DataFrame:
+    """doc, rep, block: the open windows with earlier ones of the same min-hash whose surroundings are alike.
+
+    With ``best`` each with the one most alike only, else with all. Of windows with equal sketches the first
+    document stands for the others. The pairs of a min-hash are met in a join and never held; only those alike are kept.
+    """
+    bits = [f"s{k}" for k in range(SKETCH)]
+    reps = sketched.groupBy("key", *bits).agg(F.min(F.struct("doc", "at")).alias("_first"))
+    reps = reps.select(F.col("key").alias("_key"), *[F.col(b).alias(f"_{b}") for b in bits], F.col("_first.doc").alias("rep"), F.col("_first.at").alias("rep_at"))
+    shared = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"_{b}"))) for b in bits), F.lit(0))
+    alike = shared >= int(ALIKE * (min_words - SHINGLE + 1))
+    near = _open(sketched.filter("open"), spans).join(
+        reps.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("rep") < F.col("doc")) & alike
+    )
+    if best:
+        near = near.groupBy("doc", "at").agg(F.max_by(F.struct("rep", "rep_at"), F.struct(shared, -F.col("rep"))).alias("_b"))
+        near = near.select("doc", "_b.*")
+    reach = lambda bits: F.shiftright("rep_at", bits).bitwiseAND(255) + SLACK
+    middle = F.shiftright("rep_at", 20)
+    before = F.least(reach(8), middle)
+    return near.select("doc", "rep", _covered(middle, before, reach(0)).alias("block")).distinct()
 
 
 def _covered(place, before, behind) -> F.Column:
@@ -266,7 +434,7 @@ def exact_links(found: DataFrame, light: DataFrame, min_words: int) -> DataFrame
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for i, (doc, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                tokens = _shingles(hash_words(words_of(texts[i].as_py())))
+                tokens = _shingles(hash_text(texts[i].as_py()))
                 at = np.array(packed, dtype=np.int64)
                 c = at >> 20
                 # a row whose document key is shared may belong to another text
@@ -360,7 +528,7 @@ def _blocks_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             reps, numbers, pieces = [], [], []
             texts = batch.column(1).cast(pa.binary())
             for i, (doc, blocks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                words = hash_words(words_of(texts[i].as_py())).astype("<u4")
+                words = hash_text(texts[i].as_py()).astype("<u4")
                 for b in blocks:
                     piece = words[b * BLOCK : (b + 1) * BLOCK + SHINGLE - 1].tobytes()
                     if piece:
@@ -448,11 +616,8 @@ def verify(words: np.ndarray, evidence: list[tuple[int, int, bytes]], min_words:
     return found
 
 
-def _evidence(light: DataFrame, min_words: int, hashes: int, enough: int) -> DataFrame:
-    """doc, reps, blocks, words: what each document has to be compared with, as parallel arrays."""
-    found = _written(windows(light, min_words, hashes))
-    agreed = _written(candidates(links(found), enough, min_words)).select("doc", "rep", F.explode("blocks").alias("block"))
-    pairs = _written(agreed.union(exact_links(found, light, min_words)).distinct())
+def _verified(pairs: DataFrame, light: DataFrame, min_words: int) -> DataFrame:
+    """doc, mark, source, start, end: the passages of each row of ``light`` that the linked blocks bear out."""
     wanted = (
         pairs.select(F.col("rep").alias("doc"), "block")
         .distinct()
@@ -460,7 +625,39 @@ def _evidence(light: DataFrame, min_words: int, hashes: int, enough: int) -> Dat
         .agg(F.collect_list("block").alias("blocks"))  # at most one per BLOCK words of the document
     )
     held = pairs.join(_blocks_of(light, wanted), ["rep", "block"])
-    return held.groupBy("doc").agg(F.collect_list(F.struct("rep", "block", "words")).alias("e"))
+    evidence = held.groupBy("doc").agg(F.collect_list(F.struct("rep", "block", "words")).alias("e"))
+    joined = light.hint("merge").join(evidence, "doc").select("doc", "text", "mark", "e")
+
+    def run(batches):
+        for batch in batches:
+            found = _found_in(batch.column(3), batch.column(1).cast(pa.binary()), min_words)
+            rows = [(d, m, *span) for d, m, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), found) for span in spans]
+            columns = list(zip(*rows)) or [[], [], [], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "mark", "source", "start", "end"]
+            )
+
+    return joined.mapInArrow(run, "doc long, mark long, source long, start int, end int")
+
+
+def _passages(light: DataFrame, min_words: int, hashes: int, enough: int) -> DataFrame:
+    """doc, mark, source, start, end: the repeated passages of each row of ``light`` (doc, mark, text)."""
+    found = _written(windows(light, min_words, hashes))
+    groups = first_windows(found)
+    agreed = _written(candidates(links(found, groups), enough, min_words)).select("doc", "rep", F.explode("blocks").alias("block"))
+    pairs = _written(agreed.union(exact_links(found, light, min_words)).distinct())
+    spans = _written(_verified(pairs, light, min_words))
+    crowded = sketches(found, light, groups, spans, min_words)
+    if crowded is None:
+        return spans
+    sketched, texts = crowded
+    for best in (True, False):
+        pairs = _written(later_links(sketched, spans, min_words, best))
+        if not pairs.isEmpty():
+            fresh = _written(_verified(pairs, texts, min_words))
+            spans = spans.union(fresh.join(spans, fresh.columns, "left_anti"))
+    return spans
 
 
 def _found_in(column: pa.Array, texts: pa.Array, min_words: int) -> list[list[tuple[int, int, int]]]:
@@ -474,7 +671,7 @@ def _found_in(column: pa.Array, texts: pa.Array, min_words: int) -> list[list[tu
     for i in range(len(column)):
         n = int(sizes[i]) if valid[i] else 0
         if n:
-            own = hash_words(words_of(texts[i].as_py())).astype(np.uint32)
+            own = hash_text(texts[i].as_py()).astype(np.uint32)
             given = zip(reps[at : at + n].tolist(), blocks[at : at + n].tolist(), words.slice(at, n).to_pylist())
             out.append(verify(own, list(given), min_words))
         else:
@@ -498,23 +695,11 @@ def repeated_passages(
     Null ids are told apart by their texts, come last, and are given as null. Null, empty and short texts
     have no repeats; an empty table gives none.
     """
-    light = docs.select(_doc_key(docs, id_col, text_col).alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    evidence = _evidence(light, min_words, hashes, enough)
-    joined = light.hint("merge").join(evidence, "doc").select("doc", "text", "e")
-
-    def run(batches):
-        for batch in batches:
-            found = _found_in(batch.column(2), batch.column(1).cast(pa.binary()), min_words)
-            docs_ = batch.column(0).to_pylist()
-            rows = [(d, *span) for d, spans in zip(docs_, found) for span in spans]
-            columns = list(zip(*rows)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc", "source", "start", "end"]
-            )
-
+    text = F.col(f"`{text_col}`")
+    light = docs.select(_doc_key(docs, id_col, text_col).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    found = _passages(light, min_words, hashes, enough)
     given = lambda c: F.when(F.col(c) < F.lit(1 << 62), F.col(c))
-    return joined.mapInArrow(run, "doc long, source long, start int, end int").select(
+    return found.select(
         given("doc").alias("doc_id"), given("source").alias("source_id"), "start", "end"
     )
 
@@ -533,10 +718,12 @@ def remove_repeats(
     are as for ``repeated_passages``. Names that start with an underscore are taken for the working columns.
     """
     names = docs.columns
-    keyed = docs.withColumn("_doc", _doc_key(docs, id_col, text_col))
-    light = keyed.select(F.col("_doc").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    evidence = _evidence(light, min_words, hashes, enough).select(F.col("doc").alias("_doc"), F.col("e").alias("_evidence"))
-    joined = keyed.hint("merge").join(evidence, "_doc", "left").select(*[F.col(f"`{c}`") for c in names], "_evidence")
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumn("_doc", _doc_key(docs, id_col, text_col)).withColumn("_mark", F.xxhash64(text))
+    found = _passages(keyed.select(F.col("_doc").alias("doc"), F.col("_mark").alias("mark"), text.alias("text")), min_words, hashes, enough)
+    # those of one text, once
+    spans = found.groupBy(F.col("doc").alias("_doc"), F.col("mark").alias("_mark")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    joined = keyed.hint("merge").join(spans, ["_doc", "_mark"], "left").select(*[F.col(f"`{c}`") for c in names], "_spans")
     text_at = names.index(text_col)
     schema = T.StructType([*docs.schema, T.StructField("_emptied", T.BooleanType())])
 
@@ -544,9 +731,9 @@ def remove_repeats(
         for batch in batches:
             texts = batch.column(text_at).cast(pa.binary())
             cut, emptied = [], []
-            for i, spans in enumerate(_found_in(batch.column(len(names)), texts, min_words)):
+            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
                 was = texts[i].as_py()
-                left = _cut(was, sorted((a, b) for _, a, b in spans))
+                left = _cut(was, sorted((x["start"], x["end"]) for x in spans or ()))
                 cut.append(left)
                 emptied.append(bool(spans) and not left)
             arrays = [batch.column(i) for i in range(len(names))]

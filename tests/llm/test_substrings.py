@@ -186,3 +186,48 @@ def test_partial_sharers_do_not_capture_copies(spark):
         assert sum(want[d] == copies[d] for d in copies) == 15
         for d, hit in want.items():
             assert hit <= got.get(d, set()), d
+
+
+def edited_behind(seed, sharers):
+    """Passages of 160 words, their copies with a word in 40 changed, and documents before them that share 25 words each."""
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(4000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passages = [say(160) for _ in range(10)]
+    docs = []
+    for passage in passages:
+        docs += [say(20) + passage[a : a + 25] + say(30) for a in range(0, 136, 5) for _ in range(sharers)]
+    docs += [say(30) + p + say(30) for p in passages]
+    originals = len(docs)
+    for passage in passages:
+        copy = list(passage)
+        for k in range(20, 160, 40):
+            copy[k] = f"other{rng.random()}"
+        docs.append(say(40) + copy + say(10))
+    return [(d, " ".join(w)) for d, w in enumerate(docs)], originals
+
+
+def test_partial_sharers_do_not_capture_edited_copies(spark):
+    for seed, sharers in ((5, 1), (6, 3)):
+        docs, originals = edited_behind(seed, sharers)
+        rows = spark.createDataFrame(docs, "doc_id long, text string")
+        got = {}
+        for r in substrings.repeated_passages(rows).collect():
+            assert r.source_id == r.doc_id - 10 and r.doc_id >= originals
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        assert set(got) == set(range(originals, originals + 10))
+        assert all(len(hit & set(range(40, 200))) > 100 and len(hit - set(range(40, 200))) == 0 for hit in got.values())
+
+
+def test_word_hashes():
+    texts = [b"Hello  World\tfoo", None, b"", b" \n ", b"hello world foo", b"a\x0bb\x0cc\x1cd \xc3\x89t\xc3\xa9", b"zz " * 9 + b"y" * 40]
+    whole = substrings.hash_texts(texts)
+    assert [len(h) for h in whole] == [len((t or b"").split()) for t in texts] and whole[0].tolist() == whole[4].tolist()
+    assert len(set(substrings.hash_text(" ".join(f"w{i}" for i in range(50_000)).encode()).tolist())) == 50_000
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    texts = [b"one two three four", None, b"five " * 20 + b"sixsixsixsixsix seven", b" x "]
+    whole = [h.tolist() for h in substrings.hash_texts(texts)]
+    monkeypatch.setattr(substrings, "_PIECE", 7)
+    assert [h.tolist() for h in substrings.hash_texts(texts)] == whole
