@@ -30,6 +30,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,14 +64,50 @@ _SPACE_BYTE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 _IS_WORD = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", dtype=np.uint8), invert=True)
 
 
+# constants of XXH64
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def _xxh64(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH64 of many short stretches of bytes at once; those of 32 bytes or more go to the library."""
+    size = end - start
+    h = _P5 + size.astype(np.uint64)
+    at, left = start.copy(), np.where(size < 32, size, 0)
+    while len(some := np.flatnonzero(left >= 8)):
+        lane = flat[at[some, None] + np.arange(8)].view("<u8")[:, 0]
+        h[some] = _turned(h[some] ^ _turned(lane * _P2, 31) * _P1, 27) * _P1 + _P4
+        at[some] += 8
+        left[some] -= 8
+    some = np.flatnonzero(left >= 4)
+    lane = flat[at[some, None] + np.arange(4)].view("<u4")[:, 0].astype(np.uint64)
+    h[some] = _turned(h[some] ^ lane * _P1, 23) * _P2 + _P3
+    at[some] += 4
+    left[some] -= 4
+    while len(some := np.flatnonzero(left > 0)):
+        h[some] = _turned(h[some] ^ flat[at[some]].astype(np.uint64) * _P5, 11) * _P1
+        at[some] += 1
+        left[some] -= 1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(flat[start[i] : end[i]].tobytes())
+    return h
+
+
 def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, 64-bit hash) of the words of bytes that begin and end with a space, from running sums over the bytes."""
+    """(start, 64-bit hash) of the words of bytes that begin and end with a space."""
     flat = np.frombuffer(data, dtype=np.uint8)
     word = _IS_WORD[flat]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     start, end = edge[::2], edge[1::2]
-    runs = RunHashes(flat)
-    return start, runs.of(start, end).view(np.uint64)
+    return start, _xxh64(flat, start, end)
 
 
 def hash_texts(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -161,19 +198,10 @@ def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
     return l[wide], place[wide], r[wide]
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
-
 def _powers(base: int, n: int) -> np.ndarray:
-    """The first ``n`` powers; the worker keeps as many as a piece of text needs."""
-    kept = _POWERS.get(base)
-    if kept is None or len(kept) < n:
-        out = np.full(max(n, 1 << 16), base, dtype=np.uint64)
-        out[:1] = 1
-        kept = np.multiply.accumulate(out, dtype=np.uint64)
-        if n <= 2 * _PIECE:
-            _POWERS[base] = kept
-    return kept[:n]
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
 
 
 class RunHashes:
