@@ -15,8 +15,9 @@ hashes. Only windows that hold a passage of ``MIN_WORDS`` words are made, about
   linked to their first document. The first documents of a min-hash with several fingerprints are compared by
   every run of ``MIN_WORDS`` words around the minimum, and linked to the first document that has the run.
 * A group of three or more documents may have several passages around one minimum. Its windows that no verified
-  passage covers meet the group's other windows by sketches of what stands around their minima: first each the most alike of
-  the earlier ones, then, where that was not verified, all that are alike. No function else has to agree.
+  passage covers are grouped again, by their content and by ``MARKS`` smallest hashes of each side, and linked to the first document
+  of each such smaller group whose sketch is alike: first to the most alike, then, where that was not verified, to all. A
+  window has at most one link per smaller group, however large that is. No function else has to agree.
 * What agrees is verified on the words: the passage is grown over shared shingles, and must reach
   ``MIN_WORDS`` words and a Jaccard similarity of ``SIMILARITY`` with the passage of the representative.
 
@@ -51,6 +52,10 @@ BLOCK = 64
 #: of the least similarity shares 0.89 of its tokens; the rest is for edits that crowd around the minimum and bits that coincide.
 SKETCH = 8
 ALIKE = 0.65
+#: Hash functions for each side of a minimum that group its windows again.
+MARKS = 8
+#: Windows sketched at once.
+_SLICE = 4096
 _CHUNK_WORDS = 500_000
 #: Bytes of text hashed at once.
 _PIECE = 1 << 21
@@ -317,12 +322,20 @@ def first_windows(found: DataFrame) -> DataFrame:
     )
 
 
-def links(found: DataFrame, groups: DataFrame) -> DataFrame:
+def grouped_windows(found: DataFrame, groups: DataFrame) -> DataFrame:
+    """key, doc, at, sides, rep, rep_at, n: the windows with the first document of their function and min-hash.
+
+    Written, as both ``links`` and ``sketches`` read it.
+    """
+    return _written(found.join(groups, "key").select("key", "doc", "at", "sides", "rep", "rep_at", "n"))
+
+
+def links(grouped: DataFrame) -> DataFrame:
     """doc, rep, at, rep_at: each window linked to the first document with the same function and min-hash.
 
     ``later_links`` links what is not verified by these.
     """
-    return found.join(groups.drop("n"), "key").filter("doc != rep").select("doc", "rep", "at", "rep_at")
+    return grouped.filter("doc != rep").select("doc", "rep", "at", "rep_at")
 
 
 def _open(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -333,15 +346,15 @@ def _open(rows: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.join(own, covered, "left_anti")
 
 
-def sketches(found: DataFrame, light: DataFrame, groups: DataFrame, spans: DataFrame, min_words: int):
+def sketches(grouped: DataFrame, light: DataFrame, spans: DataFrame, min_words: int):
     """Windows of the min-hashes that have open ones, and the texts of their documents; None where none is open.
 
-    key, doc, at, open, s0, s1, ...: the sketch is a set of bits, one for each token a passage around the minimum can have. A group
-    of two windows has no other representative to try, nor has its first document.
+    doc, at, open, same, marks, s0, s1, ...: the sketch is a set of bits, one for each token a passage around the minimum can have. ``same``
+    is a hash of these tokens, and each of ``marks`` one of the min-hash and the smallest hash of a function on a side; sides too short for
+    half a passage have none. A group of two windows has no other representative to try, nor has its first document.
     """
     t = min_words - SHINGLE + 1
-    crowded = found.join(groups.filter("n > 2").select("key", "rep"), "key").select("key", "doc", "at", "sides", (F.col("doc") != F.col("rep")).alias("later"))
-    crowded = _written(crowded)
+    crowded = grouped.filter("n > 2").select("key", "doc", "at", "sides", (F.col("doc") != F.col("rep")).alias("later"))
     left = _written(_open(crowded.filter("later").select("key", "doc", "at").distinct(), spans).withColumn("open", F.lit(True)))
     if left.isEmpty():
         return None
@@ -370,52 +383,91 @@ def sketches(found: DataFrame, light: DataFrame, groups: DataFrame, spans: DataF
     few = broadcast_checked(places.select("doc"))
     texts = _written(light.join(few, "doc", "left_semi"))
 
+    names = ["doc", "at", "open", "same", "marks", *(f"s{k}" for k in range(SKETCH))]
+    kinds = "doc long, at long, open boolean, same long, marks array<long>, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+
     def run(batches):
         for batch in batches:
             column = batch.column(1).cast(pa.binary())
             for i, (doc, places) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
                 tokens = _shingles(hash_text(column[i].as_py()))
-                bit = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(64 * SKETCH)
                 keys, at, opened = (places.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "at", "open"))
                 kept = (at >> 20) < len(tokens)
                 keys, at, opened = keys[kept], at[kept], opened[kept]
-                c = at >> 20
-                low = np.maximum(c - np.minimum((at >> 8) & 255, t - 1), 0)
-                high = np.minimum(c + np.minimum(at & 255, t - 1) + 1, len(tokens))
-                flags = np.zeros((len(c), 64 * SKETCH), dtype=bool)
-                for row, (a, b) in enumerate(zip(low.tolist(), high.tolist())):
-                    flags[row, bit[a:b]] = True
-                bits = np.packbits(flags, axis=1).view(np.int64)
-                arrays = [keys, np.full(len(c), doc), at, opened, *(np.ascontiguousarray(bits[:, k]) for k in range(SKETCH))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=names)
-
-    names = ["key", "doc", "at", "open", *(f"s{k}" for k in range(SKETCH))]
-    kinds = "key long, doc long, at long, open boolean, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+                if not len(at):
+                    continue
+                runs = RunHashes(tokens)
+                for a in range(0, len(at), _SLICE):
+                    part = slice(a, a + _SLICE)
+                    same, marks, bits = _sketch(tokens, runs, keys[part], at[part], t)
+                    arrays = [np.full(len(same), doc), at[part], opened[part], same, marks, *(np.ascontiguousarray(bits[:, k]) for k in range(SKETCH))]
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=names)
+
     rows = texts.hint("merge").join(places, "doc").select("doc", "text", "places")
     return _written(rows.mapInArrow(run, kinds)), texts
 
 
-def later_links(sketched: DataFrame, spans: DataFrame, min_words: int, best: bool) -> DataFrame:
-    """doc, rep, block: the open windows with earlier ones of the same min-hash whose surroundings are alike.
-
-    With ``best`` each with the one most alike only, else with all. Of windows with equal sketches the first
-    document stands for the others. The pairs of a min-hash are met in a join and never held; only those alike are kept.
+def _sketch(tokens: np.ndarray, runs: RunHashes, keys: np.ndarray, at: np.ndarray, t: int):
+    """(same, marks, bits) of windows of a text, as ``sketches`` has them."""
+    c = at >> 20
+    low = np.maximum(c - np.minimum((at >> 8) & 255, t - 1), 0)
+    high = np.minimum(c + np.minimum(at & 255, t - 1) + 1, len(tokens))
+    width = high - low
+    row = np.repeat(np.arange(len(c)), width)
+    token = np.arange(len(row)) + np.repeat(low - np.append(0, np.cumsum(width)[:-1]), width)
+    bit = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(64 * SKETCH)
+    flags = np.zeros((len(c), 64 * SKETCH), dtype=bool)
+    flags[row, bit[token]] = True
+    group = keys.view(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    same = (runs.of(low, high).view(np.uint64) ^ group).view(np.int64)
+    marks, has = [], []
+    for start, end in ((low, c), (c + 1, high)):
+        # an entry behind the last token, so that a side may begin there
+        bounds = np.stack([start, np.maximum(end, start)], axis=1).ravel()
+        for f in range(MARKS):
+            h = (tokens ^ np.uint64(_SEEDS[-1 - f])) * np.uint64(0xFF51AFD7ED558CCD)
+            h = np.append(h ^ (h >> np.uint64(32)), np.uint64(0))
+            smallest = np.minimum.reduceat(h, bounds)[::2]
+            mark = (smallest + np.uint64(len(marks))) * np.uint64(0xC4CEB9FE1A85EC53)
+            marks.append(((mark ^ (mark >> np.uint64(29))) + group).view(np.int64))
+            has.append(end - start >= t // 2)
+    has = np.stack(has, axis=1)
+    ends = np.append(0, np.cumsum(has.sum(axis=1))).astype(np.int32)
+    listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.stack(marks, axis=1)[has]))
+    return same, listed, np.packbits(flags, axis=1).view(np.int64)
+
+
+def later_links(sketched: DataFrame, min_words: int) -> DataFrame:
+    """doc, at, rep, rep_at, shared: the open windows with earlier ones whose surroundings are alike, and the bits they share.
+
+    Windows that hold the same are one class, for which the first document stands. Classes meet in groups by their marks, where the
+    first document stands for the others again: a window has no more links than marks, and no group is held.
     """
     bits = [f"s{k}" for k in range(SKETCH)]
-    reps = sketched.groupBy("key", *bits).agg(F.min(F.struct("doc", "at")).alias("_first"))
-    reps = reps.select(F.col("key").alias("_key"), *[F.col(b).alias(f"_{b}") for b in bits], F.col("_first.doc").alias("rep"), F.col("_first.at").alias("rep_at"))
+    classes = _written(sketched.groupBy("same").agg(F.min(F.struct("doc", "at", "marks", *bits)).alias("first")).select("same", "first.*"))
+    every = F.explode(F.concat(F.array("same"), "marks")).alias("mark")
+    firsts = classes.select("doc", "at", every).groupBy("mark").agg(F.min(F.struct("doc", "at")).alias("first"))
+    firsts = firsts.select("mark", F.col("first.doc").alias("rep"), F.col("first.at").alias("rep_at"))
+    opened = sketched.filter("open")
+    met = opened.select("doc", "at", every).join(firsts, "mark").filter("rep < doc").select("doc", "at", "rep", "rep_at").distinct()
+    theirs = classes.select(F.col("doc").alias("rep"), F.col("at").alias("rep_at"), *[F.col(b).alias(f"_{b}") for b in bits])
     shared = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"_{b}"))) for b in bits), F.lit(0))
-    alike = shared >= int(ALIKE * (min_words - SHINGLE + 1))
-    near = _open(sketched.filter("open"), spans).join(
-        reps.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("rep") < F.col("doc")) & alike
-    )
-    if best:
-        near = near.groupBy("doc", "at").agg(F.max_by(F.struct("rep", "rep_at"), F.struct(shared, -F.col("rep"))).alias("_b"))
-        near = near.select("doc", "_b.*")
+    scored = met.join(opened.select("doc", "at", *bits), ["doc", "at"]).join(theirs, ["rep", "rep_at"]).withColumn("shared", shared)
+    return _written(scored.filter(F.col("shared") >= int(ALIKE * (min_words - SHINGLE + 1))).select("doc", "at", "rep", "rep_at", "shared"))
+
+
+def most_alike(linked: DataFrame) -> DataFrame:
+    """Of the links of each window the one with the most bits, ties to the first document."""
+    best = F.max_by(F.struct("rep", "rep_at"), F.struct("shared", -F.col("rep"), -F.col("rep_at")))
+    return linked.groupBy("doc", "at").agg(best.alias("_b")).select("doc", "at", "_b.*")
+
+
+def blocks_to_compare(linked: DataFrame) -> DataFrame:
+    """doc, rep, block: the blocks of the representative around the minimum of each link."""
     reach = lambda bits: F.shiftright("rep_at", bits).bitwiseAND(255) + SLACK
     middle = F.shiftright("rep_at", 20)
     before = F.least(reach(8), middle)
-    return near.select("doc", "rep", _covered(middle, before, reach(0)).alias("block")).distinct()
+    return linked.select("doc", "rep", _covered(middle, before, reach(0)).alias("block")).distinct()
 
 
 def _covered(place, before, behind) -> F.Column:
@@ -672,16 +724,17 @@ def _verified(pairs: DataFrame, light: DataFrame, min_words: int) -> DataFrame:
 def _passages(light: DataFrame, min_words: int, hashes: int, enough: int) -> DataFrame:
     """doc, mark, source, start, end: the repeated passages of each row of ``light`` (doc, mark, text)."""
     found = _written(windows(light, min_words, hashes))
-    groups = first_windows(found)
-    agreed = _written(candidates(links(found, groups), enough, min_words)).select("doc", "rep", F.explode("blocks").alias("block"))
+    grouped = grouped_windows(found, first_windows(found))
+    agreed = _written(candidates(links(grouped), enough, min_words)).select("doc", "rep", F.explode("blocks").alias("block"))
     pairs = _written(agreed.union(exact_links(found, light, min_words)).distinct())
     spans = _written(_verified(pairs, light, min_words))
-    crowded = sketches(found, light, groups, spans, min_words)
+    crowded = sketches(grouped, light, spans, min_words)
     if crowded is None:
         return spans
     sketched, texts = crowded
+    later = later_links(sketched, min_words)
     for best in (True, False):
-        pairs = _written(later_links(sketched, spans, min_words, best))
+        pairs = _written(blocks_to_compare(most_alike(later) if best else _open(later, spans)))
         if not pairs.isEmpty():
             fresh = _written(_verified(pairs, texts, min_words))
             spans = spans.union(fresh.join(spans, fresh.columns, "left_anti"))

@@ -233,3 +233,25 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     whole = [h.tolist() for h in substrings.hash_texts(texts)]
     monkeypatch.setattr(substrings, "_PIECE", 7)
     assert [h.tolist() for h in substrings.hash_texts(texts)] == whole
+
+
+def test_links_of_a_crowded_group_grow_with_its_windows(spark):
+    """Every window of a group is open and alike to all others: links per window, not pairs of windows."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(4000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    line = say(40)
+    made = {}
+    for n in (40, 160):
+        docs = [(d, " ".join(say(40) + line + say(40))) for d in range(n)]
+        frame = spark.createDataFrame([(d, d, t) for d, t in docs], "doc long, mark long, text string")
+        found = substrings.windows(frame, substrings.MIN_WORDS, substrings.HASHES)
+        grouped = substrings.grouped_windows(found, substrings.first_windows(found))
+        none = spark.createDataFrame([], "doc long, mark long, source long, start int, end int")
+        sketched, _ = substrings.sketches(grouped, frame, none, substrings.MIN_WORDS)
+        opened = sketched.filter("open").count()
+        later = substrings.later_links(sketched, substrings.MIN_WORDS)
+        made[n] = later.count()
+        assert opened >= n - 1 and 0 < made[n] <= (2 * substrings.MARKS + 1) * opened
+        assert substrings.most_alike(later).count() <= opened
+    assert made[160] < 6 * made[40]
