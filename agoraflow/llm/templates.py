@@ -193,26 +193,55 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     return pick(pages, page_id=id_col, url=url_col, html=html_col)
 
 
-def occurrence_classes(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def page_tokens(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, weight, tokens, is_word: the tokens of each page in order, and the hash of the page that weighs its counts.
+
+    Written, so that classes are counted and their order is checked from one parsing of the pages.
+    """
+
+    def run(batches):
+        for batch in batches:
+            weights, tokens, words = [], [], []
+            for page in batch.column(1).to_pylist():
+                found = tokens_of(page)
+                weights.append(xxhash.xxh64_intdigest(page) >> 24)
+                tokens.append(np.array([t for t, _ in found], dtype=np.int64))
+                words.append(np.array([w for _, w in found], dtype=bool))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, k) for c, k in zip((weights, tokens, words), kinds))],
+                names=["host", "weight", "tokens", "is_word"],
+            )
+
+    return materialize(
+        _rows(pages, id_col, url_col, html_col)
+        .select(_host_column("url").alias("host"), "html")
+        .filter("host is not null and html is not null")
+        .mapInArrow(run, "host string, weight long, tokens array<long>, is_word array<boolean>")
+    )
+
+
+def occurrence_classes(parsed: DataFrame) -> DataFrame:
     """host, token, vector, is_word: the tokens of each host that stand on ``SUPPORT`` of its pages or more.
 
-    ``vector`` is the fingerprint of the occurrence vector; tokens of a host that share it are a class. Only
-    counts and fingerprints are shuffled, combined before: a host with a third of all pages is as cheap as its tokens.
+    ``parsed`` comes from ``page_tokens``. ``vector`` is the fingerprint of the occurrence vector; tokens of a host that share it are a
+    class. Only counts and fingerprints are shuffled, combined before: a host with a third of all pages is as cheap as its tokens.
     """
 
     def run(batches):
         for batch in batches:
             hosts, tokens, parts, words = [], [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = tokens_of(page)
-                weight = np.uint64(xxhash.xxh64_intdigest(page) >> 24)
-                value, times = np.unique(np.array([t for t, _ in found], dtype=np.int64), return_counts=True)
-                is_word = dict(found)
+            given = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3))
+            for host, weight, found, kinds in given:
+                weight = np.uint64(weight)
+                found = found.values.to_numpy()
+                value, last, times = np.unique(found[::-1], return_index=True, return_counts=True)
+                is_word = kinds.values.to_numpy(zero_copy_only=False)[::-1][last]
                 # token 0 stands for the page itself
                 hosts += [host] * (len(value) + 1)
                 tokens += [0, *value.tolist()]
                 parts += [int(weight), *(times.astype(np.uint64) * weight).astype(np.int64).tolist()]
-                words += [False, *(is_word[t] for t in value.tolist())]
+                words += [False, *is_word.tolist()]
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip((hosts, tokens, parts, words), kinds)],
@@ -220,10 +249,7 @@ def occurrence_classes(pages: DataFrame, id_col: str = "page_id", url_col: str =
             )
 
     counted = (
-        _rows(pages, id_col, url_col, html_col)
-        .select(_host_column("url").alias("host"), "html")
-        .filter("host is not null and html is not null")
-        .mapInArrow(run, "host string, token long, part long, is_word boolean")
+        parsed.mapInArrow(run, "host string, token long, part long, is_word boolean")
         .groupBy("host", "token")
         .agg(
             F.sum(F.col("part").cast("decimal(20, 0)")).alias("vector"),
@@ -248,18 +274,18 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     order; a page gives that order as a hash, and all pages have to agree. The tags around a token are part
     of it, so valid classes nest as the tags do.
     """
-    found = materialize(occurrence_classes(pages, id_col, url_col, html_col))
+    parsed = page_tokens(pages, id_col, url_col, html_col)
+    found = materialize(occurrence_classes(parsed))
     # at most as many tokens as a page of the host has
     by_host = found.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("vectors"))
-    rows = _rows(pages, id_col, url_col, html_col).select(_host_column("url").alias("host"), "html").filter("html is not null")
 
     def orders(batches):
         for batch in batches:
             hosts, vectors, signs = [], [], []
-            for host, page, tokens, classes in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for host, placed, tokens, classes in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 class_of = dict(zip(tokens, classes))
                 sequences: dict[int, list[int]] = {}
-                for token, _ in tokens_of(page):
+                for token in placed:
                     if token in class_of:
                         sequences.setdefault(class_of[token], []).append(token)
                 for vector, seen in sequences.items():
@@ -274,8 +300,9 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             )
 
     valid = (
-        rows.join(by_host, "host")
-        .select("host", "html", "tokens", "vectors")
+        parsed.select("host", F.col("tokens").alias("placed"))
+        .join(by_host, "host")
+        .select("host", "placed", "tokens", "vectors")
         .mapInArrow(orders, "host string, vector long, sign long")
         .groupBy("host", "vector")
         .agg(F.min("sign").alias("low"), F.max("sign").alias("high"))

@@ -78,3 +78,16 @@ def test_odd_rows(spark):
     want = [(1, "a", 1), (2, "", 0), (3, "", 0), (4, "a\nb", 3), (4, "a\nb", 3), (None, "deep", 4), (5, ("word " * 4), 249_999)]
     assert texts == sorted(want, key=str)
     assert templates.extract(frame.limit(0)).count() == 0
+
+
+def test_classes_come_from_one_parsing(spark):
+    """Counts and order of tokens are read from what is written of the pages, not from the pages again."""
+    pages = [(i, "http://h/", f"<body><div>Same words</div><div>w{i}</div>{'<b>x</b>' * (i % 3)}</body>") for i in range(9)]
+    frame = spark.createDataFrame([*pages, (9, None, "<p>"), (10, "http://h/", None)], "page_id long, url string, html string")
+    parsed = templates.page_tokens(frame)
+    rows = parsed.collect()
+    assert sorted(list(zip(r.tokens, r.is_word)) for r in rows) == sorted(templates.tokens_of(p) for _, _, p in pages)
+    found = {r.token: r.is_word for r in templates.occurrence_classes(parsed).collect()}
+    everywhere = set.intersection(*(set(templates.tokens_of(p)) for _, _, p in pages))
+    assert found == dict(everywhere)
+    assert "html" not in templates.occurrence_classes(parsed)._jdf.queryExecution().toString()
