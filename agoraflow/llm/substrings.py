@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agoraflow.functions.scale import broadcast_checked, materialize
+from agoraflow.functions.scale import broadcast_checked, materialize, release
 from agoraflow.llm.common import LOWER, sorted_runs
 
 SHINGLE = 5
@@ -542,7 +542,9 @@ def exact_links(found: DataFrame, light: DataFrame, min_words: int) -> DataFrame
         .filter("doc != rep")
         .select("doc", "rep", _covered(F.col("rep_place"), F.lit(0), F.lit(t - 1)).alias("block"))
     )
-    return same.union(alike)
+    linked = _written(same.union(alike))
+    release(held, same, mixed, places, runs, firsts)
+    return linked
 
 
 def candidates(linked: DataFrame, enough: int, min_words: int) -> DataFrame:
@@ -724,15 +726,21 @@ def _verified(pairs: DataFrame, light: DataFrame, min_words: int) -> DataFrame:
 def _passages(light: DataFrame, min_words: int, hashes: int, enough: int) -> DataFrame:
     """doc, mark, source, start, end: the repeated passages of each row of ``light`` (doc, mark, text)."""
     found = _written(windows(light, min_words, hashes))
-    grouped = grouped_windows(found, first_windows(found))
+    exact = exact_links(found, light, min_words)
+    groups = first_windows(found)
+    grouped = grouped_windows(found, groups)
+    release(found, groups)
     agreed = _written(candidates(links(grouped), enough, min_words)).select("doc", "rep", F.explode("blocks").alias("block"))
-    pairs = _written(agreed.union(exact_links(found, light, min_words)).distinct())
+    pairs = _written(agreed.union(exact).distinct())
+    release(exact)
     spans = _written(_verified(pairs, light, min_words))
     crowded = sketches(grouped, light, spans, min_words)
+    release(grouped)
     if crowded is None:
         return spans
     sketched, texts = crowded
     later = later_links(sketched, min_words)
+    release(sketched)
     for best in (True, False):
         pairs = _written(blocks_to_compare(most_alike(later) if best else _open(later, spans)))
         if not pairs.isEmpty():

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from agoraflow.functions import scale
 from agoraflow.llm import substrings
 from agoraflow.llm.common import table
 from agoraflow.llm.queries import QUERIES
@@ -255,3 +256,9 @@ def test_links_of_a_crowded_group_grow_with_its_windows(spark):
         assert opened >= n - 1 and 0 < made[n] <= (2 * substrings.MARKS + 1) * opened
         assert substrings.most_alike(later).count() <= opened
     assert made[160] < 6 * made[40]
+
+
+def test_released_tables_are_empty(spark):
+    kept, gone = (scale.materialize(spark.range(1000)) for _ in range(2))
+    scale.release(gone)
+    assert spark.read.parquet(gone.inputFiles()[0].rpartition("/")[0]).isEmpty() and kept.count() == 1000
