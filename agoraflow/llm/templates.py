@@ -8,18 +8,24 @@ over the pages of the host. Tokens with the same vector form an equivalence clas
    pages of count times a hash of the page, is one mergeable number: no host is gathered.
 2. Tokens with the same fingerprint that stand on at least ``SUPPORT`` of the host's pages are a class. A class
    is valid when its tokens come in the same order, with nothing of it interleaved, on every page.
-3. Valid classes nest into the template: what lies between two of their tokens is a slot. A slot has
-   the role of the template tags around it; slots of menus, headers, footers, sidebars, notices, adverts,
-   forms, scripts, styles and reader comments go, as do words of the template itself outside the article.
-   What is left is the text.
+3. Valid classes have to nest: one of which a round is open when a class around it goes on is no class. What lies between two
+   tokens of a nested class is a slot, named by the token before it. On every page the pieces of text fall into slots.
+4. A slot has the role of the template tags around it, the one it has on most pages of the host: article, outside (menus,
+   headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) or neither.
+5. The text of a page is what fills its slots of the article, or without any those that are not outside. Elements that a page
+   has inside a slot and that are not of the template, such as an advert amid the article, have their role by themselves.
+   Words of the template fill no slot and go, outside an article.
 
-A host with too few pages has no template to learn; its slots get their roles from the page's own tags.
+Each page is parsed once; its tokens, pieces and elements with a role are written, and all steps read those.
+
+A host with too few pages has no template to learn; its pages are one slot each, with roles from the page's own tags.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,25 +74,39 @@ CONTENT_NAMES = {"article", "content", "entry", "post", "story"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
-_SPACE = re.compile(r"\s+")
+
+
+#: Roles of an element for what stands in it, as bits: outside by tag, outside by name or as a header, article.
+BY_TAG, BY_NAME, INSIDE = 1, 2, 4
+
+
+@lru_cache(4096)
+def _shape(tag: str, token: str) -> tuple[str, int, bool]:
+    """Signature, role and whether it is a header, of an element by its start tag. Numbers in names tell pages apart and are no part of a signature."""
+    attributes = _attributes(token)
+    names = set(re.split(r"[\s_-]+", " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()))
+    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
+    article = tag in ARTICLE or bool(names & ARTICLE)
+    # names on the page or the article as a whole say what it has, not what it is
+    by_name = tag not in ("html", "body", "article", "main") and bool(names & OUTSIDE_NAMES)
+    header = tag == "header" or tag not in ("html", "body") and bool(names & HEADER_NAMES) and not names & CONTENT_NAMES
+    sign = tag + "." + " ".join(sorted(n for n in names if n and not n.isdigit())) + ("!" if hidden else "")
+    return sign, BY_TAG * (tag in OUTSIDE or hidden) | BY_NAME * by_name | INSIDE * article, header
 
 
 class Element:
-    """An open element: its number on the page, tag, signature and role."""
+    """An open element: its number on the page, tag, a hash of the signatures from the root down to it, role, and whether an article is around or it is one."""
 
-    __slots__ = ("number", "tag", "sign", "by_tag", "by_name", "header", "article")
+    __slots__ = ("number", "tag", "path", "role", "inside")
 
-    def __init__(self, number: int, tag: str, attributes: dict[str, str]):
-        names = set(re.split(r"[\s_-]+", " ".join(attributes.get(k, "") for k in ("class", "id", "role")).lower()))
+    def __init__(self, number: int, tag: str, token: str, parent: Element | None):
+        sign, role, header = _shape(tag, token)
         self.number = number
         self.tag = tag
-        self.sign = tag + "." + " ".join(sorted(filter(None, names)))
-        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
-        self.by_tag = tag in OUTSIDE or hidden
-        self.article = tag in ARTICLE or bool(names & ARTICLE)
-        # names on the page or the article as a whole say what it has, not what it is
-        self.by_name = tag not in ("html", "body", "article", "main") and bool(names & OUTSIDE_NAMES)
-        self.header = tag == "header" or tag not in ("html", "body") and bool(names & HEADER_NAMES) and not names & CONTENT_NAMES
+        self.path = xxhash.xxh64_intdigest(sign, parent.path if parent else 0)
+        around = parent is not None and parent.inside
+        self.role = role | BY_NAME if header and not around else role
+        self.inside = around or role & INSIDE > 0
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -128,14 +148,14 @@ def parse(page: str):
         if tag in VOID:
             yield "break", tag, stack
             continue
-        element = Element(number, tag, _attributes(token))
-        number += 1
         for closes in _closed_by(tag, stack):
             while stack and stack[-1] is not closes:
                 yield "close", stack[-1], stack
                 stack.pop()
             yield "close", stack[-1], stack
             stack.pop()
+        element = Element(number, tag, token, stack[-1] if stack else None)
+        number += 1
         stack.append(element)
         yield "open", element, stack
         if tag in RAW and not token.endswith("/>"):
@@ -170,61 +190,104 @@ def _closed_by(tag: str, stack: list[Element]) -> list[Element]:
     return []
 
 
-def tokens_of(page: str) -> list[tuple[int, bool]]:
-    """(hash, is word) of the tokens of a page; a token is told apart by the block tags around it."""
-    out = []
+def read(page: str | None):
+    """(tokens, is word) and (at, texts) and (opens, closes, roles) of a page, in order.
+
+    A token is a hash, told apart by the elements around it; words of an article are no tokens, they are its own on however
+    many pages they stand. ``at`` is how many tokens come before a piece of text, -1 for a space that any element may leave
+    and for the end of a block, whose text is None. An element with a role spans from its token in ``opens`` to that in ``closes``.
+    An element that its name puts outside counts as inside after all when an article stands in it.
+    """
+    tokens: list[int] = []
+    words: list[bool] = []
+    at: list[int] = []
+    texts: list[str | None] = []
+    spans: dict[int, list[int]] = {}
+    around_article: set[int] = set()
     digest = xxhash.xxh64_intdigest
-    for kind, value, stack in parse(page):
-        if kind == "close":
-            around = "/".join(e.tag for e in stack[:-1])
-            out.append((digest(f"{around}</{value.sign}>") >> 1, False))
-        elif kind == "open":
-            around = "/".join(e.tag for e in stack[:-1])
-            out.append((digest(f"{around}<{value.sign}>") >> 1, False))
-        elif kind == "text":
-            if any(e.article or e.tag in RAW for e in stack):
-                continue  # words of an article are its own, on however many pages they stand
-            around = "/".join(e.sign for e in stack)
-            out.extend((digest(f"{around} {w}") >> 1, True) for w in value.split())
-    return out
+    for kind, value, stack in parse(page or ""):
+        if kind == "text":
+            at.append(len(tokens))
+            texts.append(value)
+            if not (stack and stack[-1].inside):
+                path = stack[-1].path if stack else 0
+                found = [digest(w, path) >> 1 for w in value.split()]
+                tokens += found
+                words += [True] * len(found)
+            continue
+        if kind == "break":
+            tag = value
+        else:
+            tag = value.tag
+            if kind == "open":
+                if value.role:
+                    spans[value.number] = [len(tokens), len(tokens), value.role]
+                if value.role & INSIDE:
+                    around_article.update(e.number for e in stack[:-1])
+                tokens.append(value.path >> 1)
+            else:
+                if value.role:
+                    spans[value.number][1] = len(tokens)
+                tokens.append(digest("/", value.path) >> 1)
+            words.append(False)
+        if tag in BLOCKS:
+            if texts and texts[-1] is not None:
+                at.append(-1)
+                texts.append(None)
+        elif kind == "break":
+            at.append(-1)
+            texts.append(" ")
+    for number in around_article & spans.keys():
+        spans[number][2] &= ~BY_NAME
+    return (tokens, words), (at, texts), tuple(zip(*spans.values())) or ((), (), ())
+
+
+def tokens_of(page: str) -> list[tuple[int, bool]]:
+    """(hash, is word) of the tokens of a page; a token is told apart by the elements around it."""
+    return list(zip(*read(page)[0]))
 
 
 def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     return pick(pages, page_id=id_col, url=url_col, html=html_col)
 
 
-def page_tokens(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, weight, tokens, is_word: the tokens of each page in order, and the hash of the page that weighs its counts.
+def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, host, weight, and what ``read`` finds on each page. Written, so that no page is parsed twice.
 
-    Written, so that classes are counted and their order is checked from one parsing of the pages.
+    ``host`` is null without a page or a usable URL; the hash of the page, ``weight``, weighs its counts.
     """
 
     def run(batches):
+        kinds = [pa.list_(k) for k in (pa.int64(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())]
         for batch in batches:
-            weights, tokens, words = [], [], []
-            for page in batch.column(1).to_pylist():
-                found = tokens_of(page)
-                weights.append(xxhash.xxh64_intdigest(page) >> 24)
-                tokens.append(np.array([t for t, _ in found], dtype=np.int64))
-                words.append(np.array([w for _, w in found], dtype=bool))
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip((weights, tokens, words), kinds))],
-                names=["host", "weight", "tokens", "is_word"],
-            )
-
+            html_texts = batch.column(3).to_pylist()
+            found = [sum(read(page), ()) for page in html_texts]
+            weights = [None if page is None else xxhash.xxh64_intdigest(page) >> 24 for page in html_texts]
+            columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(weights, pa.int64()), *columns], names=names)
+
+    rows = _rows(pages, id_col, url_col, html_col)
+    host = F.when(F.col("html").isNotNull(), _host_column("url"))
+    names = ["page_id", "url", "host", "weight", "tokens", "is_word", "at", "texts", "opens", "closes", "roles"]
+    kind = pages.schema[id_col].dataType.simpleString()
     return materialize(
-        _rows(pages, id_col, url_col, html_col)
-        .select(_host_column("url").alias("host"), "html")
-        .filter("host is not null and html is not null")
-        .mapInArrow(run, "host string, weight long, tokens array<long>, is_word array<boolean>")
+        rows.select("page_id", "url", host.alias("host"), "html").mapInArrow(
+            run,
+            f"page_id {kind}, url string, host string, weight long, tokens array<long>, is_word array<boolean>, "
+            "at array<int>, texts array<string>, opens array<int>, closes array<int>, roles array<int>",
+        )
     )
 
 
+def page_tokens(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, weight, tokens, is_word: the tokens of each page of a host in order."""
+    return parsed_pages(pages, id_col, url_col, html_col).filter("host is not null").select("host", "weight", "tokens", "is_word")
+
+
 def occurrence_classes(parsed: DataFrame) -> DataFrame:
     """host, token, vector, is_word: the tokens of each host that stand on ``SUPPORT`` of its pages or more.
 
-    ``parsed`` comes from ``page_tokens``. ``vector`` is the fingerprint of the occurrence vector; tokens of a host that share it are a
+    ``parsed`` comes from ``parsed_pages``, without the pages of no host. ``vector`` is the fingerprint of the occurrence vector; tokens of a host that share it are a
     class. Only counts and fingerprints are shuffled, combined before: a host with a third of all pages is as cheap as its tokens.
     """
 
@@ -249,7 +312,8 @@ def occurrence_classes(parsed: DataFrame) -> DataFrame:
             )
 
     counted = (
-        parsed.mapInArrow(run, "host string, token long, part long, is_word boolean")
+        parsed.select("host", "weight", "tokens", "is_word")
+        .mapInArrow(run, "host string, token long, part long, is_word boolean")
         .groupBy("host", "token")
         .agg(
             F.sum(F.col("part").cast("decimal(20, 0)")).alias("vector"),
@@ -267,21 +331,19 @@ def occurrence_classes(parsed: DataFrame) -> DataFrame:
     )
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, words: the words of the valid classes of each host of ``LEAST_PAGES`` pages or more.
+def valid_classes(parsed: DataFrame) -> DataFrame:
+    """host, class: the tokens of each valid class in their order.
 
     A class has two tokens or more. It is valid when every page has its tokens as rounds of one and the same
-    order; a page gives that order as a hash, and all pages have to agree. The tags around a token are part
-    of it, so valid classes nest as the tags do.
+    order, and on all pages this order agrees.
     """
-    parsed = page_tokens(pages, id_col, url_col, html_col)
     found = materialize(occurrence_classes(parsed))
     # at most as many tokens as a page of the host has
-    by_host = found.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("vectors"))
+    by_host = found.groupBy("host").agg(F.collect_list("token").alias("found"), F.collect_list("vector").alias("vectors"))
 
     def orders(batches):
         for batch in batches:
-            hosts, vectors, signs = [], [], []
+            hosts, vectors, orders = [], [], []
             for host, placed, tokens, classes in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 class_of = dict(zip(tokens, classes))
                 sequences: dict[int, list[int]] = {}
@@ -293,27 +355,141 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     regular = size > 1 and len(seen) % size == 0 and seen == seen[:size] * (len(seen) // size)
                     hosts.append(host)
                     vectors.append(vector)
-                    signs.append(xxhash.xxh64_intdigest(np.array(seen[:size]).tobytes()) >> 1 if regular else -1)
-            kinds = (pa.string(), pa.int64(), pa.int64())
+                    orders.append(seen[:size] if regular else [])
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip((hosts, vectors, signs), kinds)], names=["host", "vector", "sign"]
+                [pa.array(c, k) for c, k in zip((hosts, vectors, orders), kinds)], names=["host", "vector", "order"]
             )
 
-    valid = (
-        parsed.select("host", F.col("tokens").alias("placed"))
+    return (
+        parsed.select("host", "tokens")
         .join(by_host, "host")
-        .select("host", "placed", "tokens", "vectors")
-        .mapInArrow(orders, "host string, vector long, sign long")
+        .select("host", "tokens", "found", "vectors")
+        .mapInArrow(orders, "host string, vector long, order array<long>")
         .groupBy("host", "vector")
-        .agg(F.min("sign").alias("low"), F.max("sign").alias("high"))
-        .filter("low = high and low != -1")
+        .agg(F.min("order").alias("low"), F.max("order").alias("high"))
+        .filter("low = high and size(low) > 0")
+        .select("host", F.col("low").alias("class"))
     )
-    return (
-        found.filter("is_word")
-        .join(valid, ["host", "vector"], "left_semi")
+
+
+def _spots(classes: list[list[int]]) -> dict[int, tuple[int, int, bool]]:
+    """token -> (number of its class, place in it, whether it is the last)."""
+    return {t: (c, i, i == len(tokens) - 1) for c, tokens in enumerate(classes) for i, t in enumerate(tokens)}
+
+
+def fill(tokens: list[int], spots: dict[int, tuple[int, int, bool]]) -> tuple[np.ndarray, set[int]]:
+    """The slot at each place between the tokens of a page, 0 outside all classes, and the classes that do not nest there.
+
+    A slot is named by the token before it in the innermost class of which a round is open.
+    """
+    slots = np.zeros(len(tokens) + 1, dtype=np.int64)
+    open_rounds: list[list[int]] = []  # class, its last token so far
+    crossed: set[int] = set()
+    begin = 0
+    for i, token in enumerate(tokens):
+        spot = spots.get(token)
+        if spot is None:
+            continue
+        slots[begin : i + 1] = open_rounds[-1][1] if open_rounds else 0
+        begin = i + 1
+        number, place, last = spot
+        if place == 0:
+            open_rounds.append([number, token])
+            continue
+        if all(c != number for c, _ in open_rounds):
+            continue  # closed by a class that it crosses
+        while open_rounds[-1][0] != number:
+            crossed.add(open_rounds.pop()[0])
+        if last:
+            open_rounds.pop()
+        else:
+            open_rounds[-1][1] = token
+    slots[begin:] = open_rounds[-1][1] if open_rounds else 0
+    return slots, crossed
+
+
+def nested_classes(parsed: DataFrame, valid: DataFrame) -> DataFrame:
+    """host, classes: the classes of ``valid``, of which no page has a round open when a class around it goes on.
+
+    Of two that cross the later one is taken out; of the rest no two cross on any page.
+    """
+    by_host = valid.groupBy("host").agg(F.collect_list("class").alias("classes"))
+
+    def crossings(batches):
+        for batch in batches:
+            hosts, firsts = [], []
+            for host, tokens, classes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for number in fill(tokens, _spots(classes))[1]:
+                    hosts.append(host)
+                    firsts.append(classes[number][0])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(firsts, pa.int64())], names=["host", "first"])
+
+    crossed = (
+        parsed.select("host", "tokens").join(by_host, "host").select("host", "tokens", "classes")
+        .mapInArrow(crossings, "host string, first long").distinct()
+    )
+    nested = valid.withColumn("first", F.col("class")[0]).join(crossed, ["host", "first"], "left_anti")
+    return nested.groupBy("host").agg(F.collect_list("class").alias("classes"))
+
+
+def roles_at(opens, closes, roles, size: int) -> np.ndarray:
+    """The roles of the elements around each place between ``size`` tokens, as bits."""
+    opens, closes, roles = (np.asarray(x, dtype=np.int64) for x in (opens, closes, roles))
+    bits = np.zeros(size + 1, dtype=np.int64)
+    for bit in (BY_TAG, BY_NAME, INSIDE):
+        has = roles & bit > 0
+        if has.any():
+            depth = np.bincount(opens[has] + 1, minlength=size + 1) - np.bincount(closes[has] + 1, minlength=size + 1)
+            bits |= (np.cumsum(depth) > 0) * bit
+    return bits
+
+
+def _apart(tokens, opens, closes, roles, spots):
+    """Roles at each place by the elements of the template, and by the others."""
+    own = np.array([tokens[i] not in spots for i in opens], dtype=bool)
+    parts = [np.asarray(x, dtype=np.int64) for x in (opens, closes, roles)]
+    return (roles_at(*(x[take] for x in parts), len(tokens)) for take in (~own, own))
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """host, classes, slots, slot_roles: the nested classes of each host of ``LEAST_PAGES`` pages or more, and the role of each slot that
+    has text on a page: what the template elements around it say on most of the pages, the smaller bits of a tie.
+
+    ``parsed`` comes from ``parsed_pages``.
+    """
+    parsed = parsed.filter("host is not null")
+    valid = materialize(valid_classes(parsed))
+    nested = materialize(nested_classes(parsed, valid))
+
+    def run(batches):
+        for batch in batches:
+            hosts, slots, bits = [], [], []
+            for host, tokens, at, opens, closes, roles, classes in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                spots = _spots(classes)
+                slot, _ = fill(tokens, spots)
+                around, _ = _apart(tokens, opens, closes, roles, spots)
+                places = np.unique([i for i in at if i >= 0]).astype(np.int64)
+                for name, role in set(zip(slot[places].tolist(), around[places].tolist())):
+                    hosts.append(host)
+                    slots.append(name)
+                    bits.append(role)
+            kinds = (pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((hosts, slots, bits), kinds)], names=["host", "slot", "bits"])
+
+    seen = (
+        parsed.select("host", "tokens", "at", "opens", "closes", "roles")
+        .join(nested, "host")
+        .select("host", "tokens", "at", "opens", "closes", "roles", "classes")
+        .mapInArrow(run, "host string, slot long, bits int")
+        .groupBy("host", "slot", "bits")
+        .agg(F.count("*").alias("n"))
+        .groupBy("host", "slot")
+        .agg(F.max(F.struct("n", (-F.col("bits")).alias("less"))).alias("most"))
         .groupBy("host")
-        .agg(F.collect_list("token").alias("words"))
+        .agg(F.collect_list(F.struct("slot", (-F.col("most.less")).alias("bits"))).alias("found"))
     )
+    return nested.join(seen, "host", "left").select("host", "classes", F.col("found.slot").alias("slots"), F.col("found.bits").alias("slot_roles"))
 
 
 def _host_column(url: str):
@@ -321,66 +497,54 @@ def _host_column(url: str):
     return F.when(found == "", None).otherwise(F.lower(found))
 
 
-def main_text(page: str | None, template: set[int] | None = None) -> str:
-    """The text of the slots of the article, a block per line.
-
-    An element that its name puts outside counts as inside after all when the article stands in it, which is
-    known at the end of the page only; until then a piece of text remembers such elements around it.
-    """
-    if not page:
-        return ""
-    template = template or set()
-    blocks: list[tuple[bool, list[tuple[tuple[int, ...], str]]]] = []
-    words: list[tuple[tuple[int, ...], str]] = []
-    around_article: set[int] = set()
+def assemble(tokens, at, texts, opens, closes, roles, spots=None, slot_roles=None) -> str:
+    """The text that fills the slots of the article, a block per line; see ``read``. Without classes the page is one slot."""
+    if spots:
+        slot, _ = fill(tokens, spots)
+        around, own = _apart(tokens, opens, closes, roles, spots)
+        names, place = np.unique(slot, return_inverse=True)
+        learned = np.array([slot_roles.get(name, -1) for name in names.tolist()])[place]
+        bits = np.where(learned < 0, around, learned) | own
+    else:
+        bits = roles_at(opens, closes, roles, len(tokens))
+    pieces = [0 if i < 0 else bit for i, bit in zip(at, bits[np.asarray(at, dtype=np.int64)].tolist())]
+    blocks: list[tuple[bool, list[str]]] = []
+    words: list[str] = []
     inside = False
-    for kind, value, stack in parse(page):
-        if kind == "text":
-            role = _role(stack)
-            if role is None:
-                continue
-            now_inside, doubts = role
-            if now_inside != inside:
-                if words:
-                    blocks.append((inside, words))
-                    words = []
-                inside = now_inside
-            if template and not inside:
-                around = "/".join(e.sign for e in stack)
-                digest = xxhash.xxh64_intdigest
-                value = re.sub(r"\S+", lambda m: "" if digest(f"{around} {m[0]}") >> 1 in template else m[0], value)
-            words.append((doubts, value))
+    for place, text, role in zip(at, texts, pieces):
+        if place < 0:
+            if text is not None:
+                words.append(text)
+            elif words:
+                blocks.append((inside, words))
+                words = []
+            continue
+        if role & BY_TAG:
+            continue
+        if (role & INSIDE > 0) != inside:
+            if words:
+                blocks.append((inside, words))
+                words = []
+            inside = not inside
+        if role & BY_NAME:
             continue
-        if kind == "open" and value.article:
-            around_article.update(e.number for e in stack[:-1])
-        if kind == "break" and value not in BLOCKS:
-            words.append(((), " "))
-        elif words and (value if kind == "break" else value.tag) in BLOCKS:
-            blocks.append((inside, words))
-            words = []
+        if spots and not inside:
+            word = iter(tokens[place:])
+            text = re.sub(r"\S+", lambda m: "" if next(word) in spots else m[0], text)
+        words.append(text)
     if words:
         blocks.append((inside, words))
-    lines: list[tuple[bool, str]] = []
-    for own, parts in blocks:
-        text = "".join(t for doubts, t in parts if all(d in around_article for d in doubts))
-        text = _SPACE.sub(" ", text).strip()
-        if text:
-            lines.append((own, text))
+    lines = [(own, " ".join("".join(parts).split())) for own, parts in blocks]
+    lines = [x for x in lines if x[1]]
     if any(own for own, _ in lines):
         lines = [x for x in lines if x[0]]
     return "\n".join(text for _, text in lines)
 
 
-def _role(stack: list[Element]) -> tuple[bool, tuple[int, ...]] | None:
-    """Inside an article element or not, and the elements around that are outside by name; None outside by tag."""
-    inside, doubts = False, ()
-    for element in stack:
-        if element.by_tag:
-            return None
-        if element.by_name or element.header and not inside:
-            doubts = (*doubts, element.number)
-        inside = inside or element.article
-    return inside, doubts
+def main_text(page: str | None) -> str:
+    """The text of a page of a host without a template."""
+    (tokens, _), pieces, spans = read(page)
+    return assemble(tokens, *pieces, *spans)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -389,17 +553,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     A null or empty page has an empty text; a page without a usable URL has no template. Repeated rows are kept.
     Character references are decoded, white space inside a block is one space, blocks are joined by a line feed.
     """
-    learned = templates(pages, id_col, url_col, html_col)
-    rows = _rows(pages, id_col, url_col, html_col).withColumn("_host", _host_column("url"))
-    joined = rows.join(learned.withColumnRenamed("host", "_host"), "_host", "left").select("page_id", "url", "html", "words")
+    parsed = parsed_pages(pages, id_col, url_col, html_col)
+    learned = materialize(templates(parsed))
+    found = ("tokens", "at", "texts", "opens", "closes", "roles")
+    joined = parsed.join(learned, "host", "left").select("page_id", "url", *found, "classes", "slots", "slot_roles")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = [
-                main_text(page, set(words) if words else None)
-                for page, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
+            texts = []
+            for *page, classes, slots, roles in zip(*(batch.column(i).to_pylist() for i in range(2, 11))):
+                texts.append(assemble(*page, _spots(classes or []), dict(zip(slots or [], roles or []))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -91,3 +91,42 @@ def test_classes_come_from_one_parsing(spark):
     everywhere = set.intersection(*(set(templates.tokens_of(p)) for _, _, p in pages))
     assert found == dict(everywhere)
     assert "html" not in templates.occurrence_classes(parsed)._jdf.queryExecution().toString()
+
+
+def test_text_comes_from_slots_of_the_classes(spark):
+    """A slot has the role that the template gives it on most pages of the host, also where a page's own tags tell another."""
+    pages = []
+    for i in range(12):
+        wrapper = f'<div class="with sidebar">Site {i} notes<main><p>Body w{i}</p></main></div>'
+        if i == 5:  # the article element is missing on one page only: alone, its wrapper would be a sidebar as a whole
+            wrapper = f'<div class="with sidebar">Site {i} notes</div>'
+        pages.append((i, "http://h.example/", f"<body><div>Top x{i}</div>{wrapper}<p>End</p></body>"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(frame).collect()}
+    assert [got[i] for i in range(12) if i != 5] == [f"Body w{i}" for i in range(12) if i != 5]
+    # the words of the template (Top, Site, notes, End) fill no slot, x5 and 5 do
+    assert templates.main_text(pages[5][2]) == "Top x5\nEnd" and got[5] == "x5\n5"
+
+    learned = templates.templates(templates.parsed_pages(frame)).collect()
+    assert [r.host for r in learned] == ["h.example"]
+    in_classes = {t for c in learned[0].classes for t in c}
+    assert set(learned[0].slots) <= in_classes | {0}
+    roles = dict(zip(learned[0].slots, learned[0].slot_roles))
+    assert set(roles.values()) == {0, templates.INSIDE}
+
+
+def test_slots_nest():
+    classes = [[1, 2, 3], [4, 5], [6, 7]]
+    spots = templates._spots(classes)
+    slots, crossed = templates.fill([9, 1, 4, 9, 5, 4, 5, 2, 3, 9], spots)
+    assert slots.tolist() == [0, 0, 1, 4, 4, 1, 4, 1, 2, 0, 0] and not crossed
+    # a round of the third class is open when the second, around it, goes on
+    slots, crossed = templates.fill([1, 4, 6, 5, 7, 2, 3], spots)
+    assert crossed == {2} and slots.tolist() == [0, 1, 4, 6, 1, 1, 2, 0]
+
+
+def test_classes_that_cross_are_taken_out(spark):
+    parsed = spark.createDataFrame([("h", [1, 4, 6, 5, 7, 2]), ("h", [1, 4, 6, 7, 5, 2])], "host string, tokens array<long>")
+    valid = spark.createDataFrame([("h", [1, 2]), ("h", [4, 5]), ("h", [6, 7])], "host string, class array<long>")
+    (row,) = templates.nested_classes(parsed, valid).collect()
+    assert sorted(row["classes"]) == [[1, 2], [4, 5]]
