@@ -63,6 +63,25 @@ def test_terms_are_shuffled_once(spark):
     assert {tuple(r) for r in counted.collect()} == want and counted.count() == len(want)
 
 
+def test_terms_are_counted_before_rows_are_made(spark, monkeypatch):
+    """No row per occurrence: what is shuffled are different terms, and pieces of a batch add up."""
+    rows = [("c", "0", t, "aa bb  aa bb" if t else "bb aa bb aa", 1.5) for t in (0, 1, None) for _ in range(40)]
+    rows += [("c", "0", 0, "", 1.0), ("c", "1", 1, "aa zz", 1.0)]
+    df = spark.createDataFrame(rows, f"{KEY}, text string, w double").coalesce(1)
+    counted = tokens.ngram_counts(df)
+    assert "Generate" not in plan(counted)
+    words = tokens._dealt_words(df, list(topics.TOPIC), "text", [], "a-z", 2).coalesce(1)
+    terms = tokens._count_terms(words, list(topics.TOPIC), 3).collect()
+    assert len(terms) == len({r[:4] for r in terms}) == 18 + 3
+    want = {(*r[:3], r["term"], r["n"], r["total"]) for r in counted.collect()}
+    twice, once = {"aa", "bb"}, {"aa bb": (80, 40), "bb aa": (40, 80)}
+    assert {r[3:] for r in want if r[3] in twice} == {(w, 80, 240) for w in twice} and len(want) == 18
+    assert {r[4] for r in want if r[3] in once} == {40, 80} and {r[5] for r in want if r[3] in once} == {200, 160}
+    assert {r[3:] for r in want if r[3] == "aa bb aa"} == {("aa bb aa", 40, 120)}
+    monkeypatch.setattr(tokens, "BATCH_WORDS", 5)
+    assert {(*r[:3], r["term"], r["n"], r["total"]) for r in tokens.ngram_counts(df).collect()} == want
+
+
 def test_texts_of_one_partition_are_dealt(spark):
     df = spark.range(400).select(F.lit("c").alias("scope_type"), F.lit("1").alias("scope_value"), F.lit(0).alias("topic_id"), "id", F.lit("one text").alias("text")).coalesce(1)
     dealt = tokens._with_terms(df, ["scope_type"], "text", 2, [], r"\p{L}", 2)
