@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -305,26 +304,19 @@ def embed_documents(
     return counted.mapInArrow(unit, schema)
 
 
-def _dealt_words(df: DataFrame, columns: Sequence[str], text_col: str, stop_words: Sequence[str] | None, word_chars: str, min_length: int) -> DataFrame:
-    """columns + ``_g1``: the words of each text once stop words are gone.
-
-    Texts are dealt evenly first, as a short text has hundreds of terms.
-    """
-    stops = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
-    dealt = deal(df, [*columns, text_col])
-    words = dealt.select(*columns, words_of(F.col(text_col), word_chars, min_length).alias("_words"))
-    return StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=stops).transform(words).drop("_words")
-
-
 def _with_terms(
     df: DataFrame, columns: Sequence[str], text_col: str, max_n: int, stop_words: Sequence[str] | None, word_chars: str, min_length: int
 ) -> DataFrame:
     """columns + ``_g1`` .. ``_gn``: the word terms of each length once stop words are gone.
 
     They stay columns of their own and are put together inside the generator: a column of all terms would
-    make the optimizer compute them again in a filter on its size.
+    make the optimizer compute them again in a filter on its size. Texts are dealt evenly first, as a short text
+    has hundreds of terms.
     """
-    words = _dealt_words(df, columns, text_col, stop_words, word_chars, min_length)
+    stops = list(stop_words) if stop_words is not None else StopWordsRemover.loadDefaultStopWords("english")
+    dealt = deal(df, [*columns, text_col])
+    words = dealt.select(*columns, words_of(F.col(text_col), word_chars, min_length).alias("_words"))
+    words = StopWordsRemover(inputCol="_words", outputCol="_g1", stopWords=stops).transform(words)
     for n in range(2, max_n + 1):
         words = NGram(n=n, inputCol="_g1", outputCol=f"_g{n}").transform(words)
     return words
@@ -348,38 +340,27 @@ def document_terms(
     return rows.select(*by, F.explode(F.array_distinct(_all_terms(max_n))).alias("term"))
 
 
-def _count_terms(words: DataFrame, by: list[str], max_n: int) -> DataFrame:
-    """by..., term, n: the 1..``max_n`` word terms of ``_g1``, counted over the texts of a batch.
+def _count_terms(terms: DataFrame, by: list[str], max_n: int) -> DataFrame:
+    """by..., term, n: the terms of ``_with_terms``, counted over the texts of a batch.
 
-    Words are numbered in the batch, a longer term is the number of the shorter one and its last word; strings
-    are made for different terms only. The same term can come from several batches.
+    Terms are numbered in the batch; only different ones become rows. The same term can come from several batches.
     """
 
     def count(part: pa.RecordBatch):
-        used = part.column(len(by))
-        row = np.repeat(np.arange(len(used)), used.value_lengths().fill_null(0).to_numpy())
-        if not len(row):
-            return
-        flat = used.flatten()
-        numbered = flat.dictionary_encode()
-        code, size = numbered.indices.to_numpy().astype(np.int64), len(numbered.dictionary)
-        group = np.zeros(len(used), dtype=np.int64)
+        group = np.zeros(part.num_rows, dtype=np.int64)
         for i in range(len(by)):
             column = part.column(i).dictionary_encode(null_encoding="encode")
             group = np.unique(group * (len(column.dictionary) + 1) + column.indices.to_numpy(), return_inverse=True)[1]
-        before = group[row]
-        for n in range(1, max_n + 1):
-            at = np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) if n <= len(row) else []
-            if not len(at):
-                return
-            # ``before`` has the number of the term of n - 1 words that begins at each place, and at first that of the group
-            _, first, inverse, times = np.unique(before[at] * size + code[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
-            place = at[first]
-            term = pc.binary_join_element_wise(*(flat.take(pa.array(place + k)) for k in range(n)), " ")
-            keys = [part.column(i).take(pa.array(row[place])) for i in range(len(by))]
-            yield pa.RecordBatch.from_arrays([*keys, term, pa.array(times.astype(np.int64))], names=[*by, "term", "n"])
-            before = np.zeros(len(row), dtype=np.int64)
-            before[at] = inverse
+        for used in part.columns[len(by) :]:
+            numbered = used.flatten().dictionary_encode()
+            row, size = np.repeat(np.arange(len(used)), used.value_lengths().fill_null(0).to_numpy()), len(numbered.dictionary)
+            if not size:
+                continue
+            key, first, times = np.unique(group[row] * size + numbered.indices.to_numpy(), return_index=True, return_counts=True)
+            keys = [part.column(i).take(pa.array(row[first])) for i in range(len(by))]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, numbered.dictionary.take(pa.array(key % size)), pa.array(times.astype(np.int64))], names=[*by, "term", "n"]
+            )
 
     def run(batches):
         for batch in batches:
@@ -390,8 +371,9 @@ def _count_terms(words: DataFrame, by: list[str], max_n: int) -> DataFrame:
                 if begin < end:
                     yield from count(batch.slice(begin, end - begin))
 
-    fields = [f"`{c}` {words.schema[c].dataType.simpleString()}" for c in by]
-    return words.select(*by, "_g1").mapInArrow(run, ", ".join([*fields, "term string", "n long"]))
+    fields = [f"`{c}` {terms.schema[c].dataType.simpleString()}" for c in by]
+    grams = [f"_g{n}" for n in range(1, max_n + 1)]
+    return terms.select(*by, *grams).mapInArrow(run, ", ".join([*fields, "term string", "n long"]))
 
 
 def ngram_counts(
@@ -412,8 +394,8 @@ def ngram_counts(
     """
     by = list(by)
     # most terms are rare: they are counted inside the task and shuffled once, by scope and term, for all that follows
-    words = _dealt_words(df, by, text_col, stop_words, word_chars, min_length)
-    counts = _count_terms(words, by, max_n).repartition(*by[:-1], "term").withColumn("_hash", F.xxhash64("term"))
+    terms = _with_terms(df, by, text_col, max_n, stop_words, word_chars, min_length)
+    counts = _count_terms(terms, by, max_n).repartition(*by[:-1], "term").withColumn("_hash", F.xxhash64("term"))
     # a few rows per topic of the scope, so this window group is small for any term; the hash tells most rows apart in the sort.
     # Terms of too few topics, most of all, go before what is left is added up.
     across = Window.partitionBy("_hash", "term", *by[:-1])

@@ -70,7 +70,7 @@ def test_terms_are_counted_before_rows_are_made(spark, monkeypatch):
     df = spark.createDataFrame(rows, f"{KEY}, text string, w double").coalesce(1)
     counted = tokens.ngram_counts(df)
     assert "Generate" not in plan(counted)
-    words = tokens._dealt_words(df, list(topics.TOPIC), "text", [], "a-z", 2).coalesce(1)
+    words = tokens._with_terms(df, list(topics.TOPIC), "text", 3, [], "a-z", 2).coalesce(1)
     terms = tokens._count_terms(words, list(topics.TOPIC), 3).collect()
     assert len(terms) == len({r[:4] for r in terms}) == 18 + 3
     want = {(*r[:3], r["term"], r["n"], r["total"]) for r in counted.collect()}
