@@ -185,8 +185,9 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     sizes = near.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")
+    # merged in any case: the planner sizes ``near`` like its input, 33 times too small, and would send it to the driver
     placed = (
-        near.join(sizes, "anchor")
+        near.hint("merge").join(sizes, "anchor")
         .withColumn("_blocks", blocks)
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))

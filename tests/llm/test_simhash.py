@@ -128,3 +128,13 @@ def test_large_anchor_goes_in_blocks(spark, monkeypatch):
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fingerprint long"), 4)
+
+
+def test_anchors_are_not_broadcast(spark):
+    """The rows of an anchor are 33 times the fingerprints, which the planner does not see: they are merged at any size."""
+    distinct = spark.range(2000).selectExpr("xxhash64(id) as fingerprint").union(spark.sql("select xxhash64(7L) + 1 as fingerprint"))
+    found = simhash.links(distinct)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    seven = spark.sql("select xxhash64(7L)").first()[0]
+    assert {frozenset(r) for r in found.collect()} == {frozenset((seven, seven + 1))}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
