@@ -449,7 +449,9 @@ def later_links(sketched: DataFrame, min_words: int) -> DataFrame:
     firsts = classes.select("doc", "at", every).groupBy("mark").agg(F.min(F.struct("doc", "at")).alias("first"))
     firsts = firsts.select("mark", F.col("first.doc").alias("rep"), F.col("first.at").alias("rep_at"))
     opened = sketched.filter("open")
-    met = opened.select("doc", "at", every).join(firsts, "mark").filter("rep < doc").select("doc", "at", "rep", "rep_at").distinct()
+    # merged in any case: the planner sizes a window with its marks like one row, and would send them to the driver
+    marked = opened.select("doc", "at", every).hint("merge")
+    met = marked.join(firsts, "mark").filter("rep < doc").select("doc", "at", "rep", "rep_at").distinct()
     theirs = classes.select(F.col("doc").alias("rep"), F.col("at").alias("rep_at"), *[F.col(b).alias(f"_{b}") for b in bits])
     shared = sum((F.bit_count(F.col(b).bitwiseAND(F.col(f"_{b}"))) for b in bits), F.lit(0))
     scored = met.join(opened.select("doc", "at", *bits), ["doc", "at"]).join(theirs, ["rep", "rep_at"]).withColumn("shared", shared)

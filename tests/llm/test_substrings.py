@@ -262,3 +262,20 @@ def test_released_tables_are_empty(spark):
     kept, gone = (scale.materialize(spark.range(1000)) for _ in range(2))
     scale.release(gone)
     assert spark.read.parquet(gone.inputFiles()[0].rpartition("/")[0]).isEmpty() and kept.count() == 1000
+
+
+def test_marks_of_windows_are_not_broadcast(spark, monkeypatch):
+    """A window has up to 17 rows of marks, which the planner takes for one: they are merged at any size."""
+    bits = ", ".join(f"-1L as s{k}" for k in range(substrings.SKETCH))
+    sketched = spark.range(40).selectExpr("id as doc", "0L as at", "true as open", "id as same", "array(100L + id % 2, 200L) as marks", *bits.split(", "))
+    plans = []
+
+    def written(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return scale.materialize(df)
+
+    monkeypatch.setattr(substrings, "_written", written)
+    later = substrings.later_links(sketched, substrings.MIN_WORDS)
+    # of all windows the first, of the odd ones the first odd one, too
+    assert sorted((r["doc"], r["rep"]) for r in later.collect()) == sorted([(d, 0) for d in range(1, 40)] + [(d, 1) for d in range(3, 40, 2)])
+    assert "(strategy=merge)" in plans[-1]
